@@ -177,6 +177,21 @@ def assign_ids(
     return dense_ordinal(df, name, [], levels, [F.col(key), *order], start)
 
 
+def fill_ids(
+    df: DataFrame,
+    name: str,
+    key: str,
+    then: Sequence[tuple[str, Column]] = (),
+    order: Sequence[Column] = (),
+) -> DataFrame:
+    """Give rows without an id the next free ones; the highest id in use is the one value fetched."""
+    used = df.agg(F.max(name)).first()[0] or 0
+    new = assign_ids(df.where(F.col(name).isNull()).drop(name), name, key, used + 1, then, order)
+    kind = df.schema[name].dataType
+    numbered = new.withColumn(name, F.col(name).cast(kind)).select(*df.columns)
+    return df.where(F.col(name).isNotNull()).unionByName(numbered)
+
+
 def survey_etl(raw: dict[str, DataFrame], biomarkers: DataFrame) -> dict[str, DataFrame]:
     """All cleaned tables from the raw files, keyed as the raw files are."""
     users = clean_users(raw["raw_demo"])

@@ -54,7 +54,8 @@ class HDModel:
         for i in range(p):
             mixed = [z[j] * F.lit(2 * self.precision[i][j]) for j in range(i + 1, p)]
             rows.append(z[i] * added(z[i] * F.lit(self.precision[i][i]), *mixed))
-        return F.sqrt(F.greatest(added(*rows), F.lit(0.0)))
+        square = added(*rows)
+        return F.sqrt(F.when(square < 0, F.lit(0.0)).otherwise(square))
 
     def years(self, distance: Column) -> Column:
         if self.slope is None:

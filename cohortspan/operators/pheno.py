@@ -60,8 +60,12 @@ def mortality_score(linear_term: Column, age: Column) -> Column:
 
 
 def age_from_mortality(score: Column) -> Column:
-    """Age at which the mortality risk is usual; NULL where the risk underflows to zero."""
-    risk = F.least(F.lit(MAX_MORTALITY), 1 - F.exp(-F.exp(score)))
+    """Age at which the mortality risk is usual; NULL where the risk underflows to zero.
+
+    The cap is a CASE, since LEAST would pass over a NULL score and return the cap.
+    """
+    risk = 1 - F.exp(-F.exp(score))
+    risk = F.when(risk > MAX_MORTALITY, F.lit(MAX_MORTALITY)).otherwise(risk)
     return F.round(F.lit(AGE_OFFSET) + natural_log(-natural_log(1 - risk)) / F.lit(AGE_SCALE), 2)
 
 

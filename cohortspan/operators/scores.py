@@ -80,13 +80,17 @@ def calculate(
 
 
 def new_results(scores: DataFrame, computed_at: str, existing: DataFrame) -> DataFrame:
-    """Rows to append to the stored results: scored, and not stored under the same key yet."""
-    rows = scores.where(F.col("BioAgeYears").isNotNull()).select(
+    """Rows to append to the stored results: scored, and not stored under the same key yet.
+
+    A score that does not fit the column is left out.
+    """
+    rows = scores.select(
         "UserID",
         "ModelID",
-        F.col("BioAgeYears").cast("decimal(5,2)").alias("BioAgeYears"),
+        F.col("BioAgeYears").try_cast("decimal(5,2)").alias("BioAgeYears"),
         F.lit(computed_at).cast("timestamp").alias("ComputedAt"),
     )
+    rows = rows.where("BioAgeYears IS NOT NULL")
     keys = ["UserID", "ModelID", "ComputedAt"]
     return rows.join(existing.select(*keys), keys, "left_anti")
 

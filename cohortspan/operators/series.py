@@ -88,7 +88,10 @@ def history_axis_domain(t: Tables, as_of: dt.date | str, measure: str = "bioAgeY
 
 
 def gap_class(results: DataFrame) -> DataFrame:
-    """Class of an age gap, and left edge and width of its bar in percent of a track centred on zero."""
+    """Class of an age gap, and left edge and width of its bar in percent of a track centred on zero.
+
+    Without a gap there is neither class nor bar.
+    """
     gap = F.col("ageGap").cast("double")
     size = F.abs(gap)
     label = (
@@ -104,7 +107,8 @@ def gap_class(results: DataFrame) -> DataFrame:
     left = (
         F.when(size < SMALLEST_GAP, F.lit(50.0) - width / 2).when(gap < 0, F.lit(50.0) - width).otherwise(F.lit(50.0))
     )
-    return results.withColumns({"gapClass": label, "barWidth": width, "barLeft": left})
+    known = {"gapClass": label, "barWidth": width, "barLeft": left}
+    return results.withColumns({name: F.when(gap.isNotNull(), column) for name, column in known.items()})
 
 
 def with_display_domain(compared: DataFrame, mode: str = "both") -> DataFrame:

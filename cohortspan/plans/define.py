@@ -18,6 +18,9 @@ ORACLES: dict[str, str] = {}
 # The day all registered queries look back from.
 AS_OF = "2001-12-31"
 
+# Pieces that several later pieces read, to be computed once.
+MATERIALIZED: set[str] = set()
+
 # Shared pieces of the checking SQL: name -> (what it needs, statement).
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "aged": (("users",), f"SELECT *, CAST(date_sub('year', BirthDate, DATE '{AS_OF}') AS INT) AS Age FROM users"),
@@ -60,10 +63,10 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     THEN 'insufficient_biomarkers' WHEN BioAgeYears IS NULL THEN 'invalid_value' ELSE 'ok' END AS Status
   FROM (SELECT UserID, Age, Complete, CASE WHEN Complete AND Risk > 0
       THEN round(CAST(141.5 AS DOUBLE) + ln(-ln(1 - Risk)) / CAST(0.09165 AS DOUBLE), 2) END AS BioAgeYears
-    FROM (SELECT a.UserID, a.Age, coalesce(n.BiomarkerCount, 0) = 9 AS Complete,
-        least(CAST(0.999999 AS DOUBLE), 1 - exp(-exp(n.LinearTerm + a.Age * CAST(0.0804 AS DOUBLE)
-          + CAST(-19.9067 AS DOUBLE)))) AS Risk
-      FROM aged a LEFT JOIN linear n ON a.UserID = n.UserID) r) p""",
+    FROM (SELECT UserID, Age, Complete, CASE WHEN Raw > 0.999999 THEN CAST(0.999999 AS DOUBLE) ELSE Raw END AS Risk
+      FROM (SELECT a.UserID, a.Age, coalesce(n.BiomarkerCount, 0) = 9 AS Complete, 1 - exp(-exp(n.LinearTerm
+          + a.Age * CAST(0.0804 AS DOUBLE) + CAST(-19.9067 AS DOUBLE))) AS Raw
+        FROM aged a LEFT JOIN linear n ON a.UserID = n.UserID) m) r) p""",
     ),
 }
 
@@ -96,7 +99,9 @@ def oracle(needs: Sequence[str], body: str) -> str:
     if unknown:
         raise KeyError(f"undefined tables {unknown}")
     prefix = sql_prefix(*base)
-    defined = "".join(f",\n{name} AS ({PARTS[name][1]})" for name in parts)
+    defined = "".join(
+        f",\n{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({PARTS[name][1]})" for name in parts
+    )
     return f"{prefix}{defined}\n{body}"
 
 

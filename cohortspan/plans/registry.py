@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspan.plans import api  # noqa: F401
+from cohortspan.plans import api, arrivals, basics, charts, checks, loading, scoring  # noqa: F401
 from cohortspan.plans.define import ORACLES, QUERIES, Query
 
 

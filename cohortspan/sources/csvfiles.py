@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cohortspan.schemas import RANGE
 
 CORRUPT = "_corrupt_record"
+_CORRUPT_FIELD = T.StructField(CORRUPT, T.StringType())
 
 # Layouts of the cleaned files, as the load step expects them.
 USERS_CSV = T.StructType(
@@ -53,18 +54,28 @@ RANGES_HEADER = (
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the text of those that do not. Empty fields are NULL."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    """Rows that fit the schema, and the text of those that do not. Empty fields are NULL.
+
+    Fields are read as text and converted here: the reader itself looks only at the columns a query
+    asks for, so whether it finds a row corrupt would depend on the query.
+    """
+    as_text = T.StructType([*[T.StructField(n, T.StringType()) for n in schema.fieldNames()], _CORRUPT_FIELD])
     lines = (
-        spark.read.schema(with_corrupt)
+        spark.read.schema(as_text)
         .option("header", header)
         .option("quote", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
         .csv(path)
     )
-    good = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = lines.where(F.col(CORRUPT).isNotNull()).select(*schema.fieldNames(), CORRUPT)
+    fits = F.col(CORRUPT).isNull()
+    for field in schema.fields:
+        text = F.col(field.name)
+        fits &= text.isNull() | (F.trim(text) == "") | text.try_cast(field.dataType).isNotNull()
+    good = lines.where(fits).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    fields = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in schema.fieldNames()])
+    bad = lines.where(~fits).select(F.coalesce(F.col(CORRUPT), fields).alias("Line"))
     return good, bad
 
 
