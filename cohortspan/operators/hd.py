@@ -63,24 +63,31 @@ class HDModel:
         return F.lit(self.slope) * distance + F.lit(self.intercept)
 
 
-def wide_values(latest: DataFrame, keys: Sequence[str] = ("UserID",)) -> DataFrame:
-    """Latest values with one column per biomarker, in model units; tied values are averaged."""
-    known = latest.where(F.col("BiomarkerID").between(min(IDS), max(IDS)))
+def value_cells() -> list[Column]:
+    """Aggregations that put each biomarker into a column, in model units; tied values are averaged."""
     value = model_units(F.col("BiomarkerID"), F.col("Value"))
-    cells = [F.avg(F.when(F.col("BiomarkerID") == i, value)).alias(name) for i, name in zip(IDS, NAMES)]
-    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("BiomarkerCount"), *cells)
+    return [F.avg(F.when(F.col("BiomarkerID") == i, value)).alias(name) for i, name in zip(IDS, NAMES)]
 
 
-def reference_wide(t: Tables, as_of: dt.date | str, latest: DataFrame | None = None) -> DataFrame:
+def wide_values(latest: DataFrame) -> DataFrame:
+    """One row per user: the number of latest rows, and a column per biomarker."""
+    return latest.groupBy("UserID").agg(F.count(F.lit(1)).alias("BiomarkerCount"), *value_cells())
+
+
+def reference_wide(t: Tables, as_of: dt.date | str, wide: DataFrame | None = None) -> DataFrame:
     """Complete rows of the reference population.
 
     A user enters once per distinct body mass index. Values are pivoted per user first, so several
-    body measurements do not multiply the long table.
+    body measurements do not multiply the long table. ``wide`` is what ``wide_values`` returns, if it
+    is at hand; else only the candidates' measurements are looked at.
     """
     people = hd_reference_candidates(t, as_of).select("UserID", "Age", "BMI", "Sex").dropna().distinct()
-    latest = latest_measurements(t, people.select("UserID")) if latest is None else latest
-    wide = wide_values(latest).drop("BiomarkerCount").dropna()
-    return people.join(wide, "UserID").select("UserID", "Age", F.col("BMI").cast("double").alias("BMI"), "Sex", *NAMES)
+    if wide is None:
+        wide = wide_values(latest_measurements(t, people.select("UserID")))
+    complete = wide.select("UserID", *[f"`{name}`" for name in NAMES]).dropna()
+    return people.join(complete, "UserID").select(
+        "UserID", "Age", F.col("BMI").cast("double").alias("BMI"), "Sex", *[f"`{name}`" for name in NAMES]
+    )
 
 
 def moments_columns(names: Sequence[str]) -> list[Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import iso_date
 from cohortspan.functions.ordinals import dense_ordinal, id_blocks
+from cohortspan.session import cut_lineage
 
 # Reasons, in the order in which they are looked for.
 INVALID_VALUE = "invalid_value"
@@ -24,6 +25,8 @@ UNKNOWN_BIOMARKER = "unknown_biomarker"
 NULL_VALUE = "null_value"
 REPEATED_BIOMARKER = "repeated_biomarker"
 
+_HEADER = ["SubmissionID", "UserID", "SessionDateText", "FastingStatus"]
+
 
 @dataclass(frozen=True)
 class Ingested:
@@ -62,6 +65,9 @@ def ingest(
     Of several acceptable submissions for one user and date the lowest SubmissionID wins. A value is
     taken at the visit's date and the time of day of ``ingested_at``. New ids count from
     ``first_session_id``, by default from the highest stored id.
+
+    The checked headers are read several times (to find winners, to number, to report), so they are
+    stored once in between; the values are not.
     """
     checked = (
         submissions.withColumn("SessionDate", iso_date(F.col("SessionDateText")))
@@ -81,6 +87,9 @@ def ingest(
             | F.coalesce(F.col("Repeated"), no),
         }
     )
+    checked = cut_lineage(
+        checked.select(*_HEADER, "SessionDate", "UserKnown", "Stored", "Unknown", "NoValue", "Repeated", "Incomplete", "BadValues")
+    )
     acceptable = (
         ~F.col("Incomplete")
         & F.col("SessionDate").isNotNull()
@@ -102,9 +111,7 @@ def ingest(
         .when(F.col("NoValue"), NULL_VALUE)
         .when(F.col("Repeated"), REPEATED_BIOMARKER)
     )
-    judged = judged.withColumn("Reason", reason).select(
-        "SubmissionID", "UserID", "SessionDateText", "SessionDate", "FastingStatus", "Reason"
-    )
+    judged = cut_lineage(judged.select(*_HEADER, "SessionDate", reason.alias("Reason")))
 
     if first_session_id is None:
         first_session_id = (sessions.agg(F.max("SessionID")).first()[0] or 0) + 1
@@ -128,7 +135,5 @@ def ingest(
     ).select(
         "SubmissionID", "SessionID", "BiomarkerID", F.col("Value").try_cast("decimal(12,4)").alias("Value"), "TakenAt"
     )
-    rejected = judged.where("Reason IS NOT NULL").select(
-        "SubmissionID", "UserID", "SessionDateText", "FastingStatus", "Reason"
-    )
+    rejected = judged.where("Reason IS NOT NULL").select(*_HEADER, "Reason")
     return Ingested(accepted, measured, rejected)

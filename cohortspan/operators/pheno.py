@@ -26,8 +26,8 @@ STATUS_INSUFFICIENT = "insufficient_biomarkers"
 STATUS_INVALID = "invalid_value"
 
 
-def terms(latest: DataFrame, coefficients: DataFrame, how: str = "inner") -> DataFrame:
-    """One row per latest value: transformed value times coefficient.
+def weighted(latest: DataFrame, coefficients: DataFrame, how: str = "inner") -> DataFrame:
+    """Latest values with ``Term``, the transformed value times its coefficient.
 
     A left join also keeps biomarkers the model has no coefficient for, without a term.
     """
@@ -36,23 +36,33 @@ def terms(latest: DataFrame, coefficients: DataFrame, how: str = "inner") -> Dat
     )
     unit = model_units(F.col("BiomarkerID"), F.col("Value"))
     shaped = F.when(F.col("Transform") == "log", natural_log(unit)).otherwise(unit)
-    return latest.join(weights, "BiomarkerID", how).select(
-        "UserID", "BiomarkerID", (shaped * F.col("Coefficient")).alias("Term")
-    )
+    joined = latest.select("UserID", "BiomarkerID", "Value").join(weights, "BiomarkerID", how)
+    return joined.select("UserID", "BiomarkerID", "Value", (shaped * F.col("Coefficient")).alias("Term"))
+
+
+def terms(latest: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """One row per latest value of the model's biomarkers."""
+    return weighted(latest, coefficients).drop("Value")
+
+
+def term_slots() -> list[Column]:
+    """Aggregations that put each biomarker's term into a column of its own."""
+    return [F.max(F.when(F.col("BiomarkerID") == i, F.col("Term"))).alias(f"t{i}") for i in BIOMARKER_IDS]
+
+
+def slot_sum() -> Column:
+    """Sum of the slots in the order of the biomarkers; NULL if one is missing."""
+    return added(*[F.col(f"t{i}") for i in BIOMARKER_IDS])
 
 
 def linear(latest: DataFrame, coefficients: DataFrame) -> DataFrame:
     """Sum of the terms per user and the number of latest rows of the user.
 
-    Each term has its own column and they are added in the order of the biomarkers. The sum is NULL
-    if a biomarker is missing or its logarithm does not exist.
+    The sum is NULL if a biomarker is missing or its logarithm does not exist.
     """
-    slots = [F.max(F.when(F.col("BiomarkerID") == i, F.col("Term"))).alias(f"t{i}") for i in BIOMARKER_IDS]
-    per_user = (
-        terms(latest, coefficients, "left").groupBy("UserID").agg(F.count(F.lit(1)).alias("BiomarkerCount"), *slots)
-    )
-    total = added(*[F.col(f"t{i}") for i in BIOMARKER_IDS])
-    return per_user.select("UserID", "BiomarkerCount", total.alias("LinearTerm"))
+    per_user = weighted(latest, coefficients, "left").groupBy("UserID")
+    slots = per_user.agg(F.count(F.lit(1)).alias("BiomarkerCount"), *term_slots())
+    return slots.select("UserID", "BiomarkerCount", slot_sum().alias("LinearTerm"))
 
 
 def mortality_score(linear_term: Column, age: Column) -> Column:
@@ -69,13 +79,16 @@ def age_from_mortality(score: Column) -> Column:
     return F.round(F.lit(AGE_OFFSET) + natural_log(-natural_log(1 - risk)) / F.lit(AGE_SCALE), 2)
 
 
-def phenotypic_age(t: Tables, as_of: dt.date | str, latest: DataFrame | None = None) -> DataFrame:
-    """Score, gap and status of every user; users without exactly nine latest rows get no score."""
-    latest = latest_measurements(t) if latest is None else latest
+def phenotypic_age(t: Tables, as_of: dt.date | str, sums: DataFrame | None = None) -> DataFrame:
+    """Score, gap and status of every user; users without exactly nine latest rows get no score.
+
+    ``sums`` is what ``linear`` returns, if it is at hand.
+    """
+    sums = linear(latest_measurements(t), t.coefficients) if sums is None else sums
     age = full_years(F.col("BirthDate"), as_of)
     scored = (
         t.users.select("UserID", age.alias("Age"))
-        .join(linear(latest, t.coefficients), "UserID", "left")
+        .join(sums, "UserID", "left")
         .withColumn("Complete", F.coalesce(F.col("BiomarkerCount"), F.lit(0)) == len(BIOMARKER_IDS))
         .withColumn(
             "BioAgeYears",

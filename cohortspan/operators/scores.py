@@ -18,11 +18,23 @@ STATUS_NO_MODEL = "hd_unavailable"
 MODEL_IDS = {name: number for number, name, _, _ in MODELS}
 
 
-def hd_age(t: Tables, as_of: dt.date | str, model: hd.HDModel | None, latest: DataFrame | None = None) -> DataFrame:
-    """Distance turned into an age for every user; without a model all users get that status."""
-    latest = latest_measurements(t) if latest is None else latest
+def scoring_inputs(t: Tables) -> DataFrame:
+    """One row per user with what both models need: regression sum and biomarkers as columns."""
+    per_user = pheno.weighted(latest_measurements(t), t.coefficients, "left").groupBy("UserID")
+    cells = per_user.agg(F.count(F.lit(1)).alias("BiomarkerCount"), *pheno.term_slots(), *hd.value_cells())
+    return cells.select(
+        "UserID", "BiomarkerCount", pheno.slot_sum().alias("LinearTerm"), *[f"`{name}`" for name in hd.NAMES]
+    )
+
+
+def hd_age(t: Tables, as_of: dt.date | str, model: hd.HDModel | None, wide: DataFrame | None = None) -> DataFrame:
+    """Distance turned into an age for every user; without a model all users get that status.
+
+    ``wide`` is what ``hd.wide_values`` returns, if it is at hand.
+    """
+    wide = hd.wide_values(latest_measurements(t)) if wide is None else wide
     people = t.users.select("UserID", full_years(F.col("BirthDate"), as_of).alias("Age"))
-    joined = people.join(hd.wide_values(latest), "UserID", "left")
+    joined = people.join(wide, "UserID", "left")
     complete = F.coalesce(F.col("BiomarkerCount"), F.lit(0)) == len(hd.IDS)
     distance = F.lit(None).cast("double") if model is None else model.distance()
     scored = joined.withColumn("Complete", complete).withColumn(
@@ -48,22 +60,22 @@ def calculate(
     """Scores by one model, or by both if no name is given, with a status per user and model.
 
     ``strict`` makes a user's request all-or-nothing: one failing model withdraws the other score.
-    Latest values feed both models and the fit, so they are stored once.
+    Both models and the fit read one row per user, which is stored once.
     """
     if model_name and model_name not in MODEL_IDS:
         raise ValueError(f"invalid model {model_name!r}")
     wanted = [model_name] if model_name else list(MODEL_IDS)
-    latest = cut_lineage(latest_measurements(t))
+    inputs = cut_lineage(scoring_inputs(t), "scoring-inputs")
     parts = []
     for name in wanted:
         if MODEL_IDS[name] == PHENOTYPIC_AGE:
-            scored = pheno.phenotypic_age(t, as_of, latest)
+            scored = pheno.phenotypic_age(t, as_of, inputs.select("UserID", "BiomarkerCount", "LinearTerm"))
         else:
             try:
-                model = hd.fit(hd.reference_wide(t, as_of, latest), age_column=None, min_rows=min_rows)
+                model = hd.fit(hd.reference_wide(t, as_of, inputs), age_column=None, min_rows=min_rows)
             except hd.HDUnavailable:
                 model = None
-            scored = hd_age(t, as_of, model, latest)
+            scored = hd_age(t, as_of, model, inputs.drop("LinearTerm"))
         parts.append(scored.withColumn("ModelID", F.lit(MODEL_IDS[name])).withColumn("ModelName", F.lit(name)))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if strict:

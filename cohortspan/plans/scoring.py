@@ -123,9 +123,9 @@ def _(spark, sf):
 @query("q035_hd_age", ["hd_aged"], "SELECT * FROM hd_aged")
 def _(spark, sf):
     t = survey_tables(spark, sf)
-    latest = cut_lineage(latest_measurements(t))
-    model = hd.fit(hd.reference_wide(t, AS_OF, latest), age_column=None)
-    return scores.hd_age(t, AS_OF, model, latest)
+    wide = cut_lineage(hd.wide_values(latest_measurements(t)), "wide")
+    model = hd.fit(hd.reference_wide(t, AS_OF, wide), age_column=None)
+    return scores.hd_age(t, AS_OF, model, wide)
 
 
 _BOTH = """SELECT UserID, 1 AS ModelID, 'Phenotypic Age' AS ModelName, Age, BioAgeYears, AgeGap, Status FROM pheno
@@ -215,8 +215,8 @@ def _(spark, sf):
 
 def _wide_and_reference(spark, sf):
     t = survey_tables(spark, sf)
-    latest = cut_lineage(latest_measurements(t))
-    return hd.wide_values(latest), cut_lineage(hd.reference_wide(t, AS_OF, latest))
+    wide = cut_lineage(hd.wide_values(latest_measurements(t)), "wide")
+    return wide, cut_lineage(hd.reference_wide(t, AS_OF, wide), "reference")
 
 
 @query("hd_score", ["hd_d"], f"SELECT id AS UserID, {r('d')} AS HD_score FROM hd_d WHERE tag = 't'")

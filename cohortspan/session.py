@@ -48,9 +48,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/cohortspan/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs read the stored rows and survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Store the rows in the shared folder and go on from there.
+
+    A written table survives lost executors as a checkpoint does; being columnar it also lets later
+    steps read only the columns they use, and tells the optimizer its true size.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,9 +13,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from cohortspan import catalog
-from cohortspan.tables import Tables
+from cohortspan.tables import NAMES, Tables
 
 BASE = ("customer", "orders", "lineitem")
 
@@ -95,34 +96,38 @@ def _needs(name: str) -> list[str]:
     return [t for t in (*BASE, *STATEMENTS) if "{" + t + "}" in text]
 
 
+_seen_schemas: dict[str, StructType] = {}
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """A given table; its schema is looked up in the files once, which saves a job per later scan."""
+    if path not in _seen_schemas:
+        _seen_schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_seen_schemas[path]).parquet(path)
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a lazy DataFrame over the parquet files in ``sf_dir``."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _scan(spark, f"{sf_dir}/{name}.parquet")
     inputs = {need: derive(spark, sf_dir, need) for need in _needs(name)}
     return spark.sql(STATEMENTS[name], **inputs)
 
 
 def survey_tables(spark: SparkSession, sf_dir: str, range_set: str = "seed") -> Tables:
-    """All base tables over one set of scans, so that shared parts are shared in the plan."""
-    made: dict[str, DataFrame] = {base: derive(spark, sf_dir, base) for base in BASE}
+    """The base tables over one set of scans; a table no operator asks for is never made."""
+    made: dict[str, DataFrame] = {}
 
     def make(name: str) -> DataFrame:
         if name not in made:
-            made[name] = spark.sql(STATEMENTS[name], **{need: make(need) for need in _needs(name)})
+            if name in BASE:
+                made[name] = derive(spark, sf_dir, name)
+            else:
+                made[name] = spark.sql(STATEMENTS[name], **{need: make(need) for need in _needs(name)})
         return made[name]
 
-    return Tables(
-        users=make("users"),
-        sessions=make("sessions"),
-        biomarkers=make("biomarkers"),
-        measurements=make("measurements"),
-        anthropometry=make("anthropometry"),
-        ranges=make("ranges" if range_set == "seed" else "ranges_etl"),
-        models=make("models"),
-        coefficients=make("coefficients"),
-        results=make("results"),
-    )
+    statement = {name: name for name in NAMES} | {"ranges": "ranges" if range_set == "seed" else "ranges_etl"}
+    return Tables(**{name: lambda name=name: make(statement[name]) for name in NAMES})
 
 
 def sql_prefix(*names: str) -> str:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortspan.schemas import SCHEMAS
 
+NAMES = tuple(SCHEMAS)
+
 
-@dataclass(frozen=True)
 class Tables:
+    """Base tables by name, each a DataFrame or a function that makes it when it is first used."""
+
     users: DataFrame
     sessions: DataFrame
     biomarkers: DataFrame
@@ -21,11 +25,27 @@ class Tables:
     coefficients: DataFrame
     results: DataFrame
 
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        unknown = set(sources) - set(NAMES)
+        if unknown:
+            raise ValueError(f"unknown tables {sorted(unknown)}")
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in NAMES:
+            raise AttributeError(name)
+        if name not in self._sources:
+            raise ValueError(f"table {name} was not given")
+        source = self._sources[name]
+        df = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, df)
+        return df
+
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in NAMES if name in self._sources]
 
-    def replace(self, **changed: DataFrame) -> Tables:
-        return Tables(**{**dict(self.items()), **changed})
+    def replace(self, **changed: DataFrame | Callable[[], DataFrame]) -> Tables:
+        return Tables(**{**self._sources, **changed})
 
     def register(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
@@ -33,14 +53,26 @@ class Tables:
             df.createOrReplaceTempView(prefix + name)
 
 
-def write_tables(tables: Tables, folder: str) -> None:
+def write_tables(tables: Tables, folder: str, partitions: int | None = None) -> None:
+    """Write each table as parquet in the declared types.
+
+    Facts are laid out by their key, so that the statistics in the files let a question about few
+    users skip most of them.
+    """
+    layout = {"sessions": "UserID", "measurements": "SessionID", "anthropometry": "UserID", "results": "UserID"}
     for name, df in tables.items():
-        columns = [df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
-        df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}")
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+        if name in layout:
+            key = layout[name]
+            typed = typed.repartitionByRange(partitions, key) if partitions else typed.repartitionByRange(key)
+            typed = typed.sortWithinPartitions(key)
+        typed.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def scan_tables(spark: SparkSession, folder: str) -> Tables:
     """Read the base tables with their declared schemas; no inference job runs."""
-    return Tables(
-        **{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
-    )
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+
+    return Tables(**{name: reader(name) for name in NAMES})

@@ -43,6 +43,20 @@ def normal(columns: list[str], rows: list) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+# Spark type -> DuckDB type, where the names differ.
+TYPES = {"int": "INTEGER", "string": "VARCHAR"}
+
+
+def type_differences(df, result) -> list[str]:
+    theirs = {d[0]: str(d[1]) for d in result.description}
+    found = []
+    for name, kind in df.dtypes:
+        expected = TYPES.get(kind, kind.upper())
+        if theirs[name] != expected:
+            found.append(f"{name}: {kind} / {theirs[name]}")
+    return found
+
+
 def compare(spark, con, query, sql: str, folder: str) -> str:
     """Empty text if both agree, else what differs."""
     df = query(spark, folder)
@@ -52,6 +66,8 @@ def compare(spark, con, query, sql: str, folder: str) -> str:
     right_columns, right = normal(names, result.fetchall())
     if left_columns != right_columns:
         return f"columns {left_columns} / {right_columns}"
+    if different := type_differences(df, result):
+        return f"types {different}"
     if len(left) != len(right):
         return f"rows {len(left)} / {len(right)}"
     if left != right:
