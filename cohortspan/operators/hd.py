@@ -1,7 +1,7 @@
 """Homeostatic dysregulation: Mahalanobis distance from a healthy young reference population.
 
-The fit is one aggregation that brings a single row of moments to the driver; the matrix of the few
-biomarkers is inverted there. Scoring is plain column arithmetic with the fitted numbers as literals.
+The fit is two aggregations that each bring one row to the driver, moments and then products of
+z-scores; the matrix of the few biomarkers is inverted there. Scoring is plain column arithmetic with the fitted numbers as literals.
 """
 
 from __future__ import annotations
@@ -90,20 +90,17 @@ def reference_wide(t: Tables, as_of: dt.date | str, wide: DataFrame | None = Non
     )
 
 
-def moments_columns(names: Sequence[str]) -> list[Column]:
-    """Means, sample deviations and pairwise correlations, to be evaluated in one aggregation."""
+def _moment_columns(names: Sequence[str]) -> list[Column]:
     columns = [F.count(F.lit(1)).alias("n")]
     for i, name in enumerate(names):
         value = F.col(f"`{name}`").cast("double")
         columns += [F.avg(value).alias(f"mean_{i}"), F.stddev_samp(value).alias(f"std_{i}")]
-        for j in range(i + 1, len(names)):
-            columns.append(F.corr(value, F.col(f"`{names[j]}`").cast("double")).alias(f"corr_{i}_{j}"))
     return columns
 
 
 def moments(reference: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     """Mean and sample standard deviation, one row per biomarker."""
-    flat = reference.agg(*moments_columns(names))
+    flat = reference.agg(*_moment_columns(names))
     cells = [
         F.struct(F.lit(name).alias("Biomarker"), F.col(f"mean_{i}").alias("Mean"), F.col(f"std_{i}").alias("Std"))
         for i, name in enumerate(names)
@@ -111,17 +108,40 @@ def moments(reference: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     return flat.select("n", F.explode(F.array(*cells)).alias("m")).select("m.*", F.col("n").alias("ReferenceRows"))
 
 
+def _pairs(count: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(count) for j in range(i + 1, count)]
+
+
+def _product_columns(model: HDModel) -> list[Column]:
+    """Sums of products of z-scores. They are plain sums of centred numbers, so they neither cancel
+    nor need the wide state of a pairwise correlation."""
+    z = [model.z(i) for i in range(len(model.names))]
+    return [F.sum(z[i] * z[j]).alias(f"p_{i}_{j}") for i, j in _pairs(len(z))]
+
+
+def _standardise(reference: DataFrame, names: tuple[str, ...], min_rows: int) -> HDModel:
+    """Means and deviations as a model that has no precision matrix yet."""
+    row = reference.agg(*_moment_columns(names)).first()
+    if row["n"] < max(min_rows, 2):
+        raise HDUnavailable(f"reference population too small: {row['n']} < {min_rows}")
+    stds = tuple(float(row[f"std_{i}"]) for i in range(len(names)))
+    if not all(np.isfinite(stds)) or min(stds) <= 0:
+        raise HDUnavailable("a biomarker does not vary in the reference population")
+    means = tuple(float(row[f"mean_{i}"]) for i in range(len(names)))
+    return HDModel(names=names, means=means, stds=stds, precision=(), rows=int(row["n"]))
+
+
 def correlation(reference: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     """Correlation of every pair of biomarkers, which is the covariance of the z-scores."""
-    flat = reference.agg(*moments_columns(names))
+    model = _standardise(reference, tuple(names), 2)
+    flat = reference.agg(*_product_columns(model))
     cells = [
         F.struct(
             F.lit(names[i]).alias("BiomarkerA"),
             F.lit(names[j]).alias("BiomarkerB"),
-            F.col(f"corr_{i}_{j}").alias("Correlation"),
+            (F.col(f"p_{i}_{j}") / F.lit(model.rows - 1)).alias("Correlation"),
         )
-        for i in range(len(names))
-        for j in range(i + 1, len(names))
+        for i, j in _pairs(len(names))
     ]
     return flat.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
@@ -132,27 +152,19 @@ def fit(
     age_column: str | None = "Age",
     min_rows: int = MIN_REFERENCE_ROWS,
 ) -> HDModel:
-    """Fit the model; with ``age_column`` also the regression of the distance on age."""
-    names = tuple(names)
+    """Fit the model; with ``age_column`` also the regression of the distance on age.
+
+    ``reference`` is read twice, or three times with the regression: store it before if it is costly.
+    """
     complete = reference.dropna(subset=list(names))
-    row = complete.agg(*moments_columns(names)).first()
-    if row["n"] < min_rows:
-        raise HDUnavailable(f"reference population too small: {row['n']} < {min_rows}")
-    p = len(names)
-    matrix = np.eye(p)
-    for i in range(p):
-        for j in range(i + 1, p):
-            value = row[f"corr_{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = np.nan if value is None else value
-    if not np.isfinite(matrix).all() or np.linalg.matrix_rank(matrix) < p:
+    model = _standardise(complete, tuple(names), min_rows)
+    products = complete.agg(*_product_columns(model)).first()
+    matrix = np.eye(len(names))
+    for i, j in _pairs(len(names)):
+        matrix[i, j] = matrix[j, i] = products[f"p_{i}_{j}"] / (model.rows - 1)
+    if np.linalg.matrix_rank(matrix) < len(names):
         raise HDUnavailable("the correlation matrix of the reference population is singular")
-    model = HDModel(
-        names=names,
-        means=tuple(float(row[f"mean_{i}"]) for i in range(p)),
-        stds=tuple(float(row[f"std_{i}"]) for i in range(p)),
-        precision=tuple(tuple(float(v) for v in line) for line in np.linalg.inv(matrix)),
-        rows=int(row["n"]),
-    )
+    model = replace(model, precision=tuple(tuple(float(v) for v in line) for line in np.linalg.inv(matrix)))
     if age_column is None or age_column not in reference.columns:
         return model
     line = age_regression(complete, model, age_column).first()
@@ -189,12 +201,10 @@ def fit_and_score(wide: DataFrame, reference: DataFrame, names: Sequence[str] =
 def fit_population(t: Tables, as_of: dt.date | str, with_years: bool = True) -> HDModel:
     """Model of the population's own reference group.
 
-    The regression reads the reference rows a second time, so they are stored once in between.
+    The fit reads the reference rows several times, so they are stored once in between.
     """
-    reference = reference_wide(t, as_of)
-    if not with_years:
-        return fit(reference, age_column=None)
-    return fit(cut_lineage(reference))
+    reference = cut_lineage(reference_wide(t, as_of), "reference")
+    return fit(reference, age_column="Age" if with_years else None)
 
 
 def age_from_distance(age: Column, distance: Column) -> Column:

@@ -187,7 +187,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(hd.correlation(hd.reference_wide(survey_tables(spark, sf), AS_OF)), 6, "Correlation")
+    return rounded(hd.correlation(cut_lineage(hd.reference_wide(survey_tables(spark, sf), AS_OF))), 6, "Correlation")
 
 
 def _entry(i: int, j: int) -> str:
