@@ -1,7 +1,7 @@
 """Catalog tables: biomarkers, models, coefficients and reference ranges.
 
-They are built as inline VALUES, so Catalyst knows their exact size and broadcasts them by its
-own size check; no operator forces a broadcast.
+Joined by their few keys they must never be shuffled, so they carry a broadcast hint. The built-in
+ones are literals of a known number of rows; for stored ones ``bounded`` counts first.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Id, name, survey variable code, unit, description.
 BIOMARKERS = [
@@ -136,14 +137,14 @@ def values_sql(rows: list[tuple], ddl: str) -> str:
     """SELECT over inline VALUES with the given column types; valid in Spark and in ANSI SQL."""
     columns = _columns(ddl)
 
-    def literal(value) -> str:
+    def text(value) -> str:
         if value is None:
             return "NULL"
         if isinstance(value, str):
             return "'" + value.replace("'", "''") + "'"
         return str(value)
 
-    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
     names = ", ".join(f"c{i}" for i in range(len(columns)))
     casts = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(columns))
     return f"SELECT {casts} FROM (VALUES {body}) AS v({names})"
@@ -159,18 +160,35 @@ def catalog_sql(table: str, range_set: str = "seed") -> str:
     return values_sql(rows, _COLUMNS[table])
 
 
+# Most rows a catalog may have to be broadcast.
+MAX_ROWS = 10_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it has at most ``MAX_ROWS`` rows, else as it is.
+
+    Counting stops one row beyond the bound.
+    """
+    return F.broadcast(df) if df.limit(MAX_ROWS + 1).count() <= MAX_ROWS else df
+
+
+def literal(spark: SparkSession, table: str, range_set: str = "seed") -> DataFrame:
+    """A built-in catalog; none has more than a few dozen rows."""
+    return F.broadcast(spark.sql(catalog_sql(table, range_set)))
+
+
 def biomarkers(spark: SparkSession) -> DataFrame:
-    return spark.sql(catalog_sql("biomarkers"))
+    return literal(spark, "biomarkers")
 
 
 def models(spark: SparkSession) -> DataFrame:
-    return spark.sql(catalog_sql("models"))
+    return literal(spark, "models")
 
 
 def coefficients(spark: SparkSession) -> DataFrame:
-    return spark.sql(catalog_sql("coefficients"))
+    return literal(spark, "coefficients")
 
 
 def ranges(spark: SparkSession, range_set: str = "seed") -> DataFrame:
     """``seed`` is the set shipped with the schema, ``etl`` the one the load step replaces it with."""
-    return spark.sql(catalog_sql("ranges", range_set))
+    return literal(spark, "ranges", range_set)

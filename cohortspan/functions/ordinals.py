@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def dense_ordinal(
     df: DataFrame,
     name: str,
     group: Sequence[str],
-    levels: Sequence[tuple[str, Column]],
+    levels: Sequence[Column],
     order: Sequence[Column],
     start: int = 1,
 ) -> DataFrame:
@@ -23,10 +25,16 @@ def dense_ordinal(
     turned into offsets by windows that see one row per slice, and only the rows of one finest slice
     are sorted together. No task ever holds a whole group, so a hot group is as cheap as many small
     ones. An empty ``group`` numbers the whole table. Group and level values must not be NULL.
+
+    ``df`` is read twice, for the counts and for the rows: store it before if it is costly.
     """
     slices = [f"__{name}_{i}" for i in range(len(levels))]
-    cut = df.withColumns({alias: expr for alias, (_, expr) in zip(slices, levels)})
     keys = [*group, *slices]
+    cut = df.withColumns(dict(zip(slices, levels)))
+    # Said here once, the joins below do not add it in different places; so all levels of the counts
+    # come from the same exchange.
+    cut = cut.dropna(subset=list(group)) if group else cut
+    cut = cut.where(reduce(lambda a, b: a & b, [F.col(s).isNotNull() for s in slices]))
     counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
     offsets = None
@@ -49,10 +57,19 @@ def dense_ordinal(
     )
 
 
-def id_blocks(key: str, width: int = 1 << 20) -> list[tuple[str, Column]]:
-    """Slicing levels for a unique integer key: blocks of ``width`` keys within blocks of blocks.
+def id_blocks(df: DataFrame, key: str, then: Sequence[Column] = ()) -> list[Column]:
+    """Slicing levels for numbering by an integer key.
 
-    Being unique, a block holds at most ``width`` rows, whatever the distribution of the keys.
+    A unique key is cut into blocks of a million values, so a block holds at most a million rows
+    however the keys are spread; a 64-bit key is first cut into blocks of a million blocks. If rows
+    share a key, ``then`` cuts the rows of one key, and blocks are kept smaller for it.
     """
+    wide = isinstance(df.schema[key].dataType, LongType)
     value = F.col(key).cast("bigint")
-    return [("outer", F.shiftright(value, 40)), ("inner", F.shiftright(value, width.bit_length() - 1))]
+    bits = 14 if then else 20
+    levels = [F.shiftright(value, bits + 20)] if wide else []
+    levels.append(F.shiftright(value, bits))
+    if then:
+        parts = {"key": value, **{f"then{i}": column for i, column in enumerate(then)}}
+        levels.append(F.struct(*[column.alias(alias) for alias, column in parts.items()]))
+    return levels

@@ -163,7 +163,7 @@ def assign_ids(
     name: str,
     key: str,
     start: int = 1,
-    then: Sequence[tuple[str, Column]] = (),
+    then: Sequence[Column] = (),
     order: Sequence[Column] = (),
 ) -> DataFrame:
     """Consecutive ids from ``start`` in the order of an integer key.
@@ -171,17 +171,14 @@ def assign_ids(
     If ``key`` alone is not unique, ``then`` slices the rows of one key further and ``order`` sorts
     the rest. The ids depend on the data only, not on how it is partitioned.
     """
-    levels = id_blocks(key)
-    if then:
-        levels = [*levels, (key, F.col(key)), *then]
-    return dense_ordinal(df, name, [], levels, [F.col(key), *order], start)
+    return dense_ordinal(df, name, [], id_blocks(df, key, then), [F.col(key), *order], start)
 
 
 def fill_ids(
     df: DataFrame,
     name: str,
     key: str,
-    then: Sequence[tuple[str, Column]] = (),
+    then: Sequence[Column] = (),
     order: Sequence[Column] = (),
 ) -> DataFrame:
     """Give rows without an id the next free ones; the highest id in use is the one value fetched."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import iso_date
-from cohortspan.functions.ordinals import dense_ordinal, id_blocks
+from cohortspan.operators.etl import assign_ids
 from cohortspan.session import cut_lineage
 
 # Reasons, in the order in which they are looked for.
@@ -115,14 +115,7 @@ def ingest(
 
     if first_session_id is None:
         first_session_id = (sessions.agg(F.max("SessionID")).first()[0] or 0) + 1
-    accepted = dense_ordinal(
-        judged.where("Reason IS NULL"),
-        "SessionID",
-        [],
-        id_blocks("SubmissionID"),
-        [F.col("SubmissionID")],
-        first_session_id,
-    )
+    accepted = assign_ids(judged.where("Reason IS NULL"), "SessionID", "SubmissionID", first_session_id)
     time_of_day = F.unix_timestamp(F.lit(ingested_at).cast("timestamp")) - F.unix_timestamp(
         F.to_date(F.lit(ingested_at)).cast("timestamp")
     )

@@ -203,9 +203,13 @@ def hd_population(t: Tables, as_of: dt.date | str) -> DataFrame:
         F.coalesce(F.sum(F.col("rows") * F.col("latest")), F.lit(0)).alias("JoinedRows")
     )
     healthy = (F.col("MinBMI") >= 18.5) & (F.col("MaxBMI") < 30.0)
-    # Two one-row tables side by side.
-    keyed = spread.withColumn("k", F.lit(1)).join(joined.withColumn("k", F.lit(1)), "k").drop("k")
-    return keyed.withColumn("BmiOk", healthy)
+    return _side_by_side([spread, joined]).withColumn("BmiOk", healthy)
+
+
+def _side_by_side(one_row_tables: list[DataFrame]) -> DataFrame:
+    """Tables of one row as one row: stacked, and folded by the highest value of each column."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_tables)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def catalog_order(t: Tables) -> DataFrame:
@@ -245,36 +249,37 @@ def five_table_join(t: Tables, limit: int | None = None) -> DataFrame:
 def range_usage(t: Tables) -> DataFrame:
     """Measurements of each range's biomarker, and how many of them lie inside.
 
-    Equal values are counted before the ranges multiply them.
+    Equal values are counted before the few ranges, which are broadcast, multiply them.
+    There are only as many join keys as biomarkers, so the values are never shuffled by that key.
     """
-    values = t.measurements.groupBy("BiomarkerID", "Value").agg(F.count(F.lit(1)).alias("n"))
     keys = ["BiomarkerID", "RangeType", "Sex", "AgeMin", "AgeMax", "MinVal", "MaxVal"]
+    values = t.measurements.groupBy("BiomarkerID", "Value").agg(F.count(F.lit(1)).alias("n"))
     inside = (F.col("MinVal") <= F.col("Value")) & (F.col("Value") <= F.col("MaxVal"))
-    used = t.ranges.join(values, "BiomarkerID", "left").groupBy(*keys)
-    return used.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("MeasurementCount"),
-        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("InsideCount"),
+    used = values.join(t.ranges, "BiomarkerID").select(
+        *keys, F.col("n").alias("MeasurementCount"), F.when(inside, F.col("n")).otherwise(0).alias("InsideCount")
     )
+    unused = t.ranges.select(*keys, F.lit(0).alias("MeasurementCount"), F.lit(0).alias("InsideCount"))
+    counts = [F.sum(c).alias(c) for c in ("MeasurementCount", "InsideCount")]
+    return used.unionByName(unused).groupBy(*keys).agg(*counts)
 
 
 def summary(t: Tables, as_of: dt.date | str) -> DataFrame:
     """One row that sums the checks up, ready to be written as JSON."""
-    parts = {
-        "biomarkers": t.biomarkers.agg(F.count(F.lit(1)).alias("biomarkers")),
-        "ranges": t.ranges.agg(
+    parts = [
+        t.biomarkers.agg(F.count(F.lit(1)).alias("biomarkers")),
+        t.ranges.agg(
             F.count(F.lit(1)).alias("reference_ranges"),
             F.count(F.when(F.col("RangeType") == "clinical", 1)).alias("clinical_ranges"),
             F.count(F.when(F.col("RangeType") == "longevity", 1)).alias("longevity_ranges"),
         ),
-        "models": t.models.join(t.coefficients, "ModelID", "left").agg(
+        t.models.join(t.coefficients, "ModelID", "left").agg(
             F.countDistinct("ModelID").alias("models"), F.count("BiomarkerID").alias("coefficients")
         ),
-        "candidates": hd_reference_candidates(t, as_of).agg(F.count(F.lit(1)).alias("hd_reference_candidates")),
-        "users": t.users.agg(F.count(F.lit(1)).alias("users")),
-        "measurements": t.measurements.agg(F.count(F.lit(1)).alias("measurements")),
-    }
-    keyed = [df.withColumn("k", F.lit(1)) for df in parts.values()]
-    return reduce(lambda left, right: left.join(right, "k"), keyed).drop("k")
+        hd_reference_candidates(t, as_of).agg(F.count(F.lit(1)).alias("hd_reference_candidates")),
+        t.users.agg(F.count(F.lit(1)).alias("users")),
+        t.measurements.agg(F.count(F.lit(1)).alias("measurements")),
+    ]
+    return _side_by_side(parts)
 
 
 def write_summary(t: Tables, as_of: dt.date | str, folder: str) -> None:

@@ -129,8 +129,8 @@ def range_comparison(
     """Query 5: latest values against the clinical and longevity ranges for the user's sex.
 
     ``match_age`` also asks the user's age to lie within the range's ages. ``only`` keeps one range
-    type, and rows that have such a range. The few ranges are broadcast by their size, so the rest
-    is one join with users and one aggregation on the same key.
+    type, and rows that have such a range. The few ranges are broadcast, so the rest is
+    one join with users and one aggregation on the same key.
     """
     people = t.users.select("UserID", F.col("Sex").alias("UserSex"), "BirthDate")
     if match_age:

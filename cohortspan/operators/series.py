@@ -221,7 +221,7 @@ def session_ordinal(t: Tables) -> DataFrame:
         t.sessions,
         "Ordinal",
         ["UserID"],
-        [("year", F.year("SessionDate"))],
+        [F.year("SessionDate")],
         [F.col("SessionDate"), F.col("SessionID")],
     )
     return numbered.select("UserID", "SessionID", "SessionDate", F.col("Ordinal").cast("int").alias("Ordinal"))

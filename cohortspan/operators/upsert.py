@@ -28,13 +28,14 @@ def upsert(
 ) -> DataFrame:
     """``existing`` with the ``update`` columns of matching rows replaced and new keys added.
 
-    ``incoming`` is brought to one row per key first (the first in ``latest_first``), so the full
-    outer join meets each key at most once on either side and no key can be hot. An incoming NULL
-    replaces a stored value. Columns that ``incoming`` lacks are NULL in added rows.
+    ``incoming`` is brought to one row per key first: the first in ``latest_first``, by default the one
+    with the highest other columns. So the full outer join meets each key at most once on either side
+    and no key can be hot; both steps use the same partitioning. An incoming NULL replaces a stored
+    value. Columns that ``incoming`` lacks are NULL in added rows.
     """
     keys = list(keys)
-    if latest_first:
-        incoming = first_per_group(incoming, keys, list(latest_first))
+    order = list(latest_first) or [F.col(c).desc() for c in incoming.columns if c not in keys]
+    incoming = first_per_group(incoming, keys, order or [F.lit(1)])
     extra = [c for c in incoming.columns if c not in keys]
     renamed = incoming.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in extra], F.lit(True).alias("__in"))
     stored = existing.withColumn("__stored", F.lit(True))

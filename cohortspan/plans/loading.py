@@ -318,7 +318,7 @@ def _(spark, sf):
 def _(spark, sf):
     sessions = survey_tables(spark, sf).sessions.select("UserID", "SessionDate")
     return etl.assign_ids(
-        sessions, "NewID", "UserID", then=[("year", F.year("SessionDate"))], order=[F.col("SessionDate")]
+        sessions, "NewID", "UserID", then=[F.year("SessionDate")], order=[F.col("SessionDate")]
     )
 
 
@@ -366,7 +366,7 @@ def _(spark, sf):
     )
     merged = upsert.upsert_sessions(stored, incoming, t.users)
     return etl.fill_ids(
-        merged, "SessionID", "UserID", then=[("year", F.year("SessionDate"))], order=[F.col("SessionDate")]
+        merged, "SessionID", "UserID", then=[F.year("SessionDate")], order=[F.col("SessionDate")]
     )
 
 

@@ -90,6 +90,9 @@ SCHEMAS = {
     "results": RESULT,
 }
 
+# Tables that hold definitions, not observations.
+CATALOGS = ("biomarkers", "ranges", "models", "coefficients")
+
 # Natural keys: what a load or an upsert matches on.
 NATURAL_KEYS = {
     "users": ["SEQN"],

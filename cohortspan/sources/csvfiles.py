@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspan.catalog import bounded
 from cohortspan.schemas import RANGE
 
 CORRUPT = "_corrupt_record"
@@ -81,7 +82,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Reference ranges from a file without column names that opens with comment lines."""
-    return spark.read.schema(RANGE).option("header", False).option("comment", "#").csv(path)
+    return bounded(spark.read.schema(RANGE).option("header", False).option("comment", "#").csv(path))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -103,4 +104,4 @@ def write_ranges(ranges: DataFrame, path: str) -> None:
 def replace_ranges(incoming: DataFrame, folder: str) -> DataFrame:
     """Clear the stored reference ranges and load others in their place."""
     incoming.select(*[F.col(f.name).cast(f.dataType) for f in RANGE.fields]).write.mode("overwrite").parquet(folder)
-    return incoming.sparkSession.read.schema(RANGE).parquet(folder)
+    return bounded(incoming.sparkSession.read.schema(RANGE).parquet(folder))

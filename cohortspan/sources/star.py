@@ -10,12 +10,13 @@ order with very many lines collapses on the map side.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from cohortspan import catalog
+from cohortspan.schemas import CATALOGS
 from cohortspan.tables import NAMES, Tables
 
 BASE = ("customer", "orders", "lineitem")
@@ -122,12 +123,13 @@ def survey_tables(spark: SparkSession, sf_dir: str, range_set: str = "seed") ->
         if name not in made:
             if name in BASE:
                 made[name] = derive(spark, sf_dir, name)
+            elif name in CATALOGS:
+                made[name] = catalog.literal(spark, name, range_set)
             else:
                 made[name] = spark.sql(STATEMENTS[name], **{need: make(need) for need in _needs(name)})
         return made[name]
 
-    statement = {name: name for name in NAMES} | {"ranges": "ranges" if range_set == "seed" else "ranges_etl"}
-    return Tables(**{name: lambda name=name: make(statement[name]) for name in NAMES})
+    return Tables(**{name: partial(make, name) for name in NAMES})
 
 
 def sql_prefix(*names: str) -> str:

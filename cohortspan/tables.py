@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.schemas import SCHEMAS
+from cohortspan.catalog import bounded
+from cohortspan.schemas import CATALOGS, SCHEMAS
 
 NAMES = tuple(SCHEMAS)
 
@@ -53,26 +55,37 @@ class Tables:
             df.createOrReplaceTempView(prefix + name)
 
 
-def write_tables(tables: Tables, folder: str, partitions: int | None = None) -> None:
+# How fact tables are laid out: by key, and within a key by what tells its rows apart, so that the
+# rows of one frequent key can end up in several files.
+LAYOUT = {
+    "sessions": ["UserID", "SessionDate"],
+    "measurements": ["SessionID", "BiomarkerID"],
+    "anthropometry": ["UserID", "ExamDate"],
+    "results": ["UserID", "ComputedAt"],
+}
+
+
+def write_tables(tables: Tables, folder: str) -> None:
     """Write each table as parquet in the declared types.
 
-    Facts are laid out by their key, so that the statistics in the files let a question about few
-    users skip most of them.
+    Facts are range-partitioned and sorted by their key: the statistics in the files then let a
+    question about few users skip most of them.
     """
-    layout = {"sessions": "UserID", "measurements": "SessionID", "anthropometry": "UserID", "results": "UserID"}
     for name, df in tables.items():
         typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
-        if name in layout:
-            key = layout[name]
-            typed = typed.repartitionByRange(partitions, key) if partitions else typed.repartitionByRange(key)
-            typed = typed.sortWithinPartitions(key)
+        if name in LAYOUT:
+            typed = typed.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
         typed.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def scan_tables(spark: SparkSession, folder: str) -> Tables:
-    """Read the base tables with their declared schemas; no inference job runs."""
+    """Read the base tables with their declared schemas; no inference job runs.
+
+    Catalogs are broadcast in joins if they turn out to be small.
+    """
 
-    def reader(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    def read(name: str) -> DataFrame:
+        df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+        return bounded(df) if name in CATALOGS else df
 
-    return Tables(**{name: reader(name) for name in NAMES})
+    return Tables(**{name: partial(read, name) for name in NAMES})
