@@ -20,10 +20,11 @@ def newest_per_group(df: DataFrame, keys: list[str], when: str) -> DataFrame:
 
     ``rank() = 1`` lets Spark keep only each map task's own candidates before the shuffle, so a
     group with very many rows arrives as a few. A window also reads its input once, where joining
-    back on the maximum would read it twice.
+    back on the maximum would read it twice. Rows without ``when`` sort last and never count.
     """
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(when).desc()))
-    return df.where(F.col(when).isNotNull()).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(when).desc_nulls_last()))
+    newest = (F.col("__rank") == 1) & F.col(when).isNotNull()
+    return df.withColumn("__rank", rank).where(newest).drop("__rank")
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

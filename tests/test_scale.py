@@ -150,6 +150,18 @@ def test_user_filter_moves_below_the_window(spark):
     assert scans and all("DataFilters: [" in line and "o_custkey" in line for line in scans)
 
 
+def test_filters_reach_stored_tables(hot, spark, tmp_path):
+    write_tables(hot, str(tmp_path))
+    t = scan_tables(spark, str(tmp_path))
+    text = plan(queries.user_profile(t, "2024-01-01").where("userId = 7"))
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert sum("EqualTo(UserID,7)" in line for line in scans) == 2  # users and sessions
+    text = plan(queries.trend(t, "2006-06-01", within="1 year"))
+    assert "GreaterThan(SessionDate,2005-06-01)" in text
+    measured = next(line for line in text.splitlines() if "FileScan" in line and "Value#" in line)
+    assert "ReadSchema: struct<SessionID:int,BiomarkerID:int,Value:decimal(12,4)>" in measured
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(queries.measurement_summary(survey_tables(spark, SMALL)))
     lines = [line for line in text.splitlines() if "FileScan" in line and "lineitem" in line]
