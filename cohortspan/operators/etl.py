@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions.ordinals import dense_ordinal, id_blocks
 from cohortspan.operators.views import first_per_group
+from cohortspan.session import cut_lineage
 
 # Survey codes and their labels; code 5 is not in use.
 SEX_CODES = {1: "M", 2: "F"}
@@ -181,7 +182,11 @@ def fill_ids(
     then: Sequence[Column] = (),
     order: Sequence[Column] = (),
 ) -> DataFrame:
-    """Give rows without an id the next free ones; the highest id in use is the one value fetched."""
+    """Give rows without an id the next free ones; the highest id in use is the one value fetched.
+
+    The rows are read for that value, for the counts and for themselves, so they are stored first.
+    """
+    df = cut_lineage(df, "merged")
     used = df.agg(F.max(name)).first()[0] or 0
     new = assign_ids(df.where(F.col(name).isNull()).drop(name), name, key, used + 1, then, order)
     kind = df.schema[name].dataType

@@ -60,7 +60,8 @@ def user_profile(t: Tables, as_of: dt.date | str) -> DataFrame:
 
 
 def user_profile_nested(t: Tables, as_of: dt.date | str) -> DataFrame:
-    """Query 2, one row per user. The list holds latest values only: one per biomarker, and ties."""
+    """Query 2, one row per user. The list holds latest values only, one per biomarker and tied visit,
+    so its length is bounded by the catalog and not by how often a user was measured."""
     item = F.struct(
         F.col("BiomarkerID").alias("biomarkerId"),
         F.col("BiomarkerName").alias("name"),
@@ -241,7 +242,8 @@ def session_details(t: Tables) -> DataFrame:
 
 
 def session_details_nested(t: Tables) -> DataFrame:
-    """Query 8, one row per visit; a visit has at most one value per biomarker."""
+    """Query 8, one row per visit. The natural key of measurements allows one value per biomarker, so a
+    list is never longer than the catalog."""
     item = F.struct("biomarkerId", "name", "value", "units")
     return (
         session_details(t)

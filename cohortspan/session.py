@@ -19,6 +19,27 @@ SETTINGS = {
 }
 
 
+_MIB = 1024 * 1024
+
+
+def sized_settings(shuffled_bytes: int, target_bytes: int = 128 * _MIB) -> dict[str, str]:
+    """Settings for a job whose largest shuffle moves about ``shuffled_bytes``.
+
+    Shuffles start with enough partitions for each to fit a task's memory; AQE merges what turns out
+    small. They can be set on a running session.
+    """
+    partitions = max(200, -(-shuffled_bytes // target_bytes))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),
+        "spark.sql.files.maxPartitionBytes": str(2 * target_bytes),
+    }
+
+
+# Folders made for local sessions that name none, by application.
+_local_folders: dict[str, str] = {}
+
+
 def build_session(app: str = "cohortspan", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -36,11 +57,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="cohortspan-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cohortspan-")
+    return _local_folders[context.applicationId]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -90,15 +90,14 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
 
 
 def write_ranges(ranges: DataFrame, path: str) -> None:
-    """Reference ranges as the load step reads them: three comment lines, no column names.
+    """Reference ranges without column names, and the comment lines that explain them.
 
-    The catalog is a few rows, so one file with the comments on top is in order.
+    Readers pass over comment lines wherever they are, so the order of files does not matter.
     """
     columns = [F.col(name).cast("string") for name in RANGE.fieldNames()]
     lines = ranges.select(F.concat_ws(",", *columns).alias("value"))
-    spark = ranges.sparkSession
-    comments = spark.createDataFrame([(text,) for text in RANGES_HEADER], "value STRING")
-    comments.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    comments = ranges.sparkSession.createDataFrame([(text,) for text in RANGES_HEADER], "value STRING")
+    comments.unionByName(lines).write.mode("overwrite").text(path)
 
 
 def replace_ranges(incoming: DataFrame, folder: str) -> DataFrame:

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortspan.sources.xpt import NAMESTR_MARK, OBS_MARK, RECORD
+from cohortspan.sources.xpt import NAMESTR_MARK, OBS_MARK, RECORD, resolve
 
 _STAMP = b"01JAN18:00:00:00"
 
@@ -74,9 +73,7 @@ def write_xpt(df: DataFrame, folder: str, rows_per_file: int = 200_000) -> int:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        filesystem, base = (
-            fs.FileSystem.from_uri(folder) if ":" in folder.split("/", 1)[0] else (fs.LocalFileSystem(), folder)
-        )
+        filesystem, base = resolve(folder)
         filesystem.create_dir(base, recursive=True)
         number, held, count = 0, [], 0
 

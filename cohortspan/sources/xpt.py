@@ -45,20 +45,26 @@ class Layout:
     rows: int
 
 
+def resolve(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path or address, and the name in it."""
+    if ":" in path.split("/", 1)[0]:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def _open(path: str):
-    filesystem, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
-    return (filesystem or fs.LocalFileSystem()).open_input_file(name)
+    filesystem, name = resolve(path)
+    return filesystem.open_input_file(name)
 
 
 def _files(path: str) -> list[str]:
-    scheme = path.split(":", 1)[0] + "://" if "://" in path else ("file:" if path.startswith("file:") else "")
-    filesystem, name = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
-    info = filesystem.get_file_info(name)
-    if info.type == fs.FileType.File:
+    path = path.rstrip("/")
+    filesystem, name = resolve(path)
+    if filesystem.get_file_info(name).type == fs.FileType.File:
         return [path]
+    place = path[: len(path) - len(name)] if path.endswith(name) else ""  # scheme and host
     found = filesystem.get_file_info(fs.FileSelector(name, recursive=True))
-    names = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".xpt"))
-    return [scheme + n for n in names]
+    return sorted(place + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".xpt"))
 
 
 def read_layout(path: str) -> Layout:

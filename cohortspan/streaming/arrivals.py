@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,10 @@ _HEADER = ["SubmissionID", "UserID", "SessionDateText", "FastingStatus"]
 def _stored(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(folder)
-    except Exception:  # nothing accepted yet: the folder does not exist
-        return spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing accepted yet
 
 
 def ingest_stream(

@@ -10,6 +10,7 @@ from cohortspan.functions.ordinals import dense_ordinal
 from cohortspan.catalog import bounded
 from cohortspan.operators import etl, pheno, quality, queries, relational, series, views
 from cohortspan.plans.registry import queries as registered
+from cohortspan.session import scratch, shared_folder, sized_settings
 from cohortspan.sources.star import survey_tables
 from cohortspan.tables import scan_tables, write_tables
 
@@ -86,6 +87,32 @@ def hot(spark):
     return make_tables(spark).replace(users=users, sessions=visits, measurements=values)
 
 
+def test_settings_follow_the_size():
+    settings = sized_settings(100 * 2**40)
+    assert settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(100 * 2**40 // (128 * 2**20))
+    assert sized_settings(1)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "200"
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return self.value
+
+    class Context:
+        applicationId = "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    Session.conf.value, Context.master = "hdfs://host/shared/", "yarn"
+    assert scratch(Session, "x").startswith("hdfs://host/shared/cohortspan/x-")
+    Session.conf.value = None
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+    Context.master = "local[2]"
+    assert shared_folder(Session) == shared_folder(Session)
+
+
 def test_hot_user_latest(hot):
     rows = hot.measurements.join(hot.sessions, "SessionID").toPandas()
     newest = rows.sort_values("TakenAt").groupby(["UserID", "BiomarkerID"]).tail(1)
