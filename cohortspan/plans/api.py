@@ -73,7 +73,7 @@ def _(spark, sf):
 @query(
     "q02b_profile_nested",
     ["aged", "latest"],
-    f"""SELECT userId, age, sex, string_agg(concat(CAST(biomarkerId AS VARCHAR), '=', CAST(value AS VARCHAR), ' ', units), '; '
+    f"""SELECT userId, age, sex, string_agg(CAST(biomarkerId AS VARCHAR) || '=' || CAST(value AS VARCHAR) || ' ' || units, '; '
   ORDER BY biomarkerId) AS biomarkers FROM ({_PROFILE}) p GROUP BY userId, age, sex""",
 )
 def _(spark, sf):
