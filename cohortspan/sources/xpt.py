@@ -15,10 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+import cohortspan
+
+# Send the code of this package to the workers by value, so they need not have it installed.
+cloudpickle.register_pickle_by_value(cohortspan)
+
 FORMAT = "xpt"
 RECORD = 80
 ROWS_PER_PARTITION = 1_000_000

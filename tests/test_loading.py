@@ -289,6 +289,12 @@ def test_transport_file_with_texts_short_numbers_and_padding(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1.0, "ab"), (None, "")]
 
 
+def test_workers_need_no_installed_package():
+    from pyspark import cloudpickle
+
+    assert "cohortspan" in cloudpickle.list_registry_pickle_by_value()
+
+
 def test_transport_file_of_another_kind(tmp_path):
     (tmp_path / "x.xpt").write_bytes(b"no such thing" * 100)
     with pytest.raises(ValueError, match="not a version 5"):
