@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 import cohortspan
 from cohortspan.session import scratch
@@ -145,7 +146,41 @@ class Steps:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         return self.store(df, name)[0]
 
+    def _place(self, path: str):
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def size(self, path: str) -> int:
+        """Bytes of a stored table."""
+        place, system = self._place(path)
+        return system.getContentSummary(place).getLength()
+
     def remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        place, system = self._place(path)
+        system.delete(place, True)
+
+
+def numbered(df: DataFrame, order: list[Column | str], steps: Steps, name: str) -> DataFrame:
+    """The rows with their number 0, 1, 2, ... in the given order, from one range sort.
+
+    The sorted rows are stored with their place in their partition; the counts per partition, one small
+    row each, give where a partition starts.
+    """
+    sorted_rows = df.orderBy(*order).withColumns(
+        {
+            "_part": F.spark_partition_id(),
+            "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+        }
+    )
+    stored = steps.table(sorted_rows, "sorted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy("_part")
+        .agg(F.count("*").alias("n"))
+        .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    )
+    # One row per partition: a proven size for the broadcast.
+    return stored.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop(
+        "_part", "_row", "_before"
+    )

@@ -7,8 +7,10 @@ again as the next stage's documents. All but the last return the columns of docu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspan.llm import ngram_join, toxicity
+from cohortspan.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
+from cohortspan.llm.queries import WORD_BPE, tokenizer_path
 from cohortspan.session import scratch
 
 
@@ -22,9 +24,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs)
 
 
-STAGES = [("toxicity", toxic), ("ngram_jaccard_join", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again are cut out of the texts; every document stays, if need be with an empty text."""
+    return suffix_dedup.without_repeats(docs)
 
-# No SQL for the classifier; the tests compare the stages with brute force.
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it, which may be never or up to three times."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian unsigned 32-bit integers) and the text they decode to."""
+    path = tokenizer_path(WORD_BPE)
+    decoded = bpe.decode(bpe.encode(docs, path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "text")
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", source_mix),
+    ("bpe_encoding", tokens),
+]
+
+# No SQL for a trained classifier; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
