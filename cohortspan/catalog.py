@@ -160,18 +160,6 @@ def catalog_sql(table: str, range_set: str = "seed") -> str:
     return values_sql(rows, _COLUMNS[table])
 
 
-# Most rows a catalog may have to be broadcast.
-MAX_ROWS = 10_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it has at most ``MAX_ROWS`` rows, else as it is.
-
-    Counting stops one row beyond the bound.
-    """
-    return F.broadcast(df) if df.limit(MAX_ROWS + 1).count() <= MAX_ROWS else df
-
-
 def literal(spark: SparkSession, table: str, range_set: str = "seed") -> DataFrame:
     """A built-in catalog; none has more than a few dozen rows."""
     return F.broadcast(spark.sql(catalog_sql(table, range_set)))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A month counts 31 days and a year 365 in a typed duration.
+# The form of a typed duration, in which a month counts 31 days and a year 365.
 DAYS_PER_UNIT = {"day": 1, "week": 7, "month": 31, "year": 365}
 _DURATION = r"^\s*(\d+)\s*(day|week|month|year)s?\s*$"
 
@@ -35,6 +36,12 @@ def duration_days(text: Column) -> Column:
     return F.try_multiply(number, factor.cast("bigint"))
 
 
+def literal_days(text: str) -> int | None:
+    """The same for one text at hand."""
+    found = re.match(_DURATION, text.lower(), re.ASCII)
+    return int(found[1]) * DAYS_PER_UNIT[found[2]] if found else None
+
+
 def iso_date(text: Column) -> Column:
     """Date in the form yyyy-MM-dd, NULL for anything else."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))

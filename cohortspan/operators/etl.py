@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,27 +94,41 @@ def clean_sessions(users: DataFrame, demo: DataFrame, fastqx: DataFrame) -> Data
     return visits.join(fasting_status(fastqx), "SEQN", "left").select("SEQN", "SessionDate", status)
 
 
-def melt(df: DataFrame, key: str, names: str, values: str) -> DataFrame:
+def melt(df: DataFrame, keys: str | Sequence[str], names: str, values: str) -> DataFrame:
     """Wide to long: one row per key and non-missing column."""
-    columns = [c for c in df.columns if c != key]
-    return df.unpivot([key], columns, names, values).where(F.col(values).isNotNull())
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    columns = [c for c in df.columns if c not in keys]
+    return df.unpivot(keys, columns, names, values).where(F.col(values).isNotNull())
 
 
 def clean_measurements(labs: Sequence[DataFrame], demo: DataFrame, biomarkers: DataFrame) -> DataFrame:
     """Long form of all laboratory files, with the biomarker looked up by its variable code."""
     stacked = None
     for lab in labs:
-        long = melt(lab, "SEQN", "NHANESVarCode", "Value")
+        # The date joins one wide row per participant, not each of its values.
+        dated = with_exam_date(lab.withColumn("SEQN", F.col("SEQN").cast("int")), demo, "TakenAt")
+        long = melt(dated, ["SEQN", "TakenAt"], "NHANESVarCode", "Value")
         stacked = long if stacked is None else stacked.unionByName(long)
-    known = stacked.join(biomarkers.select("NHANESVarCode", "BiomarkerID"), "NHANESVarCode")
-    keyed = known.select(F.col("SEQN").cast("int").alias("SEQN"), "BiomarkerID", "Value")
-    dated = with_exam_date(keyed, demo, "TakenAt").dropna()
-    return dated.select("SEQN", F.col("TakenAt").alias("SessionDate"), "BiomarkerID", "Value", "TakenAt")
+    known = stacked.join(biomarkers.select("NHANESVarCode", "BiomarkerID"), "NHANESVarCode").dropna()
+    return known.select("SEQN", F.col("TakenAt").alias("SessionDate"), "BiomarkerID", "Value", "TakenAt")
+
+
+def split_by_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key is complete, and those with a NULL in it; None where no key column can be NULL."""
+    nullable = [k for k in keys if df.schema[k].nullable]
+    if not nullable:
+        return df, None
+    return df.dropna(subset=nullable), df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in nullable]))
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The incoming rows a unique key lets in: not stored yet, and first among themselves."""
-    return first_per_group(incoming, keys, order).join(existing.select(*keys), keys, "left_anti")
+    """The incoming rows a unique key lets in: not stored yet, and first among themselves.
+
+    As in a unique key, rows with a NULL in it are all different.
+    """
+    complete, open_keys = split_by_key(incoming, keys)
+    new = first_per_group(complete, keys, order).join(existing.select(*keys), keys, "left_anti")
+    return new if open_keys is None else new.unionByName(open_keys.select(*new.columns))
 
 
 def load_sessions(staged: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
@@ -127,7 +142,8 @@ def load_sessions(staged: DataFrame, users: DataFrame, existing: DataFrame) -> D
 def load_measurements(staged: DataFrame, users: DataFrame, sessions: DataFrame, existing: DataFrame) -> DataFrame:
     """New values with the visit looked up by participant number and date; others fall out.
 
-    A value outside the column's range does not fit and falls out as well.
+    A value outside the column's range does not fit and falls out as well; ``rejected_measurements``
+    lists what falls out and why.
     """
     keyed = (
         staged.join(users.select("SEQN", "UserID"), "SEQN")
@@ -143,6 +159,44 @@ def load_measurements(staged: DataFrame, users: DataFrame, sessions: DataFrame,
     return insert_ignore(existing, keyed, ["SessionID", "BiomarkerID"], [F.col("TakenAt"), F.col("Value")])
 
 
+def rejected_measurements(staged: DataFrame, users: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The staged values that ``load_measurements`` cannot place, each with a reason."""
+    known = users.select("SEQN", "UserID", F.lit(True).alias("UserKnown"))
+    visits = sessions.select("UserID", "SessionDate", F.lit(True).alias("Visited"))
+    reason = (
+        F.when(F.col("UserKnown").isNull(), "unknown_participant")
+        .when(F.col("Visited").isNull(), "no_such_visit")
+        .when(F.col("Value").try_cast("decimal(12,4)").isNull(), "value_does_not_fit")
+    )
+    found = staged.join(known, "SEQN", "left").join(visits, ["UserID", "SessionDate"], "left")
+    return found.withColumn("Reason", reason).where("Reason IS NOT NULL").select(*staged.columns, "Reason")
+
+
+def rejected_anthropometry(staged: DataFrame, users: DataFrame) -> DataFrame:
+    """Staged body measures of unknown participants, and those with a measure that the table cannot hold.
+
+    ``load_anthropometry`` stores the latter with that measure missing.
+    """
+    known = users.select("SEQN", F.lit(True).alias("UserKnown"))
+    too_large = [
+        F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()
+        for name, kind in (("HeightCM", "decimal(5,2)"), ("WeightKG", "decimal(5,2)"), ("BMI", "decimal(4,2)"))
+    ]
+    reason = F.when(F.col("UserKnown").isNull(), "unknown_participant").when(
+        reduce(lambda a, b: a | b, too_large), "measure_does_not_fit"
+    )
+    found = staged.join(known, "SEQN", "left").withColumn("Reason", reason)
+    return found.where("Reason IS NOT NULL").select(*staged.columns, "Reason")
+
+
+def load_users(staged: DataFrame, users: DataFrame) -> DataFrame:
+    """New users with the next free ids, in the order of their participant numbers; known numbers are passed over."""
+    new = insert_ignore(users, staged, ["SEQN"], [F.col(c) for c in staged.columns if c != "SEQN"])
+    highest = users.agg(F.max("UserID")).first()[0] or 0
+    numbered = assign_ids(cut_lineage(new.where("SEQN IS NOT NULL"), "new-users"), "UserID", "SEQN", highest + 1)
+    return numbered.select(F.col("UserID").cast("int").alias("UserID"), *staged.columns)
+
+
 def load_anthropometry(staged: DataFrame | None, users: DataFrame, existing: DataFrame) -> DataFrame:
     """New body measures; without an input file there is nothing to add. Empty fields stay NULL."""
     if staged is None:

@@ -1,7 +1,7 @@
 """Homeostatic dysregulation: Mahalanobis distance from a healthy young reference population.
 
-The fit is two aggregations that each bring one row to the driver, moments and then products of
-z-scores; the matrix of the few biomarkers is inverted there. Scoring is plain column arithmetic with the fitted numbers as literals.
+The fit is one aggregation that brings one row to the driver, moments and covariances; the matrix of the
+few biomarkers is inverted there. Scoring is plain column arithmetic with the fitted numbers as literals.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortspan.catalog import BIOMARKERS
@@ -112,16 +112,14 @@ def _pairs(count: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(count) for j in range(i + 1, count)]
 
 
-def _product_columns(model: HDModel) -> list[Column]:
-    """Sums of products of z-scores. They are plain sums of centred numbers, so they neither cancel
-    nor need the wide state of a pairwise correlation."""
-    z = [model.z(i) for i in range(len(model.names))]
-    return [F.sum(z[i] * z[j]).alias(f"p_{i}_{j}") for i, j in _pairs(len(z))]
+def _covariance_columns(names: Sequence[str]) -> list[Column]:
+    """Covariance of every pair; its running form is centred, so large means do not cancel."""
+    value = [F.col(f"`{name}`").cast("double") for name in names]
+    return [F.covar_samp(value[i], value[j]).alias(f"p_{i}_{j}") for i, j in _pairs(len(value))]
 
 
-def _standardise(reference: DataFrame, names: tuple[str, ...], min_rows: int) -> HDModel:
+def _standardise(row: Row, names: tuple[str, ...], min_rows: int) -> HDModel:
     """Means and deviations as a model that has no precision matrix yet."""
-    row = reference.agg(*_moment_columns(names)).first()
     if row["n"] < max(min_rows, 2):
         raise HDUnavailable(f"reference population too small: {row['n']} < {min_rows}")
     stds = tuple(float(row[f"std_{i}"]) for i in range(len(names)))
@@ -133,13 +131,12 @@ def _standardise(reference: DataFrame, names: tuple[str, ...], min_rows: int) ->
 
 def correlation(reference: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     """Correlation of every pair of biomarkers, which is the covariance of the z-scores."""
-    model = _standardise(reference, tuple(names), 2)
-    flat = reference.agg(*_product_columns(model))
+    flat = reference.agg(*_moment_columns(names), *_covariance_columns(names))
     cells = [
         F.struct(
             F.lit(names[i]).alias("BiomarkerA"),
             F.lit(names[j]).alias("BiomarkerB"),
-            (F.col(f"p_{i}_{j}") / F.lit(model.rows - 1)).alias("Correlation"),
+            (F.col(f"p_{i}_{j}") / (F.col(f"std_{i}") * F.col(f"std_{j}"))).alias("Correlation"),
         )
         for i, j in _pairs(len(names))
     ]
@@ -154,14 +151,15 @@ def fit(
 ) -> HDModel:
     """Fit the model; with ``age_column`` also the regression of the distance on age.
 
-    ``reference`` is read twice, or three times with the regression: store it before if it is costly.
+    One aggregation gives counts, means, deviations and all covariances. With the regression ``reference`` is
+    read a second time: store it before if it is costly.
     """
     complete = reference.dropna(subset=list(names))
-    model = _standardise(complete, tuple(names), min_rows)
-    products = complete.agg(*_product_columns(model)).first()
+    row = complete.agg(*_moment_columns(names), *_covariance_columns(names)).first()
+    model = _standardise(row, tuple(names), min_rows)
     matrix = np.eye(len(names))
     for i, j in _pairs(len(names)):
-        matrix[i, j] = matrix[j, i] = products[f"p_{i}_{j}"] / (model.rows - 1)
+        matrix[i, j] = matrix[j, i] = row[f"p_{i}_{j}"] / (model.stds[i] * model.stds[j])
     if np.linalg.matrix_rank(matrix) < len(names):
         raise HDUnavailable("the correlation matrix of the reference population is singular")
     model = replace(model, precision=tuple(tuple(float(v) for v in line) for line in np.linalg.inv(matrix)))

@@ -1,8 +1,12 @@
 """New visits from submissions: validate, accept whole submissions, give a reason for the rest.
 
 A submission is a header (SubmissionID, UserID, SessionDateText, FastingStatus) and any number of
-values (SubmissionID, BiomarkerID, Value). Values are reduced to one row of findings per submission
-with map-side combine; they are never gathered into a list.
+values (SubmissionID, BiomarkerID, Value), or one nested record that ``flatten`` takes apart. Values are
+reduced to one row of findings per submission with map-side combine; they are never gathered into a list.
+
+A submission may be delivered several times: there is one decision per SubmissionID. Equal headers
+count as one, and a value that comes as often as the header as one value. Headers that disagree are
+rejected, and so is a header without an id.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ DUPLICATE_SESSION = "duplicate_session"
 UNKNOWN_BIOMARKER = "unknown_biomarker"
 NULL_VALUE = "null_value"
 REPEATED_BIOMARKER = "repeated_biomarker"
+CONFLICTING = "conflicting_submission"
 
 _HEADER = ["SubmissionID", "UserID", "SessionDateText", "FastingStatus"]
 
@@ -35,8 +40,43 @@ class Ingested:
     rejected: DataFrame
 
 
+def flatten(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and values of nested bodies: SubmissionID, UserID, sessionDate, fastingStatus and measurements, a
+    list of {biomarkerId, value}.
+
+    A body without a list of measurements loses its date and so is rejected as incomplete; an empty list is a visit
+    without values.
+    """
+    listed = F.col("measurements").isNotNull()
+    headers = bodies.select(
+        "SubmissionID",
+        "UserID",
+        F.when(listed, F.col("sessionDate")).alias("SessionDateText"),
+        F.col("fastingStatus").alias("FastingStatus"),
+    )
+    values = bodies.select("SubmissionID", F.explode("measurements").alias("m")).select(
+        "SubmissionID", F.col("m.biomarkerId").alias("BiomarkerID"), F.col("m.value").alias("Value")
+    )
+    return headers, values
+
+
+def _one_per_id(submissions: DataFrame) -> DataFrame:
+    """Headers brought to one per SubmissionID, with the number of deliveries and whether they disagree."""
+    body = F.struct("UserID", "SessionDateText", "FastingStatus")
+    merged = (
+        submissions.where("SubmissionID IS NOT NULL")
+        .groupBy("SubmissionID")
+        .agg(F.min(body).alias("low"), F.max(body).alias("high"), F.count(F.lit(1)).alias("Deliveries"))
+        .select("SubmissionID", "low.*", "Deliveries", (~F.col("low").eqNullSafe(F.col("high"))).alias("Conflict"))
+    )
+    nameless = submissions.where("SubmissionID IS NULL").select(
+        *_HEADER, F.lit(1).cast("bigint").alias("Deliveries"), F.lit(False).alias("Conflict")
+    )
+    return merged.unionByName(nameless)
+
+
 def _findings(values: DataFrame, biomarkers: DataFrame) -> DataFrame:
-    """Per submission: does it name an unknown biomarker, lack a value, repeat a biomarker."""
+    """Per submission: does it name an unknown biomarker, lack a value, and how often does a biomarker come."""
     known = biomarkers.select("BiomarkerID", F.lit(True).alias("Known"))
     per_biomarker = (
         values.withColumn("Value", F.col("Value").try_cast("decimal(12,4)"))
@@ -47,7 +87,7 @@ def _findings(values: DataFrame, biomarkers: DataFrame) -> DataFrame:
     return per_biomarker.groupBy("SubmissionID").agg(
         F.max(F.col("Known").isNull()).alias("Unknown"),
         F.max("NoValue").alias("NoValue"),
-        F.max(F.col("Times") > 1).alias("Repeated"),
+        F.max("Times").alias("Times"),
     )
 
 
@@ -70,25 +110,29 @@ def ingest(
     stored once in between; the values are not.
     """
     checked = (
-        submissions.withColumn("SessionDate", iso_date(F.col("SessionDateText")))
+        _one_per_id(submissions)
+        .withColumn("SessionDate", iso_date(F.col("SessionDateText")))
         .join(users.select("UserID", F.lit(True).alias("UserKnown")), "UserID", "left")
         .join(
             sessions.select("UserID", "SessionDate", F.lit(True).alias("Stored")), ["UserID", "SessionDate"], "left"
         )
         .join(_findings(values, biomarkers), "SubmissionID", "left")
+        .withColumn("Repeated", F.col("Times") > F.col("Deliveries"))
     )
     no = F.lit(False)
     checked = checked.withColumns(
         {
             "Incomplete": F.coalesce(F.col("SessionDateText"), F.lit("")).eqNullSafe("")
-            | F.col("FastingStatus").isNull(),
+            | F.col("FastingStatus").isNull()
+            | F.col("SubmissionID").isNull(),
             "BadValues": F.coalesce(F.col("Unknown"), no)
             | F.coalesce(F.col("NoValue"), no)
-            | F.coalesce(F.col("Repeated"), no),
+            | F.coalesce(F.col("Repeated"), no)
+            | F.col("Conflict"),
         }
     )
     checked = cut_lineage(
-        checked.select(*_HEADER, "SessionDate", "UserKnown", "Stored", "Unknown", "NoValue", "Repeated", "Incomplete", "BadValues")
+        checked.select(*_HEADER, "SessionDate", "UserKnown", "Stored", "Unknown", "NoValue", "Repeated", "Conflict", "Incomplete", "BadValues")
     )
     acceptable = (
         ~F.col("Incomplete")
@@ -103,7 +147,8 @@ def ingest(
     judged = checked.join(winners, ["UserID", "SessionDate"], "left")
     taken = F.col("Stored").isNotNull() | (F.col("Winner") < F.col("SubmissionID"))
     reason = (
-        F.when(F.col("Incomplete"), INVALID_VALUE)
+        F.when(F.col("Conflict"), CONFLICTING)
+        .when(F.col("Incomplete"), INVALID_VALUE)
         .when(F.col("SessionDate").isNull(), INVALID_DATE)
         .when(F.col("UserKnown").isNull(), UNKNOWN_USER)
         .when(F.coalesce(taken, no), DUPLICATE_SESSION)
@@ -123,7 +168,8 @@ def ingest(
     accepted = accepted.select(
         "SubmissionID", F.col("SessionID").cast("int").alias("SessionID"), "UserID", "SessionDate", "FastingStatus"
     )
-    measured = values.join(
+    delivered = values.select("SubmissionID", "BiomarkerID", "Value").distinct()
+    measured = delivered.join(
         accepted.select("SubmissionID", "SessionID", taken_at.alias("TakenAt")), "SubmissionID"
     ).select(
         "SubmissionID", "SessionID", "BiomarkerID", F.col("Value").try_cast("decimal(12,4)").alias("Value"), "TakenAt"

@@ -249,14 +249,13 @@ def five_table_join(t: Tables, limit: int | None = None) -> DataFrame:
 def range_usage(t: Tables) -> DataFrame:
     """Measurements of each range's biomarker, and how many of them lie inside.
 
-    Equal values are counted before the few ranges, which are broadcast, multiply them.
-    There are only as many join keys as biomarkers, so the values are never shuffled by that key.
+    The few ranges meet the values first; the partial counts then leave a row per range and task, so no
+    value is shuffled where the ranges are broadcast, as built-in ones are.
     """
     keys = ["BiomarkerID", "RangeType", "Sex", "AgeMin", "AgeMax", "MinVal", "MaxVal"]
-    values = t.measurements.groupBy("BiomarkerID", "Value").agg(F.count(F.lit(1)).alias("n"))
     inside = (F.col("MinVal") <= F.col("Value")) & (F.col("Value") <= F.col("MaxVal"))
-    used = values.join(t.ranges, "BiomarkerID").select(
-        *keys, F.col("n").alias("MeasurementCount"), F.when(inside, F.col("n")).otherwise(0).alias("InsideCount")
+    used = t.measurements.select("BiomarkerID", "Value").join(t.ranges, "BiomarkerID").select(
+        *keys, F.lit(1).alias("MeasurementCount"), F.when(inside, 1).otherwise(0).alias("InsideCount")
     )
     unused = t.ranges.select(*keys, F.lit(0).alias("MeasurementCount"), F.lit(0).alias("InsideCount"))
     counts = [F.sum(c).alias(c) for c in ("MeasurementCount", "InsideCount")]

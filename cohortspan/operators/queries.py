@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.catalog import MODELS
-from cohortspan.functions.dates import as_date, duration_days, full_years
+from cohortspan.functions.dates import as_date, full_years, literal_days
 from cohortspan.operators.views import first_per_group, latest_measurements, users_with_age
 from cohortspan.tables import Tables
 
@@ -200,8 +200,7 @@ def trend(t: Tables, as_of: dt.date | str, limit: int = 20, within: str = "6mont
 
     The day the period starts on does not belong to it. Raises for a text that is no duration.
     """
-    spark = t.sessions.sparkSession
-    days = spark.range(1).select(duration_days(F.lit(within))).first()[0]
+    days = literal_days(within)
     if days is None:
         raise ValueError("period must be '<number> <days|weeks|months|years>'")
     cutoff = F.date_sub(as_date(as_of), F.lit(days).cast("int"))

@@ -15,6 +15,7 @@ from cohortspan.session import cut_lineage
 from cohortspan.tables import Tables
 
 STATUS_NO_MODEL = "hd_unavailable"
+STATUS_TOO_LARGE = "value_out_of_range"
 MODEL_IDS = {name: number for number, name, _, _ in MODELS}
 
 
@@ -78,6 +79,8 @@ def calculate(
             scored = hd_age(t, as_of, model, inputs.drop("LinearTerm"))
         parts.append(scored.withColumn("ModelID", F.lit(MODEL_IDS[name])).withColumn("ModelName", F.lit(name)))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    unfit = F.col("BioAgeYears").isNotNull() & F.col("BioAgeYears").try_cast("decimal(5,2)").isNull()
+    result = result.withColumn("Status", F.when(unfit, STATUS_TOO_LARGE).otherwise(F.col("Status")))
     if strict:
         failed = result.where(F.col("Status") != pheno.STATUS_OK).select("UserID").distinct()
         withdrawn = failed.withColumn("Withdrawn", F.lit(True))
@@ -94,7 +97,8 @@ def calculate(
 def new_results(scores: DataFrame, computed_at: str, existing: DataFrame) -> DataFrame:
     """Rows to append to the stored results: scored, and not stored under the same key yet.
 
-    A score that does not fit the column is left out.
+    A score that does not fit the column cannot be stored; ``calculate`` gives it the status
+    ``value_out_of_range``.
     """
     rows = scores.select(
         "UserID",

@@ -67,14 +67,17 @@ def history_axis_domain(t: Tables, as_of: dt.date | str, measure: str = "bioAgeY
 
     Gaps always show zero and half a year around it; ages are drawn with the actual age and from zero.
     """
-    points = history_series(t, as_of, measure).select("userId", "computedAt", "value")
-    if measure == "bioAgeYears":
-        points = points.unionByName(actual_age_series(t, as_of))
+    value = F.col(measure).cast("double")
+    actual = F.col("bioAgeYears").cast("double") - F.col("ageGap").cast("double")
+    drawn = [value, actual] if measure == "bioAgeYears" else [value]
+    # Rows without a value of either line do not reach the chart.
+    points = bio_age_history(t, as_of).select("userId", "computedAt", F.array(*drawn).alias("drawn"))
+    points = points.where(F.exists("drawn", lambda v: v.isNotNull()))
     spans = points.groupBy("userId").agg(
         F.min("computedAt").alias("minDate"),
         F.max("computedAt").alias("maxDate"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
+        F.min(F.array_min("drawn")).alias("lo"),
+        F.max(F.array_max("drawn")).alias("hi"),
     )
     spans = spans.withColumn("padding", axis_padding(F.col("lo"), F.col("hi")))
     low, high, padding = F.col("lo") - F.col("padding"), F.col("hi") + F.col("padding"), F.col("padding")

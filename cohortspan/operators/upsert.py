@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspan.operators.etl import split_by_key
 from cohortspan.operators.views import first_per_group
 from cohortspan.tables import Tables
 
@@ -31,10 +32,12 @@ def upsert(
     ``incoming`` is brought to one row per key first: the first in ``latest_first``, by default the one
     with the highest other columns. So the full outer join meets each key at most once on either side
     and no key can be hot; both steps use the same partitioning. An incoming NULL replaces a stored
-    value. Columns that ``incoming`` lacks are NULL in added rows.
+    value. Columns that ``incoming`` lacks are NULL in added rows. Rows with a NULL in their key equal no
+    other row: stored ones stay and incoming ones are added, as a unique key has it.
     """
     keys = list(keys)
     order = list(latest_first) or [F.col(c).desc() for c in incoming.columns if c not in keys]
+    incoming, open_keys = split_by_key(incoming, keys)
     incoming = first_per_group(incoming, keys, order or [F.lit(1)])
     extra = [c for c in incoming.columns if c not in keys]
     renamed = incoming.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in extra], F.lit(True).alias("__in"))
@@ -53,7 +56,14 @@ def upsert(
             return F.when(arrived, fresh).otherwise(F.col(column)).alias(column)
         return F.when(old, F.col(column)).otherwise(fresh).alias(column)
 
-    return joined.select(*[content(c) for c in existing.columns])
+    merged = joined.select(*[content(c) for c in existing.columns])
+    if open_keys is None:
+        return merged
+    added = [
+        (F.col(c) if c in open_keys.columns else F.lit(None)).cast(existing.schema[c].dataType).alias(c)
+        for c in existing.columns
+    ]
+    return merged.unionByName(open_keys.select(*added))
 
 
 def upsert_users(users: DataFrame, incoming: DataFrame) -> DataFrame:

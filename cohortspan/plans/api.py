@@ -36,9 +36,10 @@ def _(spark, sf):
 @query(
     "v_user_anthro_history",
     ["users", "anthropometry"],
-    """SELECT u.UserID, u.SEQN, a.ExamDate, a.BMI, a.HeightCM, a.WeightKG, CASE WHEN a.BMI < 18.5 THEN 'Underweight'
-  WHEN a.BMI < 25.0 THEN 'Normal' WHEN a.BMI < 30.0 THEN 'Overweight' ELSE 'Obese' END AS BMI_Category
-  FROM users u JOIN anthropometry a ON u.UserID = a.UserID""",
+    # The labels and the limits between them.
+    """SELECT UserID, SEQN, ExamDate, BMI, HeightCM, WeightKG, coalesce((SELECT label FROM (VALUES (0, 18.5, 'Underweight'),
+    (18.5, 25, 'Normal'), (25, 30, 'Overweight')) AS class(low, high, label) WHERE low <= BMI AND BMI < high), 'Obese')
+  AS BMI_Category FROM anthropometry JOIN users USING (UserID)""",
 )
 def _(spark, sf):
     return views.anthropometry_history(survey_tables(spark, sf))
@@ -52,9 +53,8 @@ def _(spark, sf):
 @query(
     "q01_list_users",
     ["aged", "sessions"],
-    """SELECT a.UserID AS userId, a.SEQN AS seqn, a.Age AS age, a.Sex AS sex, a.RaceEthnicity AS raceEthnicity,
-  COUNT(DISTINCT s.SessionID) AS sessionCount FROM aged a LEFT JOIN sessions s ON a.UserID = s.UserID
-  GROUP BY a.UserID, a.SEQN, a.Age, a.Sex, a.RaceEthnicity""",
+    """SELECT UserID AS userId, SEQN AS seqn, Age AS age, Sex AS sex, RaceEthnicity AS raceEthnicity,
+  CAST((SELECT COUNT(*) FROM sessions WHERE sessions.UserID = aged.UserID) AS BIGINT) AS sessionCount FROM aged""",
 )
 def _(spark, sf):
     return q.list_users(survey_tables(spark, sf), AS_OF)
@@ -125,19 +125,23 @@ def _(spark, sf):
 
 
 def comparison_sql(ranges: str = "ranges", age: bool = False) -> str:
-    condition = " AND u.Age BETWEEN x.AgeMin AND x.AgeMax" if age else ""
+    """Each kind of range is looked up by itself and the hits are added up, where the operator aggregates once."""
+    # Names of the ranges and of the three outcomes.
+    kinds, outcomes = ("clinical", "longevity"), {2: "Optimal", 1: "Normal"}
+    fits = "r.BiomarkerID = p.BiomarkerID AND (r.Sex = 'All' OR r.Sex = p.Sex)"
+    fits += " AND p.Age >= r.AgeMin AND p.Age <= r.AgeMax" if age else ""
+    hits = f"(SELECT COUNT(*) FROM {ranges} r WHERE {fits} AND p.Value BETWEEN r.MinVal AND r.MaxVal)"
+    bounds = ", ".join(
+        f"(SELECT max({side}Val) FROM {ranges} r WHERE {fits} AND r.RangeType = '{kind}') AS {kind}{side}"
+        for kind in kinds
+        for side in ("Min", "Max")
+    )
+    status = " ".join(f"WHEN {n} THEN '{label}'" for n, label in outcomes.items())
     return f"""SELECT UserID AS userId, BiomarkerID AS biomarkerId, BiomarkerName AS name, Value AS value,
-  CASE WHEN SUM(hit) = 2 THEN 'Optimal' WHEN SUM(hit) = 1 THEN 'Normal' ELSE 'OutOfRange' END AS status,
-  MAX(CASE WHEN RangeType = 'clinical' THEN MinVal END) AS clinicalMin,
-  MAX(CASE WHEN RangeType = 'clinical' THEN MaxVal END) AS clinicalMax,
-  MAX(CASE WHEN RangeType = 'longevity' THEN MinVal END) AS longevityMin,
-  MAX(CASE WHEN RangeType = 'longevity' THEN MaxVal END) AS longevityMax
-  FROM (SELECT l.UserID, l.BiomarkerID, l.BiomarkerName, l.Value, x.RangeType, x.MinVal, x.MaxVal,
-      SUM(CASE WHEN x.MinVal <= l.Value AND l.Value <= x.MaxVal THEN 1 ELSE 0 END) AS hit
-    FROM latest l JOIN {ranges} x ON l.BiomarkerID = x.BiomarkerID JOIN aged u ON u.UserID = l.UserID
-    WHERE x.Sex IN ('All', u.Sex){condition}
-    GROUP BY l.UserID, l.BiomarkerID, l.BiomarkerName, l.Value, x.RangeType, x.MinVal, x.MaxVal) n
-  GROUP BY UserID, BiomarkerID, BiomarkerName, Value"""
+  CASE CAST(hits * copies AS INT) {status} ELSE 'OutOfRange' END AS status, clinicalMin, clinicalMax, longevityMin, longevityMax
+  FROM (SELECT p.*, {hits} AS hits, {bounds}, (SELECT COUNT(*) FROM {ranges} r WHERE {fits}) AS known
+    FROM (SELECT l.UserID, l.BiomarkerID, l.BiomarkerName, l.Value, a.Sex, a.Age, COUNT(*) AS copies
+      FROM latest l JOIN aged a USING (UserID) GROUP BY ALL) p) c WHERE known > 0"""
 
 
 @query("q05_range_comparison", ["latest", "ranges", "aged"], comparison_sql())
@@ -236,17 +240,9 @@ _USAGE = """SELECT x.BiomarkerID, x.RangeType, x.Sex, x.AgeMin, x.AgeMax, x.MinV
   MinVal AS minVal, MaxVal AS maxVal, InsideCount AS insideCount FROM ({_USAGE.format(ranges="ranges")}) u""",
 )
 def _(spark, sf):
-    t = survey_tables(spark, sf)
-    usage = quality.range_usage(t).withColumnRenamed("InsideCount", "insideCount")
-    return q.ranges_of_biomarkers(t.replace(ranges=usage)).join(
-        usage.select(
-            F.col("BiomarkerID").alias("biomarkerId"),
-            F.col("RangeType").alias("rangeType"),
-            F.col("Sex").alias("sex"),
-            "insideCount",
-        ),
-        ["biomarkerId", "rangeType", "sex"],
-    )
+    usage = quality.range_usage(survey_tables(spark, sf))
+    renamed = {c: c[0].lower() + c[1:].replace("ID", "Id") for c in usage.columns}
+    return usage.drop("MeasurementCount").withColumnsRenamed(renamed)
 
 
 @query(

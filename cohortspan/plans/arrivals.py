@@ -89,7 +89,17 @@ def _(spark, sf):
     t = survey_tables(spark, sf)
     source, target = scratch(spark, "submissions"), scratch(spark, "ingested")
     headers, values = derive(spark, sf, "submission"), derive(spark, sf, "submitted_value")
-    headers.join(values, "SubmissionID", "left").write.json(source, ignoreNullFields=False)
+    listed = values.groupBy("SubmissionID").agg(
+        F.collect_list(F.struct(F.col("BiomarkerID").alias("biomarkerId"), F.col("Value").alias("value"))).alias("measurements")
+    )
+    bodies = headers.join(listed, "SubmissionID", "left").select(
+        "SubmissionID",
+        "UserID",
+        F.col("SessionDateText").alias("sessionDate"),
+        F.col("FastingStatus").alias("fastingStatus"),
+        F.coalesce("measurements", F.expr("CAST(array() AS ARRAY<STRUCT<biomarkerId: INT, value: DECIMAL(12,4)>>)")).alias("measurements"),
+    )
+    bodies.write.json(source, ignoreNullFields=False)
     stream = ingest_stream(
         spark,
         source,

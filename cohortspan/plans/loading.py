@@ -149,6 +149,7 @@ _SEX = "CASE d.RIAGENDR WHEN 1 THEN 'M' WHEN 2 THEN 'F' END"
 _RACE = (
     "CASE d.RIDRETH3 " + " ".join(f"WHEN {code} THEN '{label}'" for code, label in etl.RACE_CODES.items()) + " END"
 )
+# Exam windows and their dates.
 _EXAM = "CASE d.RIDEXMON WHEN 1 THEN DATE '2018-01-15' WHEN 2 THEN DATE '2018-07-15' ELSE DATE '2018-01-01' END"
 PARTS["etl_users"] = (
     ("raw_demo",),
@@ -166,6 +167,7 @@ PARTS["etl_sessions"] = (
     """SELECT u.SEQN, e.ExamDate AS SessionDate, coalesce(f.IsFasted, 0) AS FastingStatus FROM etl_users u
   LEFT JOIN etl_exam e ON e.SEQN = u.SEQN LEFT JOIN etl_fasting f ON f.SEQN = u.SEQN""",
 )
+# Laboratory files and the variables they hold.
 _LABS = {
     "raw_biopro": ["LBXSAL", "LBXSAPSI", "LBXSCR"],
     "raw_glu": ["LBXGLU"],
@@ -328,20 +330,33 @@ def _(spark, sf):
 STORED_UNTIL, ARRIVING_FROM = "2000-01-01", "1999-01-01"
 
 
+# Users born before this year are stored; the others arrive, unless the cleaned files bring them.
+PARTS["arriving_users"] = (
+    ("users", "etl_users"),
+    """SELECT SEQN, make_date(2018 - Age, 7, 1) AS BirthDate, Sex, RaceEthnicity FROM etl_users
+  UNION ALL SELECT u.SEQN, u.BirthDate, u.Sex, u.RaceEthnicity FROM users u LEFT JOIN etl_users e ON e.SEQN = u.SEQN
+  WHERE u.BirthDate >= DATE '1975-01-01' AND e.SEQN IS NULL""",
+)
+
+
 @query(
     "upsert_users",
-    ["users", "etl_users"],
+    ["users", "arriving_users"],
     """SELECT coalesce(UserID, CAST(mx + row_number() OVER (PARTITION BY UserID IS NULL ORDER BY SEQN) AS INT)) AS UserID,
   SEQN, BirthDate, Sex, RaceEthnicity FROM (SELECT e.UserID, coalesce(e.SEQN, i.SEQN) AS SEQN,
-    CASE WHEN i.SEQN IS NOT NULL THEN make_date(2018 - i.Age, 7, 1) ELSE e.BirthDate END AS BirthDate,
+    CASE WHEN i.SEQN IS NOT NULL THEN i.BirthDate ELSE e.BirthDate END AS BirthDate,
     CASE WHEN i.SEQN IS NOT NULL THEN i.Sex ELSE e.Sex END AS Sex,
     CASE WHEN i.SEQN IS NOT NULL THEN i.RaceEthnicity ELSE e.RaceEthnicity END AS RaceEthnicity,
     (SELECT MAX(UserID) FROM users WHERE BirthDate < DATE '1975-01-01') AS mx
-    FROM (SELECT * FROM users WHERE BirthDate < DATE '1975-01-01') e FULL OUTER JOIN etl_users i ON e.SEQN = i.SEQN) x""",
+    FROM (SELECT * FROM users WHERE BirthDate < DATE '1975-01-01') e FULL OUTER JOIN arriving_users i ON e.SEQN = i.SEQN) x""",
 )
 def _(spark, sf):
-    stored = survey_tables(spark, sf).users.where("BirthDate < DATE '1975-01-01'")
-    return etl.fill_ids(upsert.upsert_users(stored, cleaned(spark, sf)["users"]), "UserID", "SEQN")
+    users = survey_tables(spark, sf).users
+    stored = users.where("BirthDate < DATE '1975-01-01'")
+    files = cleaned(spark, sf)["users"]
+    held_back = users.where("BirthDate >= DATE '1975-01-01'").join(files.select("SEQN"), "SEQN", "left_anti")
+    incoming = files.unionByName(held_back.select(*files.columns))
+    return etl.fill_ids(upsert.upsert_users(stored, incoming), "UserID", "SEQN")
 
 
 @query(

@@ -5,7 +5,8 @@ and values are computed from them with integer arithmetic. The statements use on
 Spark and the checking engine share; a name in braces stands for a table or an earlier statement.
 
 Line items are reduced to one value per order and biomarker before they meet the visits, so an
-order with very many lines collapses on the map side.
+order with very many lines collapses on the map side. No statement leaves a customer, order or line
+out; what a person did not answer or have measured is NULL.
 """
 
 from __future__ import annotations
@@ -32,15 +33,19 @@ STATEMENTS = {
   CAST(o_orderdate AS DATE) AS SessionDate,
   MIN(CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1 ELSE 0 END)=1 AS FastingStatus
   FROM {orders} GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
-    "order_values": """SELECT SessionID, BiomarkerID, CAST(MIN(CASE BiomarkerID WHEN 1 THEN 30000+25*h
+    # Every order belongs to the visit of its customer and day, whichever of them named the visit.
+    "order_visit": """SELECT CAST(o.o_orderkey+1 AS INT) AS OrderID, s.SessionID, s.SessionDate
+  FROM {orders} o JOIN {sessions} s ON s.UserID = o.o_custkey+1 AND s.SessionDate = CAST(o.o_orderdate AS DATE)""",
+    "order_values": """SELECT OrderID, BiomarkerID, CAST(MIN(CASE BiomarkerID WHEN 1 THEN 30000+25*h
     WHEN 2 THEN 300000+1500*h WHEN 3 THEN 4000+12*h WHEN 4 THEN 600000+700*h WHEN 5 THEN 1000+60*h
     WHEN 6 THEN 30000+100*h WHEN 7 THEN 150000+350*h WHEN 8 THEN 780000+250*h ELSE 110000+50*h END)
     * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(12,4)) AS Value
-  FROM (SELECT CAST(l_orderkey+1 AS INT) AS SessionID, CAST(l_partkey%9+1 AS INT) AS BiomarkerID,
+  FROM (SELECT CAST(l_orderkey+1 AS INT) AS OrderID, CAST(l_partkey%9+1 AS INT) AS BiomarkerID,
     (CAST(round(l_extendedprice*100) AS BIGINT)+37*l_orderkey)%1000 AS h FROM {lineitem}) l
-  GROUP BY SessionID, BiomarkerID""",
-    "measurements": """SELECT v.SessionID, v.BiomarkerID, v.Value, CAST(s.SessionDate AS TIMESTAMP) AS TakenAt
-  FROM {order_values} v JOIN {sessions} s ON s.SessionID = v.SessionID""",
+  GROUP BY OrderID, BiomarkerID""",
+    "measurements": """SELECT s.SessionID, v.BiomarkerID, CAST(MIN(v.Value) AS DECIMAL(12,4)) AS Value,
+  CAST(MIN(s.SessionDate) AS TIMESTAMP) AS TakenAt
+  FROM {order_values} v JOIN {order_visit} s ON s.OrderID = v.OrderID GROUP BY s.SessionID, v.BiomarkerID""",
     "anthropometry": """SELECT UserID, MAX(SessionDate) AS ExamDate, CAST(150+UserID%45 AS DECIMAL(5,2)) AS HeightCM,
   CAST(45+UserID%60 AS DECIMAL(5,2)) AS WeightKG, CASE WHEN UserID%50=0 THEN NULL
     ELSE CAST((1600+(UserID*131)%1700)*CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(4,2)) END AS BMI
@@ -60,13 +65,15 @@ STATEMENTS = {
   CASE c_custkey%3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) END AS RIDEXMON FROM {{customer}}""",
     "raw_bmx": f"""SELECT {_SEQN}, CAST(40+c_custkey%60 AS DOUBLE) AS BMXWT, CAST(150+c_custkey%45 AS DOUBLE) AS BMXHT,
   CASE WHEN c_custkey%50=0 THEN NULL ELSE CAST(1600+(c_custkey*131)%1700 AS DOUBLE)/100 END AS BMXBMI FROM {{customer}}""",
-    # The fasting questionnaire does not reach everybody: one market segment stays away.
-    "raw_fastqx": f"""SELECT {_SEQN}, CASE WHEN c_custkey%13=0 THEN NULL ELSE CAST(c_custkey%20 AS DOUBLE) END AS PHAFSTHR,
-  CAST((c_custkey*7)%60 AS DOUBLE) AS PHAFSTMN FROM {{customer}} WHERE c_mktsegment <> 'MACHINERY'""",
+    # Not everybody answers the fasting questionnaire: one market segment leaves it empty.
+    "raw_fastqx": f"""SELECT {_SEQN}, CASE WHEN c_custkey%13=0 OR c_mktsegment='MACHINERY' THEN NULL
+    ELSE CAST(c_custkey%20 AS DOUBLE) END AS PHAFSTHR,
+  CASE WHEN c_mktsegment='MACHINERY' THEN NULL ELSE CAST((c_custkey*7)%60 AS DOUBLE) END AS PHAFSTMN FROM {{customer}}""",
     "raw_biopro": f"""SELECT {_SEQN}, CASE WHEN c_custkey%11=0 THEN NULL ELSE CAST(30+(c_custkey*13)%25 AS DOUBLE)/10 END AS LBXSAL,
   CAST(40+(c_custkey*17)%110 AS DOUBLE) AS LBXSAPSI, CAST(50+(c_custkey*19)%100 AS DOUBLE)/100 AS LBXSCR FROM {{customer}}""",
-    # Fasting glucose is a subsample: persons with a balance above zero.
-    "raw_glu": f"""SELECT {_SEQN}, CAST(65+(c_custkey*23)%80 AS DOUBLE) AS LBXGLU FROM {{customer}} WHERE c_acctbal > 0""",
+    # Fasting glucose is not measured for everybody: only with a balance above zero.
+    "raw_glu": f"""SELECT {_SEQN}, CASE WHEN c_acctbal > 0 THEN CAST(65+(c_custkey*23)%80 AS DOUBLE) END AS LBXGLU
+  FROM {{customer}}""",
     "raw_hscrp": f"""SELECT {_SEQN},
   CASE WHEN c_custkey%17=0 THEN NULL ELSE CAST(10+(c_custkey*29)%600 AS DOUBLE)/100 END AS LBXHSCRP FROM {{customer}}""",
     "raw_cbc": f"""SELECT {_SEQN}, CAST(30+(c_custkey*31)%80 AS DOUBLE)/10 AS LBXWBCSI,

@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortspan.operators.ingest import ingest
+from cohortspan.operators.ingest import flatten, ingest
 from cohortspan.schemas import SESSION
 from cohortspan.session import cut_lineage
 
+# One record per submission, as the service takes it.
 SUBMISSION_JSON = T.StructType(
     [
         T.StructField("SubmissionID", T.LongType()),
         T.StructField("UserID", T.IntegerType()),
-        T.StructField("SessionDateText", T.StringType()),
-        T.StructField("FastingStatus", T.BooleanType()),
-        T.StructField("BiomarkerID", T.IntegerType()),
-        T.StructField("Value", T.DecimalType(12, 4)),
+        T.StructField("sessionDate", T.StringType()),
+        T.StructField("fastingStatus", T.BooleanType()),
+        T.StructField(
+            "measurements",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("biomarkerId", T.IntegerType()), T.StructField("value", T.DecimalType(12, 4))]
+                )
+            ),
+        ),
     ]
 )
-_HEADER = ["SubmissionID", "UserID", "SessionDateText", "FastingStatus"]
 
 
 def _stored(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -44,23 +50,25 @@ def ingest_stream(
     checkpoint: str,
     ingested_at: str = "2001-12-31 00:00:00",
 ) -> StreamingQuery:
-    """Read flat JSON lines (one per value, all lines of a submission in one batch) until none is left.
+    """Read nested JSON records, one per submission, until none is left.
 
+    A record that comes again in one batch counts once; one that comes in a later batch finds its visit stored.
     ``target`` receives ``sessions``, ``measurements`` and ``rejected``, each in one folder per batch
     that a replay overwrites with the same rows; what earlier batches accepted counts as stored.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        lines = cut_lineage(batch)
-        headers = lines.select(*_HEADER).dropDuplicates(["SubmissionID"])
-        values = lines.where(F.col("BiomarkerID").isNotNull()).select("SubmissionID", "BiomarkerID", "Value")
+        headers, values = flatten(cut_lineage(batch))
         earlier = _stored(batch.sparkSession, f"{target}/sessions", SESSION)
         if "batch" in earlier.columns:
             earlier = earlier.where(F.col("batch") < batch_id).drop("batch")
         known = sessions.select("SessionID", "UserID", "SessionDate").unionByName(
             earlier.select("SessionID", "UserID", "SessionDate")
         )
-        done = ingest(headers, values, users, known, biomarkers, ingested_at)
+        highest = known.agg(F.max("SessionID")).first()[0] or 0
+        # Only the visits of users in this batch can clash with it.
+        known = known.join(headers.select("UserID").distinct(), "UserID", "left_semi")
+        done = ingest(headers, values, users, known, biomarkers, ingested_at, highest + 1)
         accepted = cut_lineage(done.sessions)
         for name, df in (("sessions", accepted), ("measurements", done.measurements), ("rejected", done.rejected)):
             df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")

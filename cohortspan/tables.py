@@ -8,8 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.catalog import bounded
-from cohortspan.schemas import CATALOGS, SCHEMAS
+from cohortspan.schemas import SCHEMAS
 
 NAMES = tuple(SCHEMAS)
 
@@ -81,11 +80,10 @@ def write_tables(tables: Tables, folder: str) -> None:
 def scan_tables(spark: SparkSession, folder: str) -> Tables:
     """Read the base tables with their declared schemas; no inference job runs.
 
-    Catalogs are broadcast in joins if they turn out to be small.
+    Stored catalogs carry no hint: Spark decides by their size in bytes how to join them.
     """
 
     def read(name: str) -> DataFrame:
-        df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
-        return bounded(df) if name in CATALOGS else df
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
     return Tables(**{name: partial(read, name) for name in NAMES})

@@ -4,7 +4,7 @@ import pytest
 from conftest import day, make_tables, moment
 from pyspark.sql import functions as F
 
-from cohortspan.operators.ingest import ingest
+from cohortspan.operators.ingest import flatten, ingest
 from cohortspan.session import scratch
 from cohortspan.streaming.arrivals import ingest_stream
 
@@ -107,15 +107,68 @@ def test_one_day_with_a_third_of_all_submissions(spark, tables):
     assert done.sessions.count() == n - n // 3 + 2
 
 
-def write_lines(folder, name, headers, values):
+def write_bodies(folder, name, headers, values):
     lines = []
     for number, user, date, fasting in headers:
-        head = {"SubmissionID": number, "UserID": user, "SessionDateText": date, "FastingStatus": fasting}
-        mine = [v for v in values if v[0] == number] or [(number, None, None)]
-        lines += [json.dumps({**head, "BiomarkerID": b, "Value": v and float(v)}) for _, b, v in mine]
+        listed = [{"biomarkerId": b, "value": v and float(v)} for n, b, v in values if n == number]
+        body = {"SubmissionID": number, "UserID": user, "sessionDate": date, "fastingStatus": fasting}
+        lines.append(json.dumps({**body, "measurements": listed}))
     (folder / name).write_text("\n".join(lines) + "\n")
 
 
+def test_a_submission_delivered_again_is_decided_once(spark, tables):
+    headers = [(1, 1, "2024-12-25", True)] * 3 + [(2, 2, "2024-12-25", True), (2, 2, "2024-12-26", True)]
+    headers += [(None, 1, "2024-12-27", True), (None, 1, "2024-12-27", True), (3, 2, "2024-12-28", True)]
+    values = [(1, 1, "4.5"), (1, 2, "65")] * 3 + [(2, 1, "4.4")] * 2 + [(3, 1, "4.4"), (3, 1, "4.4")]
+    done = ingest(
+        spark.createDataFrame(headers, HEADER),
+        spark.createDataFrame(values, VALUE),
+        tables.users,
+        tables.sessions,
+        tables.biomarkers,
+    )
+    assert [(r["SubmissionID"], r["SessionID"]) for r in done.sessions.collect()] == [(1, 41)]
+    assert sorted((r["SessionID"], r["BiomarkerID"]) for r in done.measurements.collect()) == [(41, 1), (41, 2)]
+    reasons = sorted(((r["SubmissionID"] or 0, r["Reason"]) for r in done.rejected.collect()))
+    assert reasons == [(0, "invalid_value"), (0, "invalid_value"), (2, "conflicting_submission"), (3, "repeated_biomarker")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_accepted_and_rejected_make_the_input(spark, tables, seed):
+    import random
+
+    rng = random.Random(seed)
+    headers = [
+        (rng.choice([None, *range(12)]), rng.choice([1, 2, 9, None]), rng.choice(["2024-07-01", "2024-07-02", "x", None]), rng.choice([True, None]))
+        for _ in range(40)
+    ]
+    values = [(rng.randrange(12), rng.choice([1, 2, 77, None]), rng.choice(["4", None])) for _ in range(20)]
+    done = ingest(
+        spark.createDataFrame(headers, HEADER), spark.createDataFrame(values, VALUE), tables.users, tables.sessions, tables.biomarkers
+    )
+    accepted = [r["SubmissionID"] for r in done.sessions.collect()]
+    rejected = [r["SubmissionID"] for r in done.rejected.collect()]
+    ids = [h[0] for h in headers]
+    assert sorted(accepted + [x for x in rejected if x is not None]) == sorted({x for x in ids if x is not None})
+    assert rejected.count(None) == ids.count(None)
+    days = [(r["UserID"], r["SessionDate"]) for r in done.sessions.collect()]
+    assert len(days) == len(set(days))
+
+
+def test_a_body_without_a_list_is_rejected(spark, tables):
+    bodies = spark.createDataFrame(
+        [
+            (1, 1, "2024-12-25", True, None),
+            (2, 1, "2024-12-26", True, []),
+            (3, 1, "2024-12-27", True, [(1, "4.5")]),
+        ],
+        "SubmissionID BIGINT, UserID INT, sessionDate STRING, fastingStatus BOOLEAN, measurements ARRAY<STRUCT<biomarkerId: INT, value: STRING>>",
+    )
+    done = ingest(*flatten(bodies), tables.users, tables.sessions, tables.biomarkers)
+    assert {r["SubmissionID"] for r in done.sessions.collect()} == {2, 3}
+    assert [(r["SubmissionID"], r["Reason"]) for r in done.rejected.collect()] == [(1, "invalid_value")]
+
+
 def test_stream_takes_each_submission_once(spark, tables, tmp_path):
     source = tmp_path / "incoming"
     source.mkdir()
@@ -130,7 +183,7 @@ def test_stream_takes_each_submission_once(spark, tables, tmp_path):
         }
 
     usable = [v for v in VALUES if v[0] != 16]
-    write_lines(source, "a.json", HEADERS[:15], usable)
+    write_bodies(source, "a.json", HEADERS[:15], usable)
     first = run()
     assert {r["SubmissionID"] for r in first["sessions"].collect()} == {1, 11, 14}
     assert {r["SubmissionID"]: r["Reason"] for r in first["rejected"].collect()} == {
@@ -139,7 +192,7 @@ def test_stream_takes_each_submission_once(spark, tables, tmp_path):
     assert run()["sessions"].count() == 3  # nothing new arrived
 
     later = [(101, 1, "2024-12-25", True), (102, 1, "2024-12-26", True)]
-    write_lines(source, "b.json", later, [(101, 1, "4.5"), (102, 1, "4.4")])
+    write_bodies(source, "b.json", later, [(101, 1, "4.5"), (102, 1, "4.4")])
     second = run()
     rows = {r["SubmissionID"]: r["SessionID"] for r in second["sessions"].collect()}
     assert rows == {1: 41, 11: 42, 14: 43, 102: 44}

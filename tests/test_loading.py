@@ -299,3 +299,78 @@ def test_transport_file_of_another_kind(tmp_path):
     (tmp_path / "x.xpt").write_bytes(b"no such thing" * 100)
     with pytest.raises(ValueError, match="not a version 5"):
         xpt.read_layout(str(tmp_path / "x.xpt"))
+
+
+def test_rows_with_a_null_key_stay_apart(spark):
+    kind = "UserID INT, SEQN INT, BirthDate DATE, Sex STRING, RaceEthnicity STRING"
+    stored = spark.createDataFrame([(1, 10, None, "M", "a"), (2, None, None, "F", "b")], kind)
+    arriving = spark.createDataFrame(
+        [(None, None, "M", "x"), (None, None, "M", "x"), (None, None, "F", "y"), (10, None, "F", "z"), (11, None, "F", "w")],
+        "SEQN INT, BirthDate DATE, Sex STRING, RaceEthnicity STRING",
+    )
+    merged = upsert.upsert_users(stored, arriving).collect()
+    assert sorted((r["UserID"] or 0, r["SEQN"] or 0, r["RaceEthnicity"]) for r in merged) == [
+        (0, 0, "x"),
+        (0, 0, "x"),
+        (0, 0, "y"),
+        (0, 11, "w"),
+        (1, 10, "z"),
+        (2, 0, "b"),
+    ]
+    added = etl.insert_ignore(stored.drop("UserID"), arriving, ["SEQN"], [F.col("Sex")]).collect()
+    assert sorted((r["SEQN"] or 0) for r in added) == [0, 0, 0, 11]
+
+
+def test_loads_say_what_they_leave_out(spark):
+    users = spark.createDataFrame([(1, 10), (2, 20)], "UserID INT, SEQN INT")
+    sessions = spark.createDataFrame([(5, 1, "2018-01-01")], "SessionID INT, UserID INT, d STRING").selectExpr(
+        "SessionID", "UserID", "CAST(d AS DATE) AS SessionDate"
+    )
+    rows = [(10, "2018-01-01", 1, "4.5"), (10, "2018-01-01", 2, "123456789012"), (20, "2018-01-01", 1, "4"), (99, "2018-01-01", 1, "4")]
+    staged = spark.createDataFrame(rows, "SEQN INT, d STRING, BiomarkerID INT, Value STRING").selectExpr(
+        "SEQN", "CAST(d AS DATE) AS SessionDate", "BiomarkerID", "Value", "CAST(d AS DATE) AS TakenAt"
+    )
+    none = spark.createDataFrame([], "SessionID INT, BiomarkerID INT")
+    loaded = etl.load_measurements(staged, users, sessions, none).collect()
+    rejected = etl.rejected_measurements(staged, users, sessions).collect()
+    assert [(r["SessionID"], r["BiomarkerID"]) for r in loaded] == [(5, 1)]
+    assert sorted((r["SEQN"], r["BiomarkerID"], r["Reason"]) for r in rejected) == [
+        (10, 2, "value_does_not_fit"),
+        (20, 1, "no_such_visit"),
+        (99, 1, "unknown_participant"),
+    ]
+    assert len(loaded) + len(rejected) == len(rows)
+    body = spark.createDataFrame([(10, 180.0, 80.0, 24.0), (20, 18000.0, 80.0, 24.0), (99, 1.0, 1.0, 1.0)], "SEQN INT, HeightCM DOUBLE, WeightKG DOUBLE, BMI DOUBLE")
+    assert sorted((r["SEQN"], r["Reason"]) for r in etl.rejected_anthropometry(body, users).collect()) == [
+        (20, "measure_does_not_fit"),
+        (99, "unknown_participant"),
+    ]
+
+
+def test_new_users_get_the_next_ids(spark):
+    kind = "SEQN INT, BirthDate DATE, Sex STRING, RaceEthnicity STRING"
+    stored = spark.createDataFrame([(7, 10, None, "M", "a")], f"UserID INT, {kind}")
+    staged = spark.createDataFrame([(30, None, "M", "x"), (10, None, "F", "y"), (20, None, "F", "z"), (20, None, "F", "z")], kind)
+    assert sorted((r["UserID"], r["SEQN"]) for r in etl.load_users(staged, stored).collect()) == [(8, 20), (9, 30)]
+
+
+def test_participants_who_are_absent_from_a_file(spark):
+    users = spark.createDataFrame([(1,), (2,)], "SEQN INT")
+    demo = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "SEQN DOUBLE, RIDEXMON DOUBLE")
+    fasting = spark.createDataFrame([(1.0, 9.0, 0.0)], "SEQN DOUBLE, PHAFSTHR DOUBLE, PHAFSTMN DOUBLE")
+    visits = etl.clean_sessions(users, demo, fasting).collect()
+    assert sorted((r["SEQN"], r["FastingStatus"]) for r in visits) == [(1, 1), (2, 0)]
+
+
+def test_two_age_bands_of_one_range(spark):
+    from conftest import make_tables
+    from cohortspan.operators import quality
+
+    t = make_tables(spark, sessions=[(1, 1, day("2024-01-01"), True)], measurements=[(1, 1, "4.5", moment("2024-01-01 00:00:00"))])
+    bands = [(1, "clinical", "All", 18, 40, "4", "5"), (1, "clinical", "All", 41, 99, "5", "6")]
+    columns = "BiomarkerID INT, RangeType STRING, Sex STRING, AgeMin INT, AgeMax INT, MinVal STRING, MaxVal STRING"
+    ranges = spark.createDataFrame(bands, columns).selectExpr(
+        "BiomarkerID", "RangeType", "Sex", "AgeMin", "AgeMax", "CAST(MinVal AS DECIMAL(12,4)) AS MinVal", "CAST(MaxVal AS DECIMAL(12,4)) AS MaxVal"
+    )
+    usage = quality.range_usage(t.replace(ranges=ranges)).collect()
+    assert sorted((r["AgeMin"], r["MeasurementCount"], r["InsideCount"]) for r in usage) == [(18, 1, 1), (41, 1, 0)]
