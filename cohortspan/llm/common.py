@@ -184,3 +184,9 @@ def numbered(df: DataFrame, order: list[Column | str], steps: Steps, name: str)
     return stored.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop(
         "_part", "_row", "_before"
     )
+
+
+def once_each(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (doc_id, text, h) without repeated rows; only where an id does repeat are the texts moved for it."""
+    repeated = keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed if repeated.isEmpty() else keyed.dropDuplicates(["doc_id", "h"])

@@ -10,15 +10,19 @@ lead to one trigger form a cell, and two strings describe it:
 
 The dictionary is the table of distinct (core, span) pairs with their counts. It settles almost all text:
 a core met once has no repeated window, a span met twice has only repeated ones. What is left, the ends of
-repeats, is one entry per distinct span of a shared core; these are cut into cells of ``FINE`` windows and
-judged the same way, and what is left then is judged window by window. So repeats of any number cost one
-entry per end and not one row per byte or per pair.
+repeats, is one entry per distinct span of a shared core.
 
-The order among suffixes is needed only as far as "equal for 400 bytes", so equality classes of the dictionary
-and the parse take the place of explicit suffix arrays, whose entry per byte would be shuffled (see README).
+The entries of one core meet in a task. What stands before the trigger, the dictionary's part, is sorted from its
+end backwards, what follows it, the parse's part, forwards: two suffix arrays with their common lengths between
+neighbours. Two entries share the windows for which both common lengths together reach ``WINDOW`` bytes, and the
+least common length on the way from one to the other in either order is theirs.
 
-Everything is a count by key, with partial sums before the shuffle, or a join with one row per key. Lists of
-cells go back to their texts by broadcast while they are below ``BROADCAST_BYTES``, by a shuffle beyond it.
+A core with more than ``GROUP`` entries would load a task; its cells are cut into finer ones of ``FINE`` windows and
+then into single windows, and each look is a count by hash over all tasks. So repeats of any number cost one entry
+per end and not one row per byte or per pair.
+
+Everything else is a count by key, with partial sums before the shuffle, or a join with one row per key. Lists of
+cells go back to their texts by broadcast while they are small, by a shuffle beyond that.
 
 Edge cases: null and empty texts have no bytes and nothing is removed; texts below a window keep everything;
 repeated rows repeat each other and lose everything from a window on; rows without an id are judged like
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, chunks, ranges, signed, text_bytes
+from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, text_bytes
 from cohortspan.llm.windows import beside_text, merged_spans, triggers
 
 WINDOW = 400
 # A trigger lies at most so many places into its window.
 REACH = 192
-# Windows of a cell at the second look.
+# Most entries of one core that a task sorts.
+GROUP = 256
+# Windows of a cell at the second look at larger groups.
 FINE = 16
 
 def cells(docs: DataFrame, window: int, reach: int, only_core: bool) -> DataFrame:
@@ -136,10 +143,124 @@ def judged(table: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     unsettled = (
         classes.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 AND least = 1")
     )
-    unclear = classes.join(unsettled.select("core"), "core", "left_semi").select("one.*")
+    unclear = classes.select("core", "one").join(unsettled.select("core", "spans"), "core").select("core", "spans", "one.*")
     return again.select("doc_id", "h", "first", "last"), unclear
 
 
+def entries(listed: DataFrame) -> DataFrame:
+    """The bytes of the listed cells' spans, by core."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            raw = data.tobytes()
+            lists = batch.column("cells")
+            ends = lists.offsets.to_numpy()
+            core, at, first, last, window = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            for row in range(batch.num_rows):
+                own = slice(ends[row], ends[row + 1])
+                base = int(offsets[row])
+                low, high = first[own] + base, last[own] + window[own] + base
+                count = len(low)
+                yield pa.record_batch(
+                    [
+                        pa.array(core[own]),
+                        batch.column("doc_id").take(pa.array(np.full(count, row))),
+                        batch.column("h").take(pa.array(np.full(count, row))),
+                        pa.array(at[own].astype(np.int32)),
+                        pa.array(first[own].astype(np.int32)),
+                        pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()),
+                    ],
+                    names=["core", "doc_id", "h", "at", "first", "bytes"],
+                )
+
+    kind = listed.schema["doc_id"].dataType
+    fields = [T.StructField("core", T.LongType()), T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
+    fields += [T.StructField(name, T.IntegerType()) for name in ("at", "first")]
+    return listed.mapInArrow(found, T.StructType([*fields, T.StructField("bytes", T.BinaryType())]))
+
+
+def common_lengths(rows: list[bytes], longest: int) -> np.ndarray:
+    """Length of the common beginning of every pair of rows, at most ``longest``, by a suffix array of the rows."""
+    count = len(rows)
+    if not longest:
+        return np.zeros((count, count), np.int64)
+    table = np.frombuffer(b"".join(r[:longest].ljust(longest, b"\0") for r in rows), np.uint8).reshape(count, longest)
+    order = np.array(sorted(range(count), key=rows.__getitem__))
+    differs = table[order[:-1]] != table[order[1:]]
+    near = np.where(differs.any(axis=1), differs.argmax(axis=1), longest)
+    pairs = np.full((count, count), longest, np.int64)
+    for k in range(count - 1):
+        least = np.minimum.accumulate(near[k:])
+        pairs[order[k], order[k + 1 :]] = least
+        pairs[order[k + 1 :], order[k]] = least
+    size = np.array([min(len(r), longest) for r in rows])
+    return np.minimum(pairs, np.minimum(size[:, None], size[None, :]))
+
+
+def shared_windows(before: list[bytes], after: list[bytes], window: int) -> list[list[tuple[int, int]]]:
+    """For each entry the ranges of distances before the trigger at which it shares a window with another entry.
+
+    ``before``: what stands before the trigger, backwards; ``after``: what follows it.
+    """
+    left = common_lengths(before, max(map(len, before)))
+    right = common_lengths(after, window)
+    near = window - right
+    shared = near <= left
+    np.fill_diagonal(shared, False)
+    found = []
+    for k in range(len(before)):
+        own = np.flatnonzero(shared[k])
+        found.append(sorted(set(zip(near[k, own].tolist(), left[k, own].tolist()))))
+    return found
+
+
+def compared(table: DataFrame, window: int) -> DataFrame:
+    """Windows that entries of one core share; the entries of a core lie together and sorted."""
+
+    def judge(rows: list[dict]) -> Iterator[tuple]:
+        before = [r["bytes"][: r["at"] - r["first"]][::-1] for r in rows]
+        after = [r["bytes"][r["at"] - r["first"] :] for r in rows]
+        for row, spans in zip(rows, shared_windows(before, after, window)):
+            for near, far in spans:
+                yield row["doc_id"], row["h"], row["at"] - far, row["at"] - near
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        group: list[dict] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            made = pa.record_batch([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=pa.schema(kinds))
+            out.clear()
+            return made
+
+        kinds: list[pa.Field] = []
+        for batch in batches:
+            kinds = [
+                pa.field("doc_id", batch.schema.field("doc_id").type),
+                pa.field("h", pa.int64()),
+                pa.field("first", pa.int32()),
+                pa.field("last", pa.int32()),
+            ]
+            for row in batch.to_pylist():
+                if group and group[0]["core"] != row["core"]:
+                    out.extend(judge(group))
+                    group = []
+                group.append(row)
+            if len(out) > 50_000:
+                yield batch_of()
+        if group:
+            out.extend(judge(group))
+        if kinds:
+            yield batch_of()
+
+    fields = [T.StructField("doc_id", table.schema["doc_id"].dataType), T.StructField("h", T.LongType())]
+    fields += [T.StructField(name, T.IntegerType()) for name in ("first", "last")]
+    together = table.repartition("core").sortWithinPartitions("core", "doc_id", "h", "first")
+    return together.mapInArrow(found, T.StructType(fields))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, h`` (hash of the text) and ``spans``, the merged byte ranges to remove from that text."""
     steps = Steps(docs.sparkSession, "repeats")
@@ -150,18 +271,30 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     table, _ = steps.store(cells(keyed, window, reach, False).join(shared, "core", "left_semi"), "cells")
     again, unclear = judged(table, steps)
-    found = [again]
-    for fine in (FINE, 1):
-        listed = unclear.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "first", "last")).alias("cells"))
-        # Repeated rows are each looked at; all their windows do repeat.
-        texts = beside_text(keyed, listed, steps, "inner")
-        table, _ = steps.store(finer(texts, window, fine), "cells")
-        again, unclear = judged(table, steps)
-        found.append(again)
-    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    unclear, _ = steps.store(unclear, "unclear")
+    # All windows of repeated rows do repeat; one of them stands for the others from here on.
+    keyed = once_each(keyed)
+    found = [again, ends_of_groups(keyed, unclear.where(F.col("spans") <= GROUP), window, steps)]
+    unclear = unclear.where(F.col("spans") > GROUP)
+    if not unclear.isEmpty():
+        for fine in (FINE, 1):
+            listed = unclear.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "first", "last")).alias("cells"))
+            texts = beside_text(keyed, listed, steps, "inner")
+            table, _ = steps.store(finer(texts, window, fine), "cells")
+            again, unclear = judged(table, steps)
+            found.append(again)
+    rows = reduce(DataFrame.unionByName, found)
     return merged_spans(rows.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("starts")), window)
 
 
+def ends_of_groups(keyed: DataFrame, unclear: DataFrame, window: int, steps: Steps) -> DataFrame:
+    """Repeated windows among the entries of each core, by suffix arrays."""
+    cell = F.struct("core", "at", "first", "last", F.lit(window).alias("window"))
+    listed = unclear.groupBy("doc_id", "h").agg(F.collect_list(cell).alias("cells"))
+    bytes_of = entries(beside_text(keyed, listed, steps, "inner"))
+    return steps.table(compared(bytes_of, window), "ends")
+
+
 def beside_spans(docs: DataFrame, window: int) -> DataFrame:
     steps = Steps(docs.sparkSession, "repeats")
     return beside_text(docs.withColumn("h", F.xxhash64("text")), repeats(docs, window), steps, "left")

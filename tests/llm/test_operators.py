@@ -342,3 +342,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert held[held.toxic == 0].predicted.mean() < 0.01
     assert held[held.toxic == 1].score.mean() > 5 * held[held.toxic == 0].score.mean()
     assert ((found.score >= 0.5) == (found.predicted == 1)).all()
+
+
+def test_common_lengths_of_all_pairs():
+    rng = random.Random(5)
+    rows = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    found = suffix_dedup.common_lengths(rows, 6)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i != j:
+                same = 0
+                while same < min(6, len(a), len(b)) and a[same] == b[same]:
+                    same += 1
+                assert found[i, j] == same
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_suffix_removal_with_cores_of_many_entries(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = data.passages(11, 56)
+    found = suffix_dedup.removal_report(data.documents(spark, rows)).collect()
+    assert as_set(found) == as_set(brute.kept_bytes(rows))
