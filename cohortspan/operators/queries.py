@@ -204,8 +204,8 @@ def trend(t: Tables, as_of: dt.date | str, limit: int = 20, within: str = "6mont
     if days is None:
         raise ValueError("period must be '<number> <days|weeks|months|years>'")
     cutoff = F.date_sub(as_date(as_of), F.lit(days).cast("int"))
-    visits = t.sessions.where(F.col("SessionDate") > cutoff).select("SessionID", "UserID", "SessionDate")
-    points = t.measurements.select("SessionID", "BiomarkerID", "Value").join(visits, "SessionID")
+    points = t.measured().where(F.col("SessionDate") > cutoff)
+    points = points.select("UserID", "SessionID", "SessionDate", "BiomarkerID", "Value")
     number = F.row_number().over(
         Window.partitionBy("UserID", "BiomarkerID").orderBy(F.col("SessionDate").desc(), F.col("SessionID").desc())
     )

@@ -35,10 +35,9 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def latest_measurements(t: Tables, users: DataFrame | None = None) -> DataFrame:
     """Latest value per user and biomarker; ``users`` (column UserID) limits whom to look at."""
-    sessions = t.sessions.select("SessionID", "UserID")
+    taken = t.measured().select("UserID", "BiomarkerID", "Value", "TakenAt")
     if users is not None:
-        sessions = sessions.join(users.select("UserID"), "UserID", "left_semi")
-    taken = t.measurements.select("SessionID", "BiomarkerID", "Value", "TakenAt").join(sessions, "SessionID")
+        taken = taken.join(users.select("UserID").distinct(), "UserID", "left_semi")
     newest = newest_per_group(taken, ["UserID", "BiomarkerID"], "TakenAt")
     names = t.biomarkers.select("BiomarkerID", F.col("Name").alias("BiomarkerName"), "Units")
     return newest.join(names, "BiomarkerID").select(

@@ -78,6 +78,11 @@ RESULT = _table(
     ("ComputedAt", _TS, False),
 )
 
+# How measurements are stored: with the user and day of their visit.
+MEASURED = T.StructType(
+    [*MEASUREMENT.fields, T.StructField("UserID", _INT, True), T.StructField("SessionDate", _DATE, True)]
+)
+
 SCHEMAS = {
     "users": USER,
     "sessions": SESSION,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ FORMAT = "xpt"
 RECORD = 80
 ROWS_PER_PARTITION = 1_000_000
 ROWS_PER_BATCH = 50_000
+# Headers are small and wait for the store, so many are read at a time.
+HEADERS_AT_ONCE = 32
 # Marks in the header records, and first bytes of a missing number.
 NAMESTR_MARK = b"HEADER RECORD*******NAMESTR HEADER RECORD"
 OBS_MARK = b"HEADER RECORD*******OBS     HEADER RECORD"
@@ -134,14 +137,15 @@ class RowSpan(InputPartition):
 
 class XptReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict[str, str]):
-        self.names = schema.fieldNames()
+        self.kinds = {f.name: pa.string() if isinstance(f.dataType, T.StringType) else pa.float64() for f in schema}
         self.files = _files(options["path"])
         self.span = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
 
     def partitions(self) -> list[RowSpan]:
         spans = []
-        for path in self.files:
-            layout = read_layout(path)
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            layouts = list(pool.map(read_layout, self.files))
+        for path, layout in zip(self.files, layouts):
             spans += [
                 RowSpan(path, layout, first, min(self.span, layout.rows - first))
                 for first in range(0, layout.rows, self.span)
@@ -157,9 +161,10 @@ class XptReader(DataSourceReader):
                 source.seek(layout.start + first * layout.width)
                 rows = np.frombuffer(source.read(count * layout.width), dtype=np.uint8).reshape(count, layout.width)
                 arrays = [
-                    _field(rows, known[name]) if name in known else pa.nulls(count, pa.float64()) for name in self.names
+                    _field(rows, known[name]) if name in known else pa.nulls(count, kind)
+                    for name, kind in self.kinds.items()
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=self.names)
+                yield pa.RecordBatch.from_arrays(arrays, names=list(self.kinds))
 
 
 class XptDataSource(DataSource):
@@ -174,9 +179,19 @@ class XptDataSource(DataSource):
         if not files:
             raise ValueError(f"no .xpt file in {self.options['path']}")
         wanted = [c for c in self.options.get("columns", "").split(",") if c]
-        variables = [v for v in read_layout(files[0]).variables if not wanted or v.name in wanted]
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            layouts = list(pool.map(read_layout, files))
+        kinds: dict[str, bool] = {}
+        for path, layout in zip(files, layouts):
+            for v in layout.variables:
+                if kinds.setdefault(v.name, v.numeric) != v.numeric:
+                    raise ValueError(f"{path}: {v.name} is a number in one file and a text in another")
         return T.StructType(
-            [T.StructField(v.name, T.DoubleType() if v.numeric else T.StringType()) for v in variables]
+            [
+                T.StructField(name, T.DoubleType() if numeric else T.StringType())
+                for name, numeric in kinds.items()
+                if not wanted or name in wanted
+            ]
         )
 
     def reader(self, schema: T.StructType) -> XptReader:
@@ -186,9 +201,10 @@ class XptDataSource(DataSource):
 def read_xpt(
     spark: SparkSession, path: str, columns: list[str] | None = None, rows_per_partition: int = ROWS_PER_PARTITION
 ) -> DataFrame:
-    """A transport file, or a folder of equally built ones. With ``columns`` only SEQN and those.
+    """A transport file, or a folder of them. With ``columns`` only SEQN and those.
 
-    Columns the file lacks are left out with a warning.
+    The columns are those of all files together; a file that lacks one has NULL there. One name for numbers
+    and texts is an error. Columns that no file has are left out with a warning.
     """
     spark.dataSource.register(XptDataSource)
     reader = spark.read.format(FORMAT).option("rowsPerPartition", rows_per_partition)

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.schemas import SCHEMAS
+from cohortspan.schemas import MEASURED, SCHEMAS
 
 NAMES = tuple(SCHEMAS)
 
@@ -26,11 +26,12 @@ class Tables:
     coefficients: DataFrame
     results: DataFrame
 
-    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+    def __init__(self, *, measured: Callable[[], DataFrame] | None = None, **sources: DataFrame | Callable[[], DataFrame]):
         unknown = set(sources) - set(NAMES)
         if unknown:
             raise ValueError(f"unknown tables {sorted(unknown)}")
         self._sources = sources
+        self._measured = measured
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
@@ -45,8 +46,20 @@ class Tables:
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in NAMES if name in self._sources]
 
+    def measured(self) -> DataFrame:
+        """Measurements of known visits with their UserID and SessionDate.
+
+        Stored tables keep both beside every value, so that a question about few users reads few of the
+        measurements; else the visits are joined.
+        """
+        if self._measured is not None:
+            return self._measured()
+        visits = self.sessions.select("SessionID", "UserID", "SessionDate")
+        return self.measurements.join(visits, "SessionID")
+
     def replace(self, **changed: DataFrame | Callable[[], DataFrame]) -> Tables:
-        return Tables(**{**self._sources, **changed})
+        measured = None if {"measurements", "sessions"} & set(changed) else self._measured
+        return Tables(measured=measured, **{**self._sources, **changed})
 
     def register(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
@@ -58,7 +71,7 @@ class Tables:
 # rows of one frequent key can end up in several files.
 LAYOUT = {
     "sessions": ["UserID", "SessionDate"],
-    "measurements": ["SessionID", "BiomarkerID"],
+    "measurements": ["UserID", "BiomarkerID", "TakenAt"],
     "anthropometry": ["UserID", "ExamDate"],
     "results": ["UserID", "ComputedAt"],
 }
@@ -67,11 +80,19 @@ LAYOUT = {
 def write_tables(tables: Tables, folder: str) -> None:
     """Write each table as parquet in the declared types.
 
-    Facts are range-partitioned and sorted by their key: the statistics in the files then let a
-    question about few users skip most of them.
+    Facts are range-partitioned and sorted by user: the statistics in the files then let a question about
+    few users skip most of them. Measurements get the user and day of their visit for it; those without a
+    visit keep their place with neither.
     """
-    for name, df in tables.items():
-        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+    given = dict(tables.items())
+    for name, df in given.items():
+        fields = SCHEMAS[name].fields
+        if name == "measurements":
+            fields = MEASURED.fields
+            visits = given["sessions"].select("SessionID", "UserID", "SessionDate") if "sessions" in given else None
+            none = {"UserID": F.lit(None), "SessionDate": F.lit(None)}
+            df = df.withColumns(none) if visits is None else df.join(visits, "SessionID", "left")
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         if name in LAYOUT:
             typed = typed.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
         typed.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -86,4 +107,7 @@ def scan_tables(spark: SparkSession, folder: str) -> Tables:
     def read(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
-    return Tables(**{name: partial(read, name) for name in NAMES})
+    def measured() -> DataFrame:
+        return spark.read.schema(MEASURED).parquet(f"{folder}/measurements").where("UserID IS NOT NULL")
+
+    return Tables(measured=measured, **{name: partial(read, name) for name in NAMES})

@@ -374,3 +374,16 @@ def test_two_age_bands_of_one_range(spark):
     )
     usage = quality.range_usage(t.replace(ranges=ranges)).collect()
     assert sorted((r["AgeMin"], r["MeasurementCount"], r["InsideCount"]) for r in usage) == [(18, 1, 1), (41, 1, 0)]
+
+
+def test_transport_files_with_different_columns(spark, tmp_path, monkeypatch):
+    samples.write_xpt(spark.createDataFrame([(1.0, 2.0)], "SEQN DOUBLE, A DOUBLE"), str(tmp_path / "x" / "a"))
+    samples.write_xpt(spark.createDataFrame([(2.0, 3.0, 4.0)], "SEQN DOUBLE, A DOUBLE, B DOUBLE"), str(tmp_path / "x" / "b"))
+    rows = xpt.read_xpt(spark, str(tmp_path / "x")).orderBy("SEQN").collect()
+    assert [tuple(r) for r in rows] == [(1.0, 2.0, None), (2.0, 3.0, 4.0)]
+    assert xpt.read_xpt(spark, str(tmp_path / "x"), ["B"]).where("B = 4").count() == 1
+
+    layouts = iter([True, False])
+    monkeypatch.setattr(xpt, "read_layout", lambda path: xpt.Layout((xpt.Variable("A", next(layouts), 8, 0),), 0, 8, 0))
+    with pytest.raises(ValueError, match="number in one file"):
+        xpt.XptDataSource({"path": str(tmp_path / "x")}).schema()
