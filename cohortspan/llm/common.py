@@ -20,7 +20,7 @@ from cohortspan.session import scratch
 cloudpickle.register_pickle_by_value(cohortspan)
 
 # Bytes of text worked on at a time inside a task; one longer document is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 # Bases of the two polynomial hashes; odd, so that they can be inverted modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
