@@ -56,11 +56,16 @@ def hd_age(t: Tables, as_of: dt.date | str, model: hd.HDModel | None, wide: Data
 
 
 def calculate(
-    t: Tables, as_of: dt.date | str, model_name: str = "", strict: bool = False, min_rows: int = hd.MIN_REFERENCE_ROWS
+    t: Tables,
+    as_of: dt.date | str,
+    model_name: str = "",
+    strict: bool = False,
+    min_rows: int = hd.MIN_REFERENCE_ROWS,
+    computed_at: str | None = None,
 ) -> DataFrame:
     """Scores by one model, or by both if no name is given, with a status per user and model.
 
-    ``strict`` makes a user's request all-or-nothing: one failing model withdraws the other score.
+    ``computed_at`` adds the time of the request to the answer as ``ComputedAt``. ``strict`` makes a user's request all-or-nothing: one failing model withdraws the other score.
     Both models and the fit read one row per user, which is stored once.
     """
     if model_name and model_name not in MODEL_IDS:
@@ -91,7 +96,8 @@ def calculate(
             .withColumn("AgeGap", F.when(kept, F.col("AgeGap")))
             .drop("Withdrawn")
         )
-    return result.select("UserID", "ModelID", "ModelName", "Age", "BioAgeYears", "AgeGap", "Status")
+    time = [] if computed_at is None else [F.lit(computed_at).cast("timestamp").alias("ComputedAt")]
+    return result.select("UserID", "ModelID", "ModelName", "Age", "BioAgeYears", "AgeGap", "Status", *time)
 
 
 def new_results(scores: DataFrame, computed_at: str, existing: DataFrame) -> DataFrame:

@@ -164,6 +164,22 @@ def _(spark, sf):
     return q.range_comparison(survey_tables(spark, sf), only="longevity")
 
 
+def _json_range(kind: str) -> str:
+    low, high = f"{kind}Min", f"{kind}Max"
+    text = f"""concat('{{"min":', CAST({low} AS VARCHAR), ',"max":', CAST({high} AS VARCHAR), '}}')"""
+    return f"CASE WHEN {low} IS NOT NULL OR {high} IS NOT NULL THEN {text} END AS {kind}Range"
+
+
+@query(
+    "q05d_ranges_as_json",
+    ["latest", "ranges", "aged"],
+    f"""SELECT userId, biomarkerId, name, value, status, {_json_range("clinical")}, {_json_range("longevity")}
+  FROM ({comparison_sql()}) c""",
+)
+def _(spark, sf):
+    return q.ranges_as_json(q.range_comparison(survey_tables(spark, sf)))
+
+
 @query(
     "q06_trend",
     ["measurements", "sessions"],

@@ -274,6 +274,18 @@ def _loaded_sessions(spark, sf, t) -> DataFrame:
     return etl.assign_ids(new, "SessionID", "UserID", highest + 1).withColumn("SessionID", F.col("SessionID").cast("int"))
 
 
+@query(
+    "load_users",
+    ["users", "etl_users"],
+    """, known AS (SELECT * FROM users WHERE BirthDate < DATE '1975-01-01')
+SELECT CAST((SELECT MAX(UserID) FROM known) + row_number() OVER (ORDER BY SEQN) AS INT) AS UserID, SEQN,
+  make_date(2018 - Age, 7, 1) AS BirthDate, Sex, RaceEthnicity FROM etl_users WHERE SEQN NOT IN (SELECT SEQN FROM known)""",
+)
+def _(spark, sf):
+    known = survey_tables(spark, sf).users.where("BirthDate < DATE '1975-01-01'")
+    return etl.load_users(cleaned(spark, sf)["users"], known)
+
+
 @query(
     "load_sessions", ["load_keyed"], "SELECT UserID, SessionDate, FastingStatus FROM load_keyed WHERE Sex <> 'M'"
 )
