@@ -34,6 +34,8 @@ DIGITS = 4
 # Share of all documents that a term of the lexicon occurs in.
 LOW, HIGH = 0.0005, 0.2
 BROADCAST_BYTES = 24 << 20
+# What names a document, see keyed_texts.
+KEY = ["i", "z", "h"]
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -59,30 +61,40 @@ def lexicon(texts: DataFrame, steps: Steps, low: float = LOW, high: float = HIGH
     return F.broadcast(words) if steps.size(path) <= BROADCAST_BYTES else words
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``i, z, h, text``: id (0 for null), whether it is null, hash of the text, and the text (empty for null).
+
+    The three name a document by plain equality, so all steps on them use one partitioning.
+    """
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select(
+        F.coalesce("doc_id", zero).alias("i"), F.col("doc_id").isNull().alias("z"), F.xxhash64("text").alias("h"), "text"
+    )
+
+
 def following(keyed: DataFrame, steps: Steps) -> DataFrame:
-    """``doc_id, h, n`` of every distinct document, how often it comes, and ``next_id, next_h``."""
-    known = keyed.groupBy("doc_id", "h").agg(F.first(F.char_length("text")).alias("n"), F.count("*").alias("rows"))
-    places, _ = steps.store(numbered(known, ["doc_id", "h"], steps, "place"), "places")
+    """``i, z, h, n`` (code points) of every distinct document, how often it comes, and its next one's name."""
+    known = keyed.groupBy(*KEY).agg(F.first(F.char_length("text")).alias("n"), F.count("*").alias("rows"))
+    places, _ = steps.store(numbered(known, [F.desc("z"), "i", "h"], steps, "place"), "places")
     total = max(places.count(), 1)
-    after = places.select(F.col("place").alias("next"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
+    after = places.select(F.col("place").alias("next"), *(F.col(c).alias(f"next_{c}") for c in KEY))
     return steps.table(places.withColumn("next", (F.col("place") + 1) % total).join(after, "next").drop("next", "place"), "pairs")
 
 
-def same(a_id: str, a_h: str, b_id: str, b_h: str) -> Column:
-    return F.col(a_id).eqNullSafe(F.col(b_id)) & (F.col(a_h) == F.col(b_h))
-
-
 def with_edited(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id, h, text, edited``: the last half of each text replaced by the beginning of the next document."""
-    texts = keyed.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "text")
-    heads = texts.join(pairs, same("next_id", "next_h", "t_id", "t_h")).select(
-        F.col("doc_id").alias("p_id"),
-        F.col("h").alias("p_h"),
+    """``i, z, h, text, edited``: the last half of each text replaced by the beginning of the next document.
+
+    The texts are shuffled once: both joins want them by the same key.
+    """
+    wanted = pairs.select(*(F.col(c).alias(f"for_{c}") for c in KEY), *(F.col(f"next_{c}").alias(c) for c in KEY), "n")
+    heads = keyed.join(wanted, KEY).select(
+        *(F.col(f"for_{c}").alias(c) for c in KEY),
         F.floor(F.col("n") / 2).cast("int").alias("half"),
         F.expr("substring(text, 1, CAST(floor(n / 2) AS INT))").alias("head"),
     )
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - half)"), "head")
-    return keyed.join(heads, same("doc_id", "h", "p_id", "p_h")).select("doc_id", "h", "text", edited.alias("edited"))
+    return keyed.join(heads, KEY).select(*KEY, "text", edited.alias("edited"))
 
 
 def set_hashes(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -100,15 +112,15 @@ def set_hashes(texts: DataFrame, words: DataFrame) -> DataFrame:
         )
         return F.concat(F.array(whole), plain)
 
-    rows = texts.select("doc_id", "h", F.explode(F.concat(listed("text", 0), listed("edited", 1))).alias("x"))
-    found = rows.select("doc_id", "h", "x.*").join(words, "term", "left")
+    rows = texts.select(*KEY, F.explode(F.concat(listed("text", 0), listed("edited", 1))).alias("x"))
+    found = rows.select(*KEY, "x.*").join(words, "term", "left")
     sums = [
         F.sum(F.when(F.col("parts").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, F.col("hash"))).alias(f"s{k}")
         for k in range(SUBSETS)
     ]
-    each = found.groupBy("doc_id", "h", "edited").agg(F.count("hash").alias("n"), F.max("digest").alias("digest"), *sums)
-    printed = each.select("doc_id", "h", "edited", "digest", shown().alias("print"))
-    return printed.groupBy("doc_id", "h").agg(
+    each = found.groupBy(*KEY, "edited").agg(F.count("hash").alias("n"), F.max("digest").alias("digest"), *sums)
+    printed = each.select(*KEY, "edited", "digest", shown().alias("print"))
+    return printed.groupBy(*KEY).agg(
         F.max(F.when(F.col("edited") == 0, F.col("print"))).alias("fingerprint"),
         F.max(F.when(F.col("edited") == 1, F.col("print"))).alias("edited_fingerprint"),
         F.max(F.when(F.col("edited") == 1, F.col("digest"))).alias("edited_sha256"),
@@ -144,16 +156,15 @@ def likeness(a: str, b: str) -> Column:
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and how alike it is to that and to the next document."""
     steps = Steps(docs.sparkSession, "imatch")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keyed = keyed_texts(docs)
     words = lexicon(keyed, steps, low, high)
     pairs = following(keyed, steps)
-    once = keyed if pairs.where("rows > 1").isEmpty() else keyed.dropDuplicates(["doc_id", "h"])
+    once = keyed if pairs.where("rows > 1").isEmpty() else keyed.dropDuplicates(KEY)
     prints, _ = steps.store(set_hashes(with_edited(once, pairs), words), "prints")
-    mine = prints.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "fingerprint", "edited_fingerprint", "edited_sha256")
-    theirs = prints.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = pairs.join(mine, same("doc_id", "h", "p_id", "p_h")).join(theirs, same("next_id", "next_h", "t_id", "t_h"))
+    theirs = prints.select(*(F.col(c).alias(f"next_{c}") for c in KEY), F.col("fingerprint").alias("next_fingerprint"))
+    rows = pairs.join(prints, KEY).join(theirs, [f"next_{c}" for c in KEY])
     return rows.select(
-        "doc_id",
+        F.when(~F.col("z"), F.col("i")).alias("doc_id"),
         F.col("n").cast("bigint").alias("n_chars"),
         "edited_sha256",
         "fingerprint",
