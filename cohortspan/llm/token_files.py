@@ -51,7 +51,7 @@ PERCENT = 90
 FILE_IDS = 4_000_000
 MAGIC = b"PFR1"
 # Pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 # A text comes apart into these pieces wherever the byte-level pattern starts anew.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -182,11 +182,29 @@ class Pieces(dict):
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WHITE}]", c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, all that are not white space in one text: a line each.
+
+        The pattern starts anew after a line break, and no such piece has one, so its id parts the pieces again.
+        """
+        words = [p for p in pieces if p[-1] not in self.white]
+        lines = np.frombuffer(self.encode(["\n".join(words)])[0], "<u4")
+        cuts = [-1, *np.flatnonzero(lines == self.line).tolist(), len(lines)]
+        if self.line is None or len(cuts) != len(words) + 1:
+            words, cuts = [], []
+        raw = lines.tobytes()
+        self.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(words, cuts, cuts[1:]))
+        rest = [p for p in pieces if p not in self]
+        self.update(zip(rest, self.encode(rest)))
+
     def text(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.encode([text])[0]  # special tokens may begin inside a piece
@@ -196,7 +214,7 @@ class Pieces(dict):
             if len(self) + len(missing) > REMEMBERED:
                 self.clear()
                 missing = list(set(pieces))
-            self.update(zip(missing, self.encode(missing)))
+            self.learn(missing)
         return b"".join([self[p] for p in pieces])
 
 
@@ -287,5 +305,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    spread = listed.select("path", "before").repartition(F.col("path"))
+    # A task per file, whatever their sizes in the list suggest.
+    spread = listed.select("path", "before").repartition(max(1, files.count()), "path")
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
