@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, chunks, ranges, signed, words
+from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, words
 from cohortspan.llm.windows import beside_text, merged_spans, triggers
 
 WINDOW = 50
@@ -206,7 +206,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, h`` (hash of the text) and ``spans``, the merged word ranges to remove from that text."""
     steps = Steps(docs.sparkSession, "graph")
     reach = max(1, min(REACH, window // 2))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
+    keyed = once_each(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL"))
     cores, _ = steps.store(
         paths(keyed, window, reach, True)
         .groupBy("core")
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("core"),
         "cores",
     )
-    table, _ = steps.store(paths(keyed, window, reach, False).join(cores, "core", "left_semi").distinct(), "paths")
+    table, _ = steps.store(paths(keyed, window, reach, False).join(cores, "core", "left_semi"), "paths")
 
     # Compacted paths, verified at the coordinates of their sources.
     runs, _ = steps.store(compacted(table, steps), "runs")

@@ -32,6 +32,8 @@ THRESHOLD = 0.8
 # Chance that a pair at the threshold shares no key.
 MISSES = 1e-5
 ROWS = 6
+# Start of every key; the band's number is added.
+SEED = np.uint64(0x51ED270B0A1F39C1)
 # A block of a component: so many classes and so many bytes of text, on average.
 BLOCK_CLASSES = 512
 BLOCK_BYTES = 4 << 20
@@ -71,7 +73,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     at = (np.cumsum(counts) - counts)[have]
                     value = np.empty_like(grams)
                     for band in range(bands):
-                        key = SpanHashSeed + np.uint64(band)
+                        key = SEED + np.uint64(band)
                         for k in range(band * rows, (band + 1) * rows):
                             np.multiply(grams, factors[k], out=value)
                             value += shifts[k]
@@ -91,7 +93,6 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "n_words", "h1", "h2", "n_bytes", "keys"],
                 )
 
-    SpanHashSeed = np.uint64(0x51ED270B0A1F39C1)
     schema = "doc_id bigint, n_words bigint, h1 bigint, h2 bigint, n_bytes bigint, keys array<bigint>"
     return docs.select("doc_id", "text").mapInArrow(signed_batches, schema)
 

@@ -188,17 +188,25 @@ def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, steps: i
     return w, b
 
 
+def logits(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    """Of every text of a batch; below any threshold where there is no model."""
+    if not model.known:
+        return np.full(batch.num_rows, -np.inf)
+    out = [
+        model.weights[g].sum(dtype=np.float64)
+        for _, _, data, offsets in chunks(batch.column("text"))
+        for g in grams(data, offsets)
+    ]
+    return np.array(out, np.float64) + model.intercept
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted (score >= 0.5) of every document; its other columns stay away."""
-    weights, intercept, known = model.weights, model.intercept, model.known
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, data, offsets in chunks(batch.column("text")):
-                out.extend(float(weights[g].sum(dtype=np.float64)) for g in grams(data, offsets))
-            logit = np.clip(np.array(out) + intercept, -500, 500)
-            value = 1 / (1 + np.exp(-logit)) if known else np.zeros(len(out))
+            value = 1 / (1 + np.exp(-np.clip(logits(batch, model), -700, 500)))
+            value = value if model.known else np.zeros(len(value))
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"],
@@ -219,15 +227,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, all columns as they were, without those that are predicted toxic."""
-    weights_model = fit(docs, labels, rows)
-    weights, intercept, known = weights_model.weights, weights_model.intercept, weights_model.known
+    model = fit(docs, labels, rows)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, data, offsets in chunks(batch.column("text")):
-                out.extend(float(weights[g].sum(dtype=np.float64)) for g in grams(data, offsets))
-            keep = np.array(out) + intercept < 0 if known else np.ones(len(out), bool)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(logits(batch, model) < 0, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
