@@ -23,7 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -32,10 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import worker_cache
+from cohortspan.llm.common import tidy, worker_cache
 
 # Pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 # Characters that str.split() takes for white space although the vocabulary's pattern does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -156,35 +156,42 @@ def _fields(df: DataFrame, **kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), *named])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids: the token ids of every text, as little-endian unsigned 32-bit integers."""
-    source = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+def encoded(batches: Iterator[pa.RecordBatch], memory: Remembered) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            ids = [encode_text(t, memory) if t else b"" for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], memory: Remembered) -> Iterator[pa.RecordBatch]:
+    strings = memory.vocabulary.strings
+    for batch in batches:
+        for part in slices(batch):
+            texts = [" ".join([strings[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column("ids").to_pylist()]
+            yield pa.record_batch(
+                [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"]
+            )
+
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = loaded(source.value)
-        for batch in batches:
-            for part in slices(batch):
-                ids = [encode_text(t, memory) if t else b"" for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+def _mapped(df: DataFrame, path: str, work: Callable, columns: list[str], **kinds: T.DataType) -> DataFrame:
+    source = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+    return df.select(*columns).mapInArrow(tidy(lambda batches: work(batches, loaded(source.value))), _fields(df, **kinds))
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, _fields(docs, ids=T.BinaryType()))
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids: the token ids of every text, as little-endian unsigned 32-bit integers."""
+    return _mapped(docs, path, encoded, ["doc_id", "text"], ids=T.BinaryType())
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text: the vocabulary's strings of the ids, special tokens included."""
-    source = tokens.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = loaded(source.value).vocabulary.strings
-        for batch in batches:
-            for part in slices(batch):
-                texts = [" ".join([strings[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column("ids").to_pylist()]
-                yield pa.record_batch(
-                    [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())],
-                    names=["doc_id", "ids", "text"],
-                )
-
-    return tokens.select("doc_id", "ids").mapInArrow(decoded, _fields(tokens, ids=T.BinaryType(), text=T.StringType()))
+    return _mapped(tokens, path, decoded, ["doc_id", "ids"], ids=T.BinaryType(), text=T.StringType())
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text: both steps in one worker, which then holds one vocabulary and one memory."""
+    both = lambda batches, memory: decoded(encoded(batches, memory), memory)
+    return _mapped(docs, path, both, ["doc_id", "text"], ids=T.BinaryType(), text=T.StringType())
 
 
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,33 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+# Names of worker caches that can take a hundred megabytes.
+MEMORIES = ("bpe", "pieces")
+
+
+def drop_memories() -> None:
+    """Let go of what token operators remember: a worker lives on for other operators."""
+    for name in MEMORIES:
+        worker_cache(name).clear()
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` on the batches of a task, after which the worker gives freed memory back to the system.
+
+    Workers wait for further tasks beside the executor; what they have freed but keep counts as theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the offsets of the rows in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -52,6 +81,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows of about ``limit`` bytes: first row, row after the last, bytes, offsets."""
+    drop_memories()
     data, offsets = text_bytes(column)
     rows, start = len(offsets) - 1, 0
     while start < rows:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, words
+from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, tidy, words
 from cohortspan.llm.windows import beside_text, merged_spans, triggers
 
 WINDOW = 50
@@ -77,7 +77,7 @@ def paths(docs: DataFrame, window: int, reach: int, only_core: bool) -> DataFram
 
     fields = [T.StructField("core", T.LongType())]
     fields += [_place(docs)[0]] if only_core else [T.StructField("span", T.LongType()), *_place(docs)]
-    return docs.mapInArrow(found, T.StructType(fields))
+    return docs.mapInArrow(tidy(found), T.StructType(fields))
 
 
 def kmers(listed: DataFrame, window: int) -> DataFrame:
@@ -109,7 +109,7 @@ def kmers(listed: DataFrame, window: int) -> DataFrame:
                 )
 
     fields = [T.StructField("core", T.LongType()), T.StructField("span", T.LongType()), *_place(listed)]
-    return listed.mapInArrow(found, T.StructType(fields))
+    return listed.mapInArrow(tidy(found), T.StructType(fields))
 
 
 def digests(listed: DataFrame, window: int) -> DataFrame:
@@ -140,7 +140,7 @@ def digests(listed: DataFrame, window: int) -> DataFrame:
                     names=[*PLACE, "digest"],
                 )
 
-    return listed.mapInArrow(found, T.StructType([*_place(listed), T.StructField("digest", T.BinaryType())]))
+    return listed.mapInArrow(tidy(found), T.StructType([*_place(listed), T.StructField("digest", T.BinaryType())]))
 
 
 def compacted(table: DataFrame, steps: Steps) -> DataFrame:
@@ -275,4 +275,4 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
     fields += [T.StructField(name, T.LongType()) for name in ("n_words", "n_removed")] + [T.StructField("kept", T.StringType())]
-    return beside_text(keyed, repeats(docs, window), steps, "left").mapInArrow(cut, T.StructType(fields))
+    return beside_text(keyed, repeats(docs, window), steps, "left").mapInArrow(tidy(cut), T.StructType(fields))

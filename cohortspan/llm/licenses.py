@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, chunks, ranges
+from cohortspan.llm.common import SpanHash, chunks, ranges, tidy
 
 BITS = 16
 SIZES = (1, 2, 3)
@@ -325,7 +325,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             T.StructField("notices", T.ArrayType(notice)),
         ]
     )
-    return docs.select("doc_id", "text").mapInArrow(scanned, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scanned), schema)
 
 
 def licences(docs: DataFrame) -> DataFrame:

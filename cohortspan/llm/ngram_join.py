@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import SpanHash, Steps, chunks, ranges, signed, words
+from cohortspan.llm.common import SpanHash, Steps, chunks, ranges, signed, tidy, words
 from cohortspan.llm.components import connected_components
 
 WORDS = 5
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 )
 
     schema = "doc_id bigint, n_words bigint, h1 bigint, h2 bigint, n_bytes bigint, keys array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(signed_batches, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(signed_batches), schema)
 
 
 def compare(n: int, threshold: float):

@@ -18,7 +18,17 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 
 
+# Rows that go to a Python worker at a time. Texts are long; Spark's 10,000 would be tens of megabytes per task, held
+# by the executor and the worker, on the way there and back.
+BATCH_ROWS = 1_000
+
+
+def settle(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -41,8 +51,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    path = tokenizer_path(WORD_BPE)
-    decoded = bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path)
+    decoded = bpe.round_trip(read(spark, folder, "documents"), tokenizer_path(WORD_BPE))
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, text_bytes
+from cohortspan.llm.common import SpanHash, Steps, chunks, once_each, ranges, signed, text_bytes, tidy
 from cohortspan.llm.windows import beside_text, merged_spans, triggers
 
 WINDOW = 400
@@ -84,7 +84,7 @@ def cells(docs: DataFrame, window: int, reach: int, only_core: bool) -> DataFram
     if not only_core:
         fields += [T.StructField("span", T.LongType()), T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
         fields += [T.StructField(name, T.IntegerType()) for name in ("at", "first", "last")]
-    return docs.mapInArrow(found, T.StructType(fields))
+    return docs.mapInArrow(tidy(found), T.StructType(fields))
 
 
 def finer(listed: DataFrame, window: int, fine: int) -> DataFrame:
@@ -130,7 +130,7 @@ def finer(listed: DataFrame, window: int, fine: int) -> DataFrame:
     fields = [T.StructField("core", T.LongType()), T.StructField("span", T.LongType())]
     fields += [T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
     fields += [T.StructField(name, T.IntegerType()) for name in ("at", "first", "last")]
-    return listed.mapInArrow(found, T.StructType(fields))
+    return listed.mapInArrow(tidy(found), T.StructType(fields))
 
 
 def judged(table: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,7 @@ def entries(listed: DataFrame) -> DataFrame:
     kind = listed.schema["doc_id"].dataType
     fields = [T.StructField("core", T.LongType()), T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
     fields += [T.StructField(name, T.IntegerType()) for name in ("at", "first")]
-    return listed.mapInArrow(found, T.StructType([*fields, T.StructField("bytes", T.BinaryType())]))
+    return listed.mapInArrow(tidy(found), T.StructType([*fields, T.StructField("bytes", T.BinaryType())]))
 
 
 def common_lengths(rows: list[bytes], longest: int) -> np.ndarray:
@@ -258,7 +258,7 @@ def compared(table: DataFrame, window: int) -> DataFrame:
     fields = [T.StructField("doc_id", table.schema["doc_id"].dataType), T.StructField("h", T.LongType())]
     fields += [T.StructField(name, T.IntegerType()) for name in ("first", "last")]
     together = table.repartition("core").sortWithinPartitions("core", "doc_id", "h", "first")
-    return together.mapInArrow(found, T.StructType(fields))
+    return together.mapInArrow(tidy(found), T.StructType(fields))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -339,7 +339,7 @@ def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
     fields += [T.StructField(name, T.LongType()) for name in ("n_bytes", "n_removed", "n_spans")]
     fields += [T.StructField("kept_sha256", T.StringType())]
-    return beside_spans(docs.select("doc_id", "text"), window).mapInArrow(counted, T.StructType(fields))
+    return beside_spans(docs.select("doc_id", "text"), window).mapInArrow(tidy(counted), T.StructType(fields))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -361,7 +361,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
 
     schema = T.StructType([T.StructField("row", row.schema["row"].dataType), T.StructField("kept", T.StringType())])
-    kept = beside_spans(row, window).select("row", "text", "spans").mapInArrow(cut, schema)
+    kept = beside_spans(row, window).select("row", "text", "spans").mapInArrow(tidy(cut), schema)
     out = []
     for name in columns:
         if name == "text":

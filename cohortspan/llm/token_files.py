@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import Steps, worker_cache
+from cohortspan.llm.common import Steps, tidy, worker_cache
 
 BLOCK = 1024
 LANES = 32
@@ -272,7 +272,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> D
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = rows.orderBy("doc_id", F.xxhash64("text"))
-    files = ordered.mapInArrow(written, "part bigint, nth bigint, path string, n_docs bigint, n_ids bigint")
+    files = ordered.mapInArrow(tidy(written), "part bigint, nth bigint, path string, n_docs bigint, n_ids bigint")
     return Steps(spark, "tokens").table(files, "files")
 
 
@@ -307,4 +307,4 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     # A task per file, whatever their sizes in the list suggest.
     spread = listed.select("path", "before").repartition(max(1, files.count()), "path")
-    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return spread.mapInArrow(tidy(read), "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import Steps
+from cohortspan.llm.common import Steps, tidy
 
 SCALE = 64
 K = 20
@@ -63,7 +63,7 @@ def integers(vectors: DataFrame, query: Column, scale: int = SCALE) -> DataFrame
             )
 
     rows = vectors.select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query"))
-    found = rows.mapInArrow(packed, "vec_id bigint, query boolean, dim int, packed binary")
+    found = rows.mapInArrow(tidy(packed), "vec_id bigint, query boolean, dim int, packed binary")
     return found.where("packed IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, query: Column, k: int = K, scale: int = SCALE) ->
                 high = int(values.max()) if high is None else max(high, int(values.max()))
         yield pa.record_batch([pa.array([low], pa.int64()), pa.array([high], pa.int64())], names=["low", "high"])
 
-    span = table.select("packed").mapInArrow(sketched, "low bigint, high bigint").agg(F.min("low"), F.max("high")).first()
+    span = table.select("packed").mapInArrow(tidy(sketched), "low bigint, high bigint").agg(F.min("low"), F.max("high")).first()
     low, high = span[0] or 0, span[1] or 0
     width = max(1, -(-(high - low + 1) // CELLS))
     edges = low + width * np.arange(CELLS + 1, dtype=np.float64)
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, query: Column, k: int = K, scale: int = SCALE) ->
                     names=["q_row", "query_id", "row", "vec_id", "score"],
                 )
 
-    found = pairs.mapInArrow(compared, "q_row bigint, query_id bigint, row bigint, vec_id bigint, score bigint")
+    found = pairs.mapInArrow(tidy(compared), "q_row bigint, query_id bigint, row bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return (
         found.withColumn("rank", F.row_number().over(order))

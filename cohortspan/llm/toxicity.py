@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, chunks
+from cohortspan.llm.common import SpanHash, Steps, chunks, tidy
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -116,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     steps = Steps(docs.sparkSession, "toxicity")
     schema = "doc_id bigint, toxic int, grams binary"
     rows_in = labelled_sample(docs, labels, rows).select(F.col("doc_id").cast("bigint"), "text", "toxic")
-    sample, path = steps.store(rows_in.mapInArrow(features, schema), "sample")
+    sample, path = steps.store(rows_in.mapInArrow(tidy(features), schema), "sample")
     total = (
-        sample.mapInArrow(counts, "gram int, clean bigint, toxic bigint")
+        sample.mapInArrow(tidy(counts), "gram int, clean bigint, toxic bigint")
         .groupBy("gram")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where("gram < 0 OR clean + toxic >= 3")
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             )
 
     # At most 2 * rows short lists of two-byte numbers.
-    matrix = sample.mapInArrow(kept, schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    matrix = sample.mapInArrow(tidy(kept), schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     steps.remove(path)
     lists = [np.frombuffer(x, np.uint16) for x in matrix["grams"].to_pylist()]
     coefficients, intercept = logistic(lists, ratio, matrix["toxic"].to_numpy())
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
-    return docs.select("doc_id", "text").mapInArrow(scored, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scored), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -233,4 +233,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
         for batch in batches:
             yield batch.filter(pa.array(logits(batch, model) < 0, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import SpanHash, Steps, ranges
+from cohortspan.llm.common import SpanHash, Steps, ranges, tidy
 
 # Symbols of the rolling hash.
 ROLL = 16
@@ -79,4 +79,4 @@ def merged_spans(lists: DataFrame, window: int) -> DataFrame:
             )
 
     fields = [T.StructField("doc_id", lists.schema["doc_id"].dataType), T.StructField("h", T.LongType())]
-    return lists.mapInArrow(merged, T.StructType([*fields, T.StructField("spans", T.ArrayType(T.IntegerType()))]))
+    return lists.mapInArrow(tidy(merged), T.StructType([*fields, T.StructField("spans", T.ArrayType(T.IntegerType()))]))

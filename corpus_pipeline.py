@@ -10,34 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
-from cohortspan.llm.queries import WORD_BPE, tokenizer_path
+from cohortspan.llm.queries import WORD_BPE, settle, tokenizer_path
 from cohortspan.session import scratch
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    settle(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    settle(spark)
     return ngram_join.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again are cut out of the texts; every document stays, if need be with an empty text."""
+    settle(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it, which may be never or up to three times."""
+    settle(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers) and the text they decode to."""
-    path = tokenizer_path(WORD_BPE)
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    settle(spark)
+    decoded = bpe.round_trip(docs, tokenizer_path(WORD_BPE))
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "text")
 
 
