@@ -137,6 +137,7 @@ def loaded(source: bytes) -> Remembered:
     kept = worker_cache("bpe")
     key = hashlib.md5(source).digest()
     if key not in kept:
+        worker_cache("powers").clear()  # what the hashing operators keep is not needed beside a vocabulary
         kept[key] = Remembered(Vocabulary(source))
     return kept[key]
 
