@@ -12,7 +12,7 @@ last. A word goes if a window that covers it also starts in a document with a sm
 4. A compacted path has a source, its first occurrence in the least document. The words at the source's and
    the occurrence's coordinates are digested, and only equal digests count as a repeat.
 5. Paths that share a core without being equal, the ends of passages, are compared k-mer by k-mer, one entry
-   per distinct path.
+   per distinct path; what is found there is taken back to all its places.
 
 All steps are counts and minima by key, with partial results before the shuffle, joins whose other side has one
 row per key, and windows over one document.
@@ -81,7 +81,7 @@ def paths(docs: DataFrame, window: int, reach: int, only_core: bool) -> DataFram
 
 
 def kmers(listed: DataFrame, window: int) -> DataFrame:
-    """Every k-mer of the listed paths, with its place."""
+    """Every k-mer of the listed paths, with its place and the first k-mer of its path."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,6 +93,7 @@ def kmers(listed: DataFrame, window: int) -> DataFrame:
                 low, high = bounds[start], bounds[stop]
                 many = last[low:high] - first[low:high] + 1
                 owner = np.repeat(np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1])), many)
+                path = np.repeat(first[low:high], many)
                 at = ranges(first[low:high], many)
                 a = at + word[owner]
                 rows = pa.array(owner + start)
@@ -104,11 +105,13 @@ def kmers(listed: DataFrame, window: int) -> DataFrame:
                         batch.column("h").take(rows),
                         pa.array(at.astype(np.int32)),
                         pa.array(at.astype(np.int32)),
+                        pa.array(path.astype(np.int32)),
                     ],
-                    names=["core", "span", *PLACE],
+                    names=["core", "span", *PLACE, "path"],
                 )
 
     fields = [T.StructField("core", T.LongType()), T.StructField("span", T.LongType()), *_place(listed)]
+    fields += [T.StructField("path", T.IntegerType())]
     return listed.mapInArrow(tidy(found), T.StructType(fields))
 
 
@@ -234,10 +237,20 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("one.doc_id").alias("low"), F.max("one.doc_id").alias("high"))
         .where("n > 1 AND low < high")
     )
-    ends = one.join(unclear.select("core"), "core", "left_semi").select("one.*").distinct()
+    ends = one.join(unclear.select("core"), "core", "left_semi").select("core", "span", "one.*")
     edges, _ = steps.store(kmers(listed_at(keyed, ends, steps), window), "edges")
     least = edges.groupBy("core", "span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    single = edges.join(least.select("core", "span", "low"), ["core", "span"]).where("doc_id > low").select(*PLACE)
+    single = edges.join(least.select("core", "span", "low"), ["core", "span"]).where("doc_id > low")
+    # What was found in one place of a path holds for its others in that document, and in texts with the same id;
+    # `whole` has those in documents with larger ids. A path has at most reach + 1 k-mers.
+    offsets = single.groupBy("doc_id", "h", F.col("path").alias("first")).agg(
+        F.collect_list(F.col("first") - F.col("path")).alias("offsets")
+    )
+    offsets = offsets.join(ends, ["doc_id", "h", "first"]).select("core", "span", "doc_id", "offsets")
+    single = table.join(offsets, ["core", "span", "doc_id"]).select(
+        "doc_id", "h", F.explode(F.transform("offsets", lambda x: F.col("first") + x)).alias("first")
+    )
+    single = single.select("doc_id", "h", "first", F.col("first").alias("last"))
 
     places = whole.unionByName(single)
     return merged_spans(

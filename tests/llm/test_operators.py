@@ -107,6 +107,21 @@ def test_substring_removal_matches_brute_force(spark):
         assert sum(w[2] for w in wanted) > 0
 
 
+def test_substring_removal_reaches_every_place_of_a_path(spark):
+    rng = random.Random(11)
+    for n in (55, 70, 130):
+        passage = data.sentence(rng, n)
+        many = " ".join(data.sentence(rng, 7) + " " + passage for _ in range(13))
+        loop = " ".join([passage] * 9)
+        rows = [(2, data.sentence(rng, 5) + " " + passage + " " + data.sentence(rng, 5)), (9, many), (9, "x " + many), (12, loop), (15, many)]
+        found = debruijn.kept_words(data.documents(spark, rows)).select(
+            "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)
+        )
+        wanted = brute.kept_words(rows)
+        assert as_set(found.collect()) == as_set(wanted)
+        assert wanted[1][2] >= 13 * n
+
+
 def test_compaction_makes_long_paths(spark):
     rng = random.Random(3)
     passage = data.sentence(rng, 400)
