@@ -5,7 +5,9 @@ fixed size. Each is scaled by the log ratio of its smoothed counts in toxic and
 texts; a logistic regression on the scaled features gives the score (the NB-SVM of Wang and Manning).
 
 The fit reads a bounded sample of labelled rows (``SAMPLE_ROWS`` per class); its counts, its log ratios
-and the weights are of fixed size. Scoring reads every whole text once, without a shuffle.
+and the weights are of fixed size. The intercept is moved by the log ratio of the rates at which the two classes
+were drawn, so scores keep the balance of all labels whatever the size of the sample. Scoring reads every whole
+text once, without a shuffle.
 
 Edge cases: a null or empty text has no features and gets the score of the intercept; a document without
 an id is scored, never used for the fit and never held out; of several labels of one document the
@@ -69,14 +71,26 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts of each class outside the held-out fold."""
-    known = (
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and class of every labelled document outside the held-out fold."""
+    return (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .where(~held_out())
     )
+
+
+def drawn_shift(labels: DataFrame, rows: int = SAMPLE_ROWS) -> float:
+    """What log-odds learnt from ``labelled_sample`` lack: the log ratio of the rates of clean and toxic labels in it."""
+    counts = {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()}
+    rates = [min(rows, counts[c]) / counts[c] if counts.get(c) else 1.0 for c in (0, 1)]
+    return float(np.log(rates[0]) - np.log(rates[1]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled texts of each class outside the held-out fold."""
+    known = known_labels(labels)
     order = [F.xxhash64("doc_id"), "doc_id"]
     parts = [known.where(F.col("toxic") == c).orderBy(*order).limit(rows) for c in (0, 1)]
     # At most 2 * rows pairs of numbers: a proven size for the broadcast.
@@ -158,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     coefficients, intercept = logistic(lists, ratio, matrix["toxic"].to_numpy())
     weights = np.zeros(1 << BITS, np.float32)
     weights[gram] = coefficients * ratio
-    return Model(weights, float(intercept), True)
+    return Model(weights, float(intercept) + drawn_shift(labels, rows), True)
 
 
 def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:

@@ -361,6 +361,18 @@ def test_toxicity_on_held_out_documents(spark):
     assert ((found.score >= 0.5) == (found.predicted == 1)).all()
 
 
+def test_toxicity_does_not_move_with_the_size_of_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    few, all_of_them = (
+        toxicity.toxicity(known, labels, rows).join(labels, "doc_id").orderBy("doc_id").toPandas() for rows in (350, 100_000)
+    )
+    assert (few.predicted != all_of_them.predicted).mean() < 0.03
+    assert (few.score - all_of_them.score).abs().mean() < 0.06
+    assert few[few.held_out & (few.toxic == 0)].predicted.mean() < 0.03
+
+
 def test_common_lengths_of_all_pairs():
     rng = random.Random(5)
     rows = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(40)]
