@@ -274,7 +274,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     unclear, _ = steps.store(unclear, "unclear")
     # All windows of repeated rows do repeat; one of them stands for the others from here on.
     keyed = once_each(keyed)
-    found = [again, ends_of_groups(keyed, unclear.where(F.col("spans") <= GROUP), window, steps)]
+    # Repeated rows and equal texts without an id have the same cells; the list of a text gets each once.
+    found = [again.distinct(), ends_of_groups(keyed, unclear.where(F.col("spans") <= GROUP), window, steps)]
     unclear = unclear.where(F.col("spans") > GROUP)
     if not unclear.isEmpty():
         for fine in (FINE, 1):

@@ -146,6 +146,19 @@ def test_suffix_removal_matches_brute_force(spark):
     assert as_set(found) == as_set(brute.kept_bytes(data.passages(), 60))
 
 
+def test_suffix_removal_lists_the_cells_of_repeated_rows_once(spark, monkeypatch):
+    rng = random.Random(8)
+    text, other = data.sentence(rng, 300), data.sentence(rng, 300)
+    rows = [(7, text)] * 20 + [(None, other)] * 20 + [(8, data.sentence(rng, 9) + text)]
+    lists = []
+    merged = suffix_dedup.merged_spans
+    monkeypatch.setattr(suffix_dedup, "merged_spans", lambda df, window: lists.append(df) or merged(df, window))
+    found = suffix_dedup.removal_report(data.documents(spark, rows)).collect()
+    assert as_set(found) == as_set(brute.kept_bytes(rows))
+    for row in lists[0].collect():
+        assert len(row.starts) <= 2 * len(set(row.starts)), (row.doc_id, len(row.starts), len(set(row.starts)))
+
+
 def test_suffix_removal_with_lists_too_long_for_broadcast(spark, monkeypatch):
     from cohortspan.llm import windows
 
