@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, debruijn, imatch, licenses, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity
+from cohortspan.llm import bpe, debruijn, filter_audit, imatch, licenses, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity
 from cohortspan.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_ngram_jaccard_join,
@@ -98,9 +102,10 @@ def queries() -> dict[str, Query]:
         op8_license_scan,
         op9_exact_topk,
         op10_toxicity,
+        op11_filter_interaction_audit,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op9_exact_topk": topk.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op9_exact_topk": topk.SQL, "op11_filter_interaction_audit": filter_audit.SQL}
