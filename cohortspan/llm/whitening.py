@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import Steps, tidy
+from cohortspan.llm.common import Steps, text_bytes, tidy
 
 SCALE = 1024
 COMPONENTS = 8
@@ -43,41 +44,55 @@ _WIDTHS = (np.dtype("<i2"), np.dtype("<i4"), np.dtype("<i8"))
 _LARGEST = float(1 << 62)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers as bytes: width in bytes, then the entries."""
-    low, high = int(values.min()), int(values.max())
-    kind = next(k for k in _WIDTHS if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+def pack(rows: np.ndarray) -> pa.Array:
+    """Each row of integers as bytes: width in bytes, then the entries."""
+    largest = np.maximum(rows.max(axis=1), -1 - rows.min(axis=1))
+    width = np.select([largest <= np.iinfo(kind).max for kind in _WIDTHS], [kind.itemsize for kind in _WIDTHS])
+    pieces, order = [], []
+    for kind in _WIDTHS:
+        at = np.flatnonzero(width == kind.itemsize)
+        if len(at):
+            lines = np.full((len(at), 1 + kind.itemsize * rows.shape[1]), kind.itemsize, np.uint8)
+            lines[:, 1:] = rows[at].astype(kind).view(np.uint8)
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(lines.shape[1]), len(at), [None, pa.py_buffer(lines)])
+            pieces.append(fixed.cast(pa.binary()))
+            order.append(at)
+    return pa.concat_arrays(pieces).take(pa.array(np.argsort(np.concatenate(order))))
 
 
 def unpack(packed: pa.Array, dim: int) -> np.ndarray:
     """The entries of packed vectors, a row each."""
+    data, offsets = text_bytes(packed)
+    width = data[offsets[:-1]]
     out = np.empty((len(packed), dim), np.int64)
-    for k, one in enumerate(packed.to_pylist()):
-        out[k] = np.frombuffer(one, _WIDTHS[one[0].bit_length() - 2], offset=1)
+    for kind in _WIDTHS:
+        at = np.flatnonzero(width == kind.itemsize)
+        if len(at):
+            places = offsets[at][:, None] + 1 + np.arange(kind.itemsize * dim)
+            out[at] = data[places].view(kind)
     return out
 
 
 def integers(vectors: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``id, dim, packed``: floor(scale * entry) of the rows that take part, without the shift."""
+    """``id, dim, packed``: floor(scale * entry) of the rows that take part."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, dims, out = [], [], []
-            for k, value in enumerate(batch.column("vector")):
-                if not value.is_valid or not len(value.values) or value.values.null_count:
-                    continue
-                entries = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(entries).all():
-                    continue
-                entries = np.floor(scale * entries)
-                if not (np.abs(entries) < _LARGEST).all():
+            lists = batch.column("vector")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            entries = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            unfit = np.append(0, np.cumsum(~np.isfinite(entries)))
+            there = (lengths > 0) & (unfit[ends] == unfit[starts])
+            for dim in np.unique(lengths[there]):
+                at = np.flatnonzero(there & (lengths == dim))
+                rows = np.floor(scale * entries[starts[at][:, None] + np.arange(dim)])
+                if not (np.abs(rows) < _LARGEST).all():
                     raise OverflowError(f"an entry times {scale} does not fit 62 bits")
-                keep.append(k)
-                dims.append(len(entries))
-                out.append(pack(entries.astype(np.int64)))
-            ids = batch.column("id").take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([ids, pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "packed"])
+                ids = batch.column("id").take(pa.array(at))
+                dims = pa.array(np.full(len(at), dim), pa.int32())
+                yield pa.record_batch([ids, dims, pack(rows.astype(np.int64))], names=["id", "dim", "packed"])
 
     schema = T.StructType(
         [

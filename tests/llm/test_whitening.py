@@ -146,8 +146,8 @@ def test_entries_beyond_62_bits_are_an_error(spark):
         whitening.whiten(frame(spark, [(1, [1e30, 1.0]), (2, [1.0, 1.0])])).collect()
 
 
-def test_packed_vectors_come_back():
-    import pyarrow as pa
-
-    rows = np.array([[1, -5, 32767], [1, 40_000, 2], [1 << 40, 0, -3]])
-    assert (whitening.unpack(pa.array([whitening.pack(r) for r in rows]), 3) == rows).all()
+def test_packed_vectors_come_back_and_equal_ones_pack_alike():
+    rows = np.array([[1, -5, 32767], [1, 40_000, 2], [1 << 40, 0, -3], [1, -5, 32767], [-32768, 0, 0], [-32769, 0, 0]])
+    packed = whitening.pack(rows)
+    assert (whitening.unpack(packed, 3) == rows).all()
+    assert packed[0] == packed[3] and len(packed[4].as_py()) == 7 and len(packed[5].as_py()) == 13
