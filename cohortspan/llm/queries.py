@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, debruijn, filter_audit, imatch, licenses, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity, whitening
+from cohortspan.llm import bpe, debruijn, filter_audit, html_text, imatch, licenses, mixing, ngram_join, suffix_dedup, token_files, topk, toxicity, whitening
 from cohortspan.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
     return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages"))
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whiten(read(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("bigint"))
@@ -108,6 +112,7 @@ def queries() -> dict[str, Query]:
         op9_exact_topk,
         op10_toxicity,
         op11_filter_interaction_audit,
+        op12_html_extraction,
         op13_embedding_whitening,
     )
     return {f.__name__: f for f in named}
