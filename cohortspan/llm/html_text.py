@@ -570,10 +570,19 @@ def fit(sources: Iterable[str], smoothing: float = 0.1, penalty: float = 0.5) ->
 
 
 def sample(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """At most ``rows`` pages that mark their article, of at most ``chars`` characters each, by the order of a hash."""
+    """At most ``rows`` different pages that mark their article, of at most ``chars`` characters each: those of least hash.
+
+    The hashes are chosen first, so no task sends pages to the driver that are not in the sample.
+    """
     source = F.col(column)
-    marked = pages.select(source.alias("source")).where(source.rlike("(?i)<(article|main)[\\s>]") & (F.char_length(source) <= chars))
-    return [r["source"] for r in marked.orderBy(F.xxhash64("source"), "source").limit(rows).collect()]
+    marked = pages.select(source.alias("source"), F.xxhash64(source).alias("h")).where(
+        source.rlike("(?i)<(article|main)[\\s>]") & (F.char_length(source) <= chars)
+    )
+    least = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not least:
+        return []
+    chosen = marked.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("source").alias("source"))
+    return [r["source"] for r in chosen.orderBy("h").limit(rows).collect()]
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, column: str = "html", keep: Iterable[str] = ("page_id", "url")) -> DataFrame:

@@ -166,4 +166,5 @@ def test_sample_is_bounded(spark):
     page = "<article><p>text</p></article>"
     pages = spark.createDataFrame([(k, "u", page + str(k)) for k in range(40)] + [(99, "u", page + "x" * 500)], PAGES)
     assert len(html_text.sample(pages, rows=10)) == 10
+    assert sorted(html_text.sample(pages.unionByName(pages).unionByName(pages))) == sorted({r.html for r in pages.collect()})
     assert all(len(s) < 100 for s in html_text.sample(pages, chars=100))
