@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+
+from cohortspan.session import cut_lineage
 
 
 def dense_ordinal(
@@ -24,7 +25,7 @@ def dense_ordinal(
     never decrease along ``order``. Rows are counted per slice with map-side combine, the counts are
     turned into offsets by windows that see one row per slice, and only the rows of one finest slice
     are sorted together. No task ever holds a whole group, so a hot group is as cheap as many small
-    ones. An empty ``group`` numbers the whole table. Group and level values must not be NULL.
+    ones. Group and level values must not be NULL; ``numbered`` counts over a whole table.
 
     ``df`` is read twice, for the counts and for the rows: store it before if it is costly.
     """
@@ -33,7 +34,7 @@ def dense_ordinal(
     cut = df.withColumns(dict(zip(slices, levels)))
     # Said here once, the joins below do not add it in different places; so all levels of the counts
     # come from the same exchange.
-    cut = cut.dropna(subset=list(group)) if group else cut
+    cut = cut.dropna(subset=list(group))
     cut = cut.where(reduce(lambda a, b: a & b, [F.col(s).isNotNull() for s in slices]))
     counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
@@ -57,19 +58,25 @@ def dense_ordinal(
     )
 
 
-def id_blocks(df: DataFrame, key: str, then: Sequence[Column] = ()) -> list[Column]:
-    """Slicing levels for numbering by an integer key.
+def numbered(df: DataFrame, name: str, order: Sequence[str | Column], start: int = 1) -> DataFrame:
+    """Add ``name`` = ``start``, ``start`` + 1, ... over the whole table in the given order, NULLs first.
 
-    A unique key is cut into blocks of a million values, so a block holds at most a million rows
-    however the keys are spread; a 64-bit key is first cut into blocks of a million blocks. If rows
-    share a key, ``then`` cuts the rows of one key, and blocks are kept smaller for it.
+    One range sort deals the rows to tasks. The sorted rows are stored with the number of their task and their
+    place in it; rows per task, one small row each, make the offsets. Nothing is assumed to be unique: rows that
+    ``order`` does not tell apart are told apart by their place in the stored input, so even one key with most of
+    the rows is split over tasks. ``df`` is read once, to be stored; what is sampled and sorted is the stored copy.
     """
-    wide = isinstance(df.schema[key].dataType, LongType)
-    value = F.col(key).cast("bigint")
-    bits = 14 if then else 20
-    levels = [F.shiftright(value, bits + 20)] if wide else []
-    levels.append(F.shiftright(value, bits))
-    if then:
-        parts = {"key": value, **{f"then{i}": column for i, column in enumerate(then)}}
-        levels.append(F.struct(*[column.alias(alias) for alias, column in parts.items()]))
-    return levels
+    tie, part, place = f"__{name}_tie", f"__{name}_part", f"__{name}_place"
+    stored = cut_lineage(df, "unnumbered").withColumn(tie, F.monotonically_increasing_id())
+    in_order = cut_lineage(
+        stored.orderBy(*order, tie)
+        .drop(tie)
+        .withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}),
+        "in-order",
+    )
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = in_order.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.select(part, (F.coalesce(F.sum("__n").over(before), F.lit(0)) + start).alias("__offset"))
+    # One row per task of the sort: a proven size for the broadcast.
+    found = in_order.join(F.broadcast(offsets), part).withColumn(name, F.col("__offset") + F.col(place))
+    return found.drop(part, place, "__offset")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions.ordinals import dense_ordinal, id_blocks
+from cohortspan.functions.ordinals import numbered
 from cohortspan.operators.views import first_per_group
 from cohortspan.session import cut_lineage
 
@@ -190,11 +190,14 @@ def rejected_anthropometry(staged: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def load_users(staged: DataFrame, users: DataFrame) -> DataFrame:
-    """New users with the next free ids, in the order of their participant numbers; known numbers are passed over."""
+    """New users with the next free ids, in the order of their participant numbers; known numbers are passed over.
+
+    Users without a number are all new and come first.
+    """
     new = insert_ignore(users, staged, ["SEQN"], [F.col(c) for c in staged.columns if c != "SEQN"])
     highest = users.agg(F.max("UserID")).first()[0] or 0
-    numbered = assign_ids(cut_lineage(new.where("SEQN IS NOT NULL"), "new-users"), "UserID", "SEQN", highest + 1)
-    return numbered.select(F.col("UserID").cast("int").alias("UserID"), *staged.columns)
+    found = assign_ids(new, "UserID", ["SEQN", *[c for c in staged.columns if c != "SEQN"]], highest + 1)
+    return found.select(F.col("UserID").cast(users.schema["UserID"].dataType).alias("UserID"), *staged.columns)
 
 
 def load_anthropometry(staged: DataFrame | None, users: DataFrame, existing: DataFrame) -> DataFrame:
@@ -213,39 +216,22 @@ def load_anthropometry(staged: DataFrame | None, users: DataFrame, existing: Dat
     )
 
 
-def assign_ids(
-    df: DataFrame,
-    name: str,
-    key: str,
-    start: int = 1,
-    then: Sequence[Column] = (),
-    order: Sequence[Column] = (),
-) -> DataFrame:
-    """Consecutive ids from ``start`` in the order of an integer key.
-
-    If ``key`` alone is not unique, ``then`` slices the rows of one key further and ``order`` sorts
-    the rest. The ids depend on the data only, not on how it is partitioned.
-    """
-    return dense_ordinal(df, name, [], id_blocks(df, key, then), [F.col(key), *order], start)
+def assign_ids(df: DataFrame, name: str, order: Sequence[str | Column], start: int = 1) -> DataFrame:
+    """Consecutive 64-bit ids from ``start`` in the given order; they depend on the data only, not on how it is partitioned."""
+    return numbered(df, name, order, start)
 
 
-def fill_ids(
-    df: DataFrame,
-    name: str,
-    key: str,
-    then: Sequence[Column] = (),
-    order: Sequence[Column] = (),
-) -> DataFrame:
+def fill_ids(df: DataFrame, name: str, order: Sequence[str | Column]) -> DataFrame:
     """Give rows without an id the next free ones; the highest id in use is the one value fetched.
 
-    The rows are read for that value, for the counts and for themselves, so they are stored first.
+    The rows are read for that value and for themselves, so they are stored first.
     """
     df = cut_lineage(df, "merged")
     used = df.agg(F.max(name)).first()[0] or 0
-    new = assign_ids(df.where(F.col(name).isNull()).drop(name), name, key, used + 1, then, order)
+    new = assign_ids(df.where(F.col(name).isNull()).drop(name), name, order, used + 1)
     kind = df.schema[name].dataType
-    numbered = new.withColumn(name, F.col(name).cast(kind)).select(*df.columns)
-    return df.where(F.col(name).isNotNull()).unionByName(numbered)
+    new = new.withColumn(name, F.col(name).cast(kind)).select(*df.columns)
+    return df.where(F.col(name).isNotNull()).unionByName(new)
 
 
 def survey_etl(raw: dict[str, DataFrame], biomarkers: DataFrame) -> dict[str, DataFrame]:

@@ -160,7 +160,7 @@ def ingest(
 
     if first_session_id is None:
         first_session_id = (sessions.agg(F.max("SessionID")).first()[0] or 0) + 1
-    accepted = assign_ids(judged.where("Reason IS NULL"), "SessionID", "SubmissionID", first_session_id)
+    accepted = assign_ids(judged.where("Reason IS NULL"), "SessionID", ["SubmissionID"], first_session_id)
     time_of_day = F.unix_timestamp(F.lit(ingested_at).cast("timestamp")) - F.unix_timestamp(
         F.to_date(F.lit(ingested_at)).cast("timestamp")
     )

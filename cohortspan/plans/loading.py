@@ -271,7 +271,7 @@ PARTS["load_new"] = (
 def _loaded_sessions(spark, sf, t) -> DataFrame:
     new = etl.load_sessions(cleaned(spark, sf)["sessions"], t.users, t.sessions)
     highest = t.sessions.agg(F.max("SessionID")).first()[0]
-    return etl.assign_ids(new, "SessionID", "UserID", highest + 1).withColumn("SessionID", F.col("SessionID").cast("int"))
+    return etl.assign_ids(new, "SessionID", ["UserID"], highest + 1).withColumn("SessionID", F.col("SessionID").cast("int"))
 
 
 @query(
@@ -331,9 +331,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sessions = survey_tables(spark, sf).sessions.select("UserID", "SessionDate")
-    return etl.assign_ids(
-        sessions, "NewID", "UserID", then=[F.year("SessionDate")], order=[F.col("SessionDate")]
-    )
+    return etl.assign_ids(sessions, "NewID", ["UserID", "SessionDate"])
 
 
 # ---- upserts and deletes ----------------------------------------------------------------------
@@ -368,7 +366,7 @@ def _(spark, sf):
     files = cleaned(spark, sf)["users"]
     held_back = users.where("BirthDate >= DATE '1975-01-01'").join(files.select("SEQN"), "SEQN", "left_anti")
     incoming = files.unionByName(held_back.select(*files.columns))
-    return etl.fill_ids(upsert.upsert_users(stored, incoming), "UserID", "SEQN")
+    return etl.fill_ids(upsert.upsert_users(stored, incoming), "UserID", ["SEQN"])
 
 
 @query(
@@ -392,9 +390,7 @@ def _(spark, sf):
         .select("SEQN", "SessionDate", (~F.col("FastingStatus")).alias("FastingStatus"))
     )
     merged = upsert.upsert_sessions(stored, incoming, t.users)
-    return etl.fill_ids(
-        merged, "SessionID", "UserID", then=[F.year("SessionDate")], order=[F.col("SessionDate")]
-    )
+    return etl.fill_ids(merged, "SessionID", ["UserID", "SessionDate"])
 
 
 @query(

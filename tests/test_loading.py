@@ -106,7 +106,7 @@ def test_upsert_twice_is_upsert_once(spark):
         [(12, None, "M", "c"), (14, day("1990-01-01"), "F", "d"), (13, day("1991-01-01"), "F", "e")],
         "SEQN INT, BirthDate DATE, Sex STRING, RaceEthnicity STRING",
     )
-    once = etl.fill_ids(upsert.upsert_users(t.users, incoming), "UserID", "SEQN")
+    once = etl.fill_ids(upsert.upsert_users(t.users, incoming), "UserID", ["SEQN"])
     rows = sorted(tuple(r) for r in once.collect())
     assert rows == [
         (1, 11, day("1980-01-01"), "M", "a"),
@@ -114,7 +114,7 @@ def test_upsert_twice_is_upsert_once(spark):
         (3, 13, day("1991-01-01"), "F", "e"),
         (4, 14, day("1990-01-01"), "F", "d"),
     ]
-    twice = etl.fill_ids(upsert.upsert_users(once, incoming), "UserID", "SEQN")
+    twice = etl.fill_ids(upsert.upsert_users(once, incoming), "UserID", ["SEQN"])
     assert sorted(tuple(r) for r in twice.collect()) == rows
 
 
@@ -352,6 +352,9 @@ def test_new_users_get_the_next_ids(spark):
     stored = spark.createDataFrame([(7, 10, None, "M", "a")], f"UserID INT, {kind}")
     staged = spark.createDataFrame([(30, None, "M", "x"), (10, None, "F", "y"), (20, None, "F", "z"), (20, None, "F", "z")], kind)
     assert sorted((r["UserID"], r["SEQN"]) for r in etl.load_users(staged, stored).collect()) == [(8, 20), (9, 30)]
+    nameless = staged.limit(1).withColumn("SEQN", F.lit(None).cast("int"))
+    found = etl.load_users(staged.unionByName(nameless).unionByName(nameless), stored).collect()
+    assert sorted((r["UserID"], r["SEQN"] or 0) for r in found) == [(8, 0), (9, 0), (10, 20), (11, 30)]
 
 
 def test_participants_who_are_absent_from_a_file(spark):
