@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import iso_date
@@ -91,6 +91,13 @@ def _findings(values: DataFrame, biomarkers: DataFrame) -> DataFrame:
     )
 
 
+def visit_time(date: Column, ingested_at: str) -> Column:
+    """The given day at the time of day of ``ingested_at``."""
+    moment = F.lit(ingested_at).cast("timestamp")
+    time_of_day = F.unix_timestamp(moment) - F.unix_timestamp(F.to_date(F.lit(ingested_at)).cast("timestamp"))
+    return F.timestamp_seconds(F.unix_timestamp(date.cast("timestamp")) + time_of_day)
+
+
 def ingest(
     submissions: DataFrame,
     values: DataFrame,
@@ -161,10 +168,7 @@ def ingest(
     if first_session_id is None:
         first_session_id = (sessions.agg(F.max("SessionID")).first()[0] or 0) + 1
     accepted = assign_ids(judged.where("Reason IS NULL"), "SessionID", ["SubmissionID"], first_session_id)
-    time_of_day = F.unix_timestamp(F.lit(ingested_at).cast("timestamp")) - F.unix_timestamp(
-        F.to_date(F.lit(ingested_at)).cast("timestamp")
-    )
-    taken_at = F.timestamp_seconds(F.unix_timestamp(F.col("SessionDate").cast("timestamp")) + time_of_day)
+    taken_at = visit_time(F.col("SessionDate"), ingested_at)
     accepted = accepted.select(
         "SubmissionID", F.col("SessionID").cast("int").alias("SessionID"), "UserID", "SessionDate", "FastingStatus"
     )

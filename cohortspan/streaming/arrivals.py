@@ -1,17 +1,53 @@
-"""Submissions arriving as JSON files, ingested micro-batch by micro-batch."""
+"""Submissions arriving as JSON files, ingested micro-batch by micro-batch with keyed state.
+
+Two operators with state decide about every submission. The first is keyed by submission: whatever comes again, in the
+same batch or in a later one, gets no second decision. The second is keyed by user: it keeps whether the user is known
+and the days that have a visit. Known users and stored visits are its initial state, read once when the stream starts;
+users who register later come through a stream of their own. The highest visit id lives in a small row per batch. So
+no batch reads a table that grows, and a batch costs what it brings.
+
+State is kept in RocksDB with its checkpoints in the checkpoint folder. A batch that is replayed finds the state as it
+was before the batch and writes the same rows to the same folders.
+
+``max_files`` bounds a batch, and with it what one very frequent user brings to a task at a time: the headers and values
+of that user in one batch.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from cohortspan.operators.ingest import flatten, ingest
-from cohortspan.schemas import SESSION
+import cohortspan
+from cohortspan.functions.dates import iso_date
+from cohortspan.functions.ordinals import numbered
+from cohortspan.operators.ingest import (
+    CONFLICTING,
+    DUPLICATE_SESSION,
+    INVALID_DATE,
+    INVALID_VALUE,
+    NULL_VALUE,
+    REPEATED_BIOMARKER,
+    UNKNOWN_BIOMARKER,
+    UNKNOWN_USER,
+    visit_time,
+)
 from cohortspan.session import cut_lineage
 
+# Send the processors below to the workers by value, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(cohortspan)
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_VALUES = T.ArrayType(
+    T.StructType([T.StructField("biomarkerId", T.IntegerType()), T.StructField("value", T.DecimalType(12, 4))])
+)
 # One record per submission, as the service takes it.
 SUBMISSION_JSON = T.StructType(
     [
@@ -19,25 +55,163 @@ SUBMISSION_JSON = T.StructType(
         T.StructField("UserID", T.IntegerType()),
         T.StructField("sessionDate", T.StringType()),
         T.StructField("fastingStatus", T.BooleanType()),
-        T.StructField(
-            "measurements",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("biomarkerId", T.IntegerType()), T.StructField("value", T.DecimalType(12, 4))]
-                )
-            ),
-        ),
+        T.StructField("measurements", _VALUES),
     ]
 )
 
+# Rows that need no state are dealt over so many keys, in slots from 0; rows that do have the slot -1.
+_SLOTS = 4096
+_STATEFUL = -1
+_USER, _SUBMISSION = "user", "submission"
+
+
+class FirstDelivery(StatefulProcessor):
+    """Per submission: its body when it first arrives, and whether several different bodies arrived at once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.decided = handle.getValueState("decided", "yes int")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        if key[1] != _STATEFUL:  # no id, nothing to remember: every delivery is a submission
+            for row in rows:
+                yield Row(Body=row["Body"], Conflict=False)
+            return
+        bodies: set[str] = set()
+        for row in rows:
+            if len(bodies) < 2:
+                bodies.add(row["Body"])
+        if not self.decided.exists():
+            self.decided.update((1,))
+            yield Row(Body=min(bodies), Conflict=len(bodies) > 1)
+
+    def close(self) -> None:
+        pass
+
+
+class VisitsOfUser(StatefulProcessor):
+    """Per user: one visit a day, the acceptable submission of the lowest number in the first batch that has one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.user = handle.getValueState("user", "known boolean")
+        self.days = handle.getMapState("days", "day int", "taken boolean")
+
+    def handleInitialState(self, key, state, timer_values) -> None:
+        self.user.update((True,))
+        for row in state if not isinstance(state, Row) else [state]:
+            if row["Day"] is not None:
+                self.days.updateValue((row["Day"],), (True,))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        if key[1] != _STATEFUL:  # a slot of submissions that are decided already
+            for row in rows:
+                yield Row(Body=row["Body"], Reason=row["Own"])
+            return
+        found, winners = [], {}
+        registered = False
+        for row in rows:
+            if row["Kind"] == _USER:
+                registered = True
+                continue
+            day, number, own = row["Day"], row["SubmissionID"], row["Own"]
+            found.append((day, number, own, row["Body"]))
+            if own is None:
+                winners[day] = min(winners.get(day, number), number)
+        if registered:
+            self.user.update((True,))
+        if not found:
+            return
+        if not self.user.exists():
+            for _, _, _, body in found:
+                yield Row(Body=body, Reason=UNKNOWN_USER)
+            return
+        taken = {day for day in {f[0] for f in found} if self.days.containsKey((day,))}
+        for day, number, own, body in found:
+            late = day in taken or day in winners and winners[day] < number
+            yield Row(Body=body, Reason=DUPLICATE_SESSION if late else own)
+        for day in winners.keys() - taken:
+            self.days.updateValue((day,), (True,))
+
+    def close(self) -> None:
+        pass
 
-def _stored(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)  # nothing accepted yet
+
+def slot(stateful: Column, spread: Column) -> Column:
+    return F.when(stateful, _STATEFUL).otherwise(F.pmod(F.xxhash64(spread), F.lit(_SLOTS)).cast("int"))
+
+
+def first_deliveries(bodies: DataFrame) -> DataFrame:
+    """``Body, Conflict`` of every submission that has not been decided before."""
+    values = F.array_sort("measurements")  # the order of the values is no difference
+    body = F.to_json(F.struct("SubmissionID", "UserID", "sessionDate", "fastingStatus", values.alias("measurements")))
+    rows = bodies.select("SubmissionID", body.alias("Body")).select(
+        F.coalesce("SubmissionID", F.lit(0)).alias("SubmissionID"),
+        slot(F.col("SubmissionID").isNotNull(), F.col("Body")).alias("Slot"),
+        "Body",
+    )
+    return rows.groupBy("SubmissionID", "Slot").transformWithState(
+        FirstDelivery(), "Body string, Conflict boolean", "Append", "None"
+    )
+
+
+def own_reason(biomarkers: list[int]) -> tuple[Column, Column]:
+    """What is wrong with a submission whoever sent it, and what is wrong with its values, from ``b``, its body."""
+    date = F.when(F.col("b.measurements").isNotNull(), F.col("b.sessionDate"))
+    incomplete = (
+        F.coalesce(date, F.lit("")).eqNullSafe("") | F.col("b.fastingStatus").isNull() | F.col("b.SubmissionID").isNull()
+    )
+    early = (
+        F.when(F.col("Conflict"), CONFLICTING)
+        .when(incomplete, INVALID_VALUE)
+        .when(iso_date(date).isNull(), INVALID_DATE)
+        .when(F.col("b.UserID").isNull(), UNKNOWN_USER)
+    )
+    ids = F.transform("b.measurements", lambda m: m["biomarkerId"])
+    known = F.array(*[F.lit(i) for i in biomarkers]).cast("array<int>")
+    values = (
+        F.when(F.exists(ids, lambda i: i.isNull() | ~F.array_contains(known, i)), UNKNOWN_BIOMARKER)
+        .when(F.exists("b.measurements", lambda m: m["value"].isNull()), NULL_VALUE)
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), REPEATED_BIOMARKER)
+    )
+    return early, values
+
+
+def decisions(
+    bodies: DataFrame, users: DataFrame, sessions: DataFrame, biomarkers: list[int], registrations: DataFrame | None
+) -> DataFrame:
+    """``Body, Reason`` of every new submission; no reason means accepted."""
+    first = first_deliveries(bodies).withColumn("b", F.from_json("Body", SUBMISSION_JSON))
+    early, values = own_reason(biomarkers)
+    day = F.unix_date(iso_date(F.col("b.sessionDate")))
+    judged = first.select(
+        "Body", "b.SubmissionID", "b.UserID", early.alias("Early"), values.alias("Values"), day.alias("Day")
+    )
+    needs_user = F.col("Early").isNull()
+    keyed = judged.select(
+        F.when(needs_user, F.col("UserID")).otherwise(0).alias("UserID"),
+        slot(needs_user, F.col("Body")).alias("Slot"),
+        F.lit(_SUBMISSION).alias("Kind"),
+        F.coalesce("SubmissionID", F.lit(0)).alias("SubmissionID"),
+        F.coalesce("Day", F.lit(0)).alias("Day"),
+        F.coalesce("Early", "Values").alias("Own"),
+        "Body",
+    )
+    if registrations is not None:
+        joined = registrations.where("UserID IS NOT NULL").select(
+            F.col("UserID").cast("int").alias("UserID"),
+            F.lit(_STATEFUL).alias("Slot"),
+            F.lit(_USER).alias("Kind"),
+            F.lit(0).cast("bigint").alias("SubmissionID"),
+            F.lit(0).alias("Day"),
+            F.lit(None).cast("string").alias("Own"),
+            F.lit(None).cast("string").alias("Body"),
+        )
+        keyed = keyed.unionByName(joined)
+    visits = sessions.select("UserID", F.unix_date("SessionDate").alias("Day"))
+    known = users.select(F.col("UserID").cast("int").alias("UserID")).distinct().join(visits, "UserID", "left")
+    state = known.select("UserID", F.lit(_STATEFUL).alias("Slot"), "Day").groupBy("UserID", "Slot")
+    return keyed.groupBy("UserID", "Slot").transformWithState(
+        VisitsOfUser(), "Body string, Reason string", "Append", "None", initialState=state
+    )
 
 
 def ingest_stream(
@@ -49,35 +223,70 @@ def ingest_stream(
     biomarkers: DataFrame,
     checkpoint: str,
     ingested_at: str = "2001-12-31 00:00:00",
+    max_files: int | None = None,
+    registrations: DataFrame | None = None,
 ) -> StreamingQuery:
     """Read nested JSON records, one per submission, until none is left.
 
-    A record that comes again in one batch counts once; one that comes in a later batch finds its visit stored.
-    ``target`` receives ``sessions``, ``measurements`` and ``rejected``, each in one folder per batch
-    that a replay overwrites with the same rows; what earlier batches accepted counts as stored.
+    There is one decision per SubmissionID, however often and in whichever batches it is delivered. Deliveries in one
+    batch that differ conflict; later ones are passed over. ``target`` receives ``sessions``, ``measurements`` and
+    ``rejected``, each in one folder per batch. ``users`` and ``sessions`` are what is known when the stream first
+    starts with ``checkpoint``; afterwards the state knows. ``registrations`` is a stream with the UserID of new users.
+    ``max_files`` is the number of files per batch. Catalogs are definitions and small: ``biomarkers`` is a list of ids.
     """
+    ids = [r["BiomarkerID"] for r in biomarkers.select("BiomarkerID").distinct().collect()]
+    stored_highest = sessions.agg(F.max("SessionID")).first()[0] or 0
+    session_id = sessions.schema["SessionID"].dataType
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        headers, values = flatten(cut_lineage(batch))
-        earlier = _stored(batch.sparkSession, f"{target}/sessions", SESSION)
-        if "batch" in earlier.columns:
-            earlier = earlier.where(F.col("batch") < batch_id).drop("batch")
-        known = sessions.select("SessionID", "UserID", "SessionDate").unionByName(
-            earlier.select("SessionID", "UserID", "SessionDate")
+        own = batch.sparkSession
+        decided = cut_lineage(batch.withColumn("b", F.from_json("Body", SUBMISSION_JSON)).drop("Body"), "decided")
+        decided = decided.withColumn("SubmissionID", F.col("b.SubmissionID"))
+        highest = stored_highest
+        if batch_id:
+            highest = own.read.schema("SessionID BIGINT").parquet(f"{target}/highest/batch={batch_id - 1}").first()[0]
+        header = ["SubmissionID", F.col("b.UserID").alias("UserID")]
+        accepted = numbered(decided.where("Reason IS NULL"), "SessionID", ["SubmissionID"], highest + 1)
+        accepted = cut_lineage(accepted.withColumn("SessionID", F.col("SessionID").cast(session_id)), "accepted")
+        date = iso_date(F.col("b.sessionDate")).alias("SessionDate")
+        visits = accepted.select(
+            "SubmissionID", "SessionID", F.col("b.UserID").alias("UserID"), date, F.col("b.fastingStatus").alias("FastingStatus")
         )
-        highest = known.agg(F.max("SessionID")).first()[0] or 0
-        # Only the visits of users in this batch can clash with it.
-        known = known.join(headers.select("UserID").distinct(), "UserID", "left_semi")
-        done = ingest(headers, values, users, known, biomarkers, ingested_at, highest + 1)
-        accepted = cut_lineage(done.sessions)
-        for name, df in (("sessions", accepted), ("measurements", done.measurements), ("rejected", done.rejected)):
+        taken_at = visit_time(iso_date(F.col("b.sessionDate")), ingested_at).alias("TakenAt")
+        values = accepted.select("SubmissionID", "SessionID", taken_at, F.explode("b.measurements").alias("m"))
+        rejected = decided.where("Reason IS NOT NULL").select(
+            *header,
+            F.when(F.col("b.measurements").isNotNull(), F.col("b.sessionDate")).alias("SessionDateText"),
+            F.col("b.fastingStatus").alias("FastingStatus"),
+            "Reason",
+        )
+        results = {
+            "sessions": visits,
+            "measurements": values.select(
+                "SubmissionID", "SessionID", F.col("m.biomarkerId").alias("BiomarkerID"), F.col("m.value").alias("Value"), "TakenAt"
+            ),
+            "rejected": rejected,
+            # The one number the next batch needs.
+            "highest": accepted.agg(F.coalesce(F.max("SessionID").cast("bigint"), F.lit(highest)).alias("SessionID")),
+        }
+        for name, df in results.items():
             df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
 
-    return (
-        spark.readStream.schema(SUBMISSION_JSON)
-        .json(source)
-        .writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    reader = spark.readStream.schema(SUBMISSION_JSON)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)  # a query keeps the setting that it was started with
+    try:
+        return (
+            decisions(reader.json(source), users, sessions, ids, registrations)
+            .writeStream.foreachBatch(on_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)

@@ -1,11 +1,10 @@
 import json
+import os
 
 import pytest
 from conftest import day, make_tables, moment
-from pyspark.sql import functions as F
 
 from cohortspan.operators.ingest import flatten, ingest
-from cohortspan.session import scratch
 from cohortspan.streaming.arrivals import ingest_stream
 
 HEADER = "SubmissionID BIGINT, UserID INT, SessionDateText STRING, FastingStatus BOOLEAN"
@@ -169,32 +168,107 @@ def test_a_body_without_a_list_is_rejected(spark, tables):
     assert [(r["SubmissionID"], r["Reason"]) for r in done.rejected.collect()] == [(1, "invalid_value")]
 
 
+class Stream:
+    """A stream over files that a test adds one by one."""
+
+    def __init__(self, spark, tables, folder, **options):
+        self.spark, self.tables, self.options = spark, tables, options
+        self.source, self.target, self.checkpoint = folder / "incoming", str(folder / "stored"), str(folder / "checkpoint")
+        self.source.mkdir(parents=True)
+
+    def run(self, name=None, headers=(), values=()):
+        if name:
+            write_bodies(self.source, name, headers, values)
+        t = self.tables
+        partitions = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", "1")  # a state store and a worker each
+        try:
+            ingest_stream(
+                self.spark, str(self.source), self.target, t.users, t.sessions, t.biomarkers, self.checkpoint, **self.options
+            ).awaitTermination()
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        return self
+
+    def rows(self, name):
+        return sorted(map(tuple, self.spark.read.parquet(f"{self.target}/{name}").drop("batch").collect()), key=str)
+
+
 def test_stream_takes_each_submission_once(spark, tables, tmp_path):
-    source = tmp_path / "incoming"
-    source.mkdir()
-    target, checkpoint = str(tmp_path / "stored"), scratch(spark, "stream-test")
-
-    def run():
-        ingest_stream(
-            spark, str(source), target, tables.users, tables.sessions, tables.biomarkers, checkpoint
-        ).awaitTermination()
-        return {
-            name: spark.read.parquet(f"{target}/{name}").drop("batch") for name in ("sessions", "measurements", "rejected")
-        }
-
-    usable = [v for v in VALUES if v[0] != 16]
-    write_bodies(source, "a.json", HEADERS[:15], usable)
-    first = run()
-    assert {r["SubmissionID"] for r in first["sessions"].collect()} == {1, 11, 14}
-    assert {r["SubmissionID"]: r["Reason"] for r in first["rejected"].collect()} == {
-        k: v for k, v in REASONS.items() if k != 16
-    }
-    assert run()["sessions"].count() == 3  # nothing new arrived
-
-    later = [(101, 1, "2024-12-25", True), (102, 1, "2024-12-26", True)]
-    write_bodies(source, "b.json", later, [(101, 1, "4.5"), (102, 1, "4.4")])
-    second = run()
-    rows = {r["SubmissionID"]: r["SessionID"] for r in second["sessions"].collect()}
-    assert rows == {1: 41, 11: 42, 14: 43, 102: 44}
-    assert second["rejected"].where("SubmissionID = 101").first()["Reason"] == "duplicate_session"
-    assert second["measurements"].select(F.max("SessionID")).first()[0] == 44
+    stream = Stream(spark, tables, tmp_path)
+    stream.run("a.json", HEADERS[:15], [v for v in VALUES if v[0] != 16])
+    assert {r[0] for r in stream.rows("sessions")} == {1, 11, 14}
+    assert {r[0]: r[4] for r in stream.rows("rejected")} == {k: v for k, v in REASONS.items() if k != 16}
+    stream.run("b.json", [(101, 1, "2024-12-25", True), (102, 1, "2024-12-26", True)], [(101, 1, "4.5"), (102, 1, "4.4")])
+    assert {r[0]: r[1] for r in stream.rows("sessions")} == {1: 41, 11: 42, 14: 43, 102: 44}
+    assert {r[0]: r[4] for r in stream.rows("rejected")}[101] == "duplicate_session"
+    assert sorted((r[1], r[2], str(r[3])) for r in stream.rows("measurements"))[-1] == (44, 1, "4.4000")
+    assert all(r[4].hour == 0 for r in stream.rows("measurements"))
+
+
+def test_a_submission_split_over_deliveries_is_decided_once(spark, tables, tmp_path):
+    first = [(1, 1, "2024-12-25", True), (2, 1, "2024-13-01", True), (None, 1, "2024-12-24", True)]
+    again = [(1, 1, "2024-12-25", True), (1, 1, "2024-12-26", True), (2, 1, "2024-12-27", True), (None, 1, "2024-12-24", True)]
+    stream = Stream(spark, tables, tmp_path).run("a.json", first + first[:1], [(1, 1, "4.5")])
+    accepted, rejected = stream.rows("sessions"), stream.rows("rejected")
+    assert [(r[0], r[1]) for r in accepted] == [(1, 41)] and [(r[0], r[4]) for r in rejected] == [(2, "invalid_date"), (None, "invalid_value")]
+    stream.run("b.json", again, [(1, 1, "4.5")])
+    assert stream.rows("sessions") == accepted
+    # What has no id can not be told from what came before: it is rejected each time.
+    assert [(r[0], r[4]) for r in stream.rows("rejected")] == [(2, "invalid_date"), (None, "invalid_value"), (None, "invalid_value")]
+    stream.run("c.json", [(3, 1, "2024-12-28", True), (3, 2, "2024-12-28", True), (4, 2, "2024-12-28", False)], [(4, 2, "60")])
+    assert [(r[0], r[1]) for r in stream.rows("sessions")] == [(1, 41), (4, 42)]
+    assert (3, "conflicting_submission") in [(r[0], r[4]) for r in stream.rows("rejected")]
+
+
+def test_a_batch_that_is_replayed_writes_the_same_rows(spark, tables, tmp_path):
+    stream = Stream(spark, tables, tmp_path)
+    stream.run("a.json", HEADERS[:15], VALUES[:-1]).run("b.json", [(101, 1, "2024-12-25", True), (102, 1, "2024-12-26", True)], [(102, 1, "4.4")])
+    names = ("sessions", "measurements", "rejected", "highest")
+    before = {name: stream.rows(name) for name in names}
+    # As if the job had been lost after the batch was written and before it was committed.
+    (tmp_path / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    stream.run()
+    assert {name: stream.rows(name) for name in names} == before
+    stream.run("c.json", [(103, 1, "2024-12-26", True), (104, 1, "2024-12-27", True)], [])
+    assert max(r[1] for r in stream.rows("sessions")) == 45 and len(stream.rows("sessions")) == 5
+
+
+def test_batches_of_one_file_decide_like_one_batch(spark, tables, tmp_path):
+    one, many = (Stream(spark, tables, tmp_path / name, **options) for name, options in (("one", {}), ("many", {"max_files": 1})))
+    for folder in (one, many):
+        for k in range(3):
+            write_bodies(folder.source, f"{k}.json", HEADERS[5 * k : 5 * k + 5], VALUES[:-1])
+            # Files are read in the order of their times.
+            os.utime(folder.source / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)
+        folder.run()
+    assert one.rows("sessions") == many.rows("sessions") and one.rows("rejected") == many.rows("rejected")
+    assert len(list((tmp_path / "many" / "stored" / "highest").glob("batch=*"))) == 3
+
+
+def test_users_who_register_later(spark, tables, tmp_path):
+    registered = tmp_path / "users"
+    registered.mkdir()
+    registrations = spark.readStream.schema("UserID INT").parquet(str(registered))
+    stream = Stream(spark, tables, tmp_path, registrations=registrations)
+    stream.run("a.json", [(1, 9, "2024-12-25", True)], [])
+    assert [(r[0], r[4]) for r in stream.rows("rejected")] == [(1, "unknown_user")]
+    spark.createDataFrame([(9,), (10,)], "UserID INT").write.mode("append").parquet(str(registered))
+    stream.run("b.json", [(2, 9, "2024-12-25", True), (3, 11, "2024-12-25", True)], [])
+    assert [(r[0], r[1], r[2]) for r in stream.rows("sessions")] == [(2, 41, 9)]
+    assert (3, "unknown_user") in [(r[0], r[4]) for r in stream.rows("rejected")]
+
+
+def test_batches_read_no_stored_table(spark, tables, tmp_path):
+    stored = str(tmp_path / "tables")
+    tables.users.write.parquet(f"{stored}/users")
+    tables.sessions.write.parquet(f"{stored}/sessions")
+    held = tables.replace(users=spark.read.parquet(f"{stored}/users"), sessions=spark.read.parquet(f"{stored}/sessions"))
+    stream = Stream(spark, held, tmp_path).run("a.json", HEADERS[:3], VALUES[:3])
+    # With its state, the stream goes on when the tables are empty.
+    empty = tables.replace(users=tables.users.limit(0), sessions=tables.sessions.limit(0))
+    stream.tables = empty
+    stream.run("b.json", [(50, 2, "2024-12-25", True), (51, 1, "2024-01-01", True), (52, 1, "2024-12-25", True)], [])
+    assert [(r[0], r[1]) for r in stream.rows("sessions")] == [(1, 41), (50, 42)]
+    assert {r[0]: r[4] for r in stream.rows("rejected")} == {2: "duplicate_session", 3: "duplicate_session", 51: "duplicate_session", 52: "duplicate_session"}
