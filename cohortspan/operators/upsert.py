@@ -76,6 +76,12 @@ def user_ids(incoming: DataFrame, users: DataFrame) -> DataFrame:
     return incoming.join(users.select("SEQN", "UserID"), "SEQN").drop("SEQN")
 
 
+def visit_ids(incoming: DataFrame, users: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Look up SessionID by participant number and date; rows without a visit fall out."""
+    visits = sessions.select("UserID", "SessionDate", "SessionID")
+    return user_ids(incoming, users).join(visits, ["UserID", "SessionDate"]).drop("UserID", "SessionDate")
+
+
 def upsert_sessions(sessions: DataFrame, incoming: DataFrame, users: DataFrame) -> DataFrame:
     """By user and date; new visits come back without a SessionID."""
     keyed = user_ids(incoming, users)
@@ -94,9 +100,7 @@ def upsert_measurements(
 
     Only the value of a stored row changes, its time stays.
     """
-    visits = sessions.select("UserID", "SessionDate", "SessionID")
-    keyed = user_ids(incoming, users).join(visits, ["UserID", "SessionDate"]).drop("UserID", "SessionDate")
-    return upsert(measurements, keyed, ["SessionID", "BiomarkerID"], ["Value"])
+    return upsert(measurements, visit_ids(incoming, users, sessions), ["SessionID", "BiomarkerID"], ["Value"])
 
 
 def upsert_results(results: DataFrame, incoming: DataFrame, users: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan import catalog, tables
-from cohortspan.operators import etl, quality, upsert
+from cohortspan.operators import buckets, etl, quality, upsert
 from cohortspan.plans.api import _USAGE
 from cohortspan.plans.define import PARTS, query
 from cohortspan.session import scratch
@@ -340,6 +340,16 @@ def _(spark, sf):
 STORED_UNTIL, ARRIVING_FROM = "2000-01-01", "1999-01-01"
 
 
+# Buckets of the stored tables; small, as the tables of the checks are.
+BUCKETS = 8
+
+
+def _upserted(spark, name: str, stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The whole table after ``incoming`` was brought into the buckets of ``stored`` that it touches."""
+    table = buckets.create_named(spark, name, stored, BUCKETS)
+    return buckets.upsert_named(table, name, incoming).read()
+
+
 # Users born before this year are stored; the others arrive, unless the cleaned files bring them.
 PARTS["arriving_users"] = (
     ("users", "etl_users"),
@@ -366,7 +376,7 @@ def _(spark, sf):
     files = cleaned(spark, sf)["users"]
     held_back = users.where("BirthDate >= DATE '1975-01-01'").join(files.select("SEQN"), "SEQN", "left_anti")
     incoming = files.unionByName(held_back.select(*files.columns))
-    return etl.fill_ids(upsert.upsert_users(stored, incoming), "UserID", ["SEQN"])
+    return _upserted(spark, "users", stored, incoming)
 
 
 @query(
@@ -389,8 +399,7 @@ def _(spark, sf):
         .join(t.users.select("UserID", "SEQN"), "UserID")
         .select("SEQN", "SessionDate", (~F.col("FastingStatus")).alias("FastingStatus"))
     )
-    merged = upsert.upsert_sessions(stored, incoming, t.users)
-    return etl.fill_ids(merged, "SessionID", ["UserID", "SessionDate"])
+    return _upserted(spark, "sessions", stored, upsert.user_ids(incoming, t.users))
 
 
 @query(
@@ -414,7 +423,7 @@ def _(spark, sf):
         .select("SEQN", "ExamDate", "HeightCM", (F.col("WeightKG") + 1).alias("WeightKG"), F.lit(None).cast("decimal(4,2)").alias("BMI"))
     )
     incoming = cleaned(spark, sf)["anthropometry"].unionByName(corrected)
-    return upsert.upsert_anthropometry(t.anthropometry, incoming, t.users)
+    return _upserted(spark, "anthropometry", t.anthropometry, upsert.user_ids(incoming, t.users))
 
 
 @query(
@@ -442,7 +451,7 @@ def _(spark, sf):
             (F.col("TakenAt") + F.expr("INTERVAL 9 HOURS")).alias("TakenAt"),
         )
     )
-    return upsert.upsert_measurements(stored, incoming, t.users, t.sessions)
+    return _upserted(spark, "measurements", stored, upsert.visit_ids(incoming, t.users, t.sessions))
 
 
 @query(
@@ -463,7 +472,7 @@ def _(spark, sf):
         .join(t.users.select("UserID", "SEQN"), "UserID")
         .select("SEQN", "ModelID", "ComputedAt", (F.col("BioAgeYears") + 1).alias("BioAgeYears"))
     )
-    return upsert.upsert_results(stored, incoming, t.users)
+    return _upserted(spark, "results", stored, upsert.user_ids(incoming, t.users))
 
 
 @query(
