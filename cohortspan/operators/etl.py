@@ -131,32 +131,44 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], ord
     return new if open_keys is None else new.unionByName(open_keys.select(*new.columns))
 
 
-def load_sessions(staged: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
-    """New visits with the user id looked up by participant number."""
-    keyed = staged.join(users.select("SEQN", "UserID"), "SEQN").select(
-        "UserID", "SessionDate", F.col("FastingStatus").cast("boolean").alias("FastingStatus")
-    )
+def by_user(staged: DataFrame, users: DataFrame, buckets: int | None) -> DataFrame:
+    """Look up the user id by participant number; with ``buckets``, deal the rows as tables bucketed by user are."""
+    keyed = staged.join(users.select("SEQN", "UserID"), "SEQN")
+    return keyed if buckets is None else keyed.repartition(buckets, "UserID")
+
+
+def load_sessions(staged: DataFrame, users: DataFrame, existing: DataFrame, buckets: int | None = None) -> DataFrame:
+    """New visits with the user id looked up by participant number.
+
+    ``buckets`` says that ``existing`` is stored in so many buckets of users: it is then read in place.
+    """
+    fasting = F.col("FastingStatus").cast("boolean").alias("FastingStatus")
+    first = first_per_group(staged, ["SEQN", "SessionDate"], [fasting]) if buckets else staged
+    keyed = by_user(first, users, buckets).select("UserID", "SessionDate", fasting)
     return insert_ignore(existing, keyed, ["UserID", "SessionDate"], [F.col("FastingStatus")])
 
 
-def load_measurements(staged: DataFrame, users: DataFrame, sessions: DataFrame, existing: DataFrame) -> DataFrame:
+def load_measurements(
+    staged: DataFrame, users: DataFrame, sessions: DataFrame, existing: DataFrame, buckets: int | None = None
+) -> DataFrame:
     """New values with the visit looked up by participant number and date; others fall out.
 
     A value outside the column's range does not fit and falls out as well; ``rejected_measurements``
     lists what falls out and why.
+
+    ``buckets`` says that ``sessions`` and ``existing`` are stored in so many buckets of users, values with their user.
+    Both are then read in place: only the staged rows move, once to their participant and once to their user.
     """
+    value, taken = F.col("Value").try_cast("decimal(12,4)").alias("Value"), F.col("TakenAt").cast("timestamp").alias("TakenAt")
+    key = ["SessionID", "BiomarkerID"] if buckets is None else ["UserID", "SessionID", "BiomarkerID"]
     keyed = (
-        staged.join(users.select("SEQN", "UserID"), "SEQN")
+        by_user(staged, users, buckets)
         .join(sessions.select("UserID", "SessionDate", "SessionID"), ["UserID", "SessionDate"])
-        .select(
-            "SessionID",
-            "BiomarkerID",
-            F.col("Value").try_cast("decimal(12,4)").alias("Value"),
-            F.col("TakenAt").cast("timestamp").alias("TakenAt"),
-        )
+        .select(*key, value, taken)
         .where("Value IS NOT NULL")
     )
-    return insert_ignore(existing, keyed, ["SessionID", "BiomarkerID"], [F.col("TakenAt"), F.col("Value")])
+    new = insert_ignore(existing, keyed, key, [F.col("TakenAt"), F.col("Value")])
+    return new.select("SessionID", "BiomarkerID", "Value", "TakenAt")
 
 
 def rejected_measurements(staged: DataFrame, users: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cohortspan import catalog, tables
 from cohortspan.operators import buckets, etl, quality, upsert
 from cohortspan.plans.api import _USAGE
 from cohortspan.plans.define import PARTS, query
-from cohortspan.session import scratch
+from cohortspan.session import cut_lineage, scratch
 from cohortspan.sources import csvfiles, xpt
 from cohortspan.sources.samples import write_xpt
 from cohortspan.sources.star import RAW, derive, survey_tables
@@ -268,6 +270,16 @@ PARTS["load_new"] = (
 )
 
 
+# Buckets of the stored tables; few, as the tables of the checks are small.
+BUCKETS = 8
+
+
+def _colocated(spark, t: tables.Tables, *names: str) -> tables.Tables:
+    prefix = f"load_{uuid.uuid4().hex}"
+    chosen = tables.Tables(**{name: getattr(t, name) for name in names})
+    return tables.write_colocated(chosen, scratch(spark, "colocated"), prefix, BUCKETS)
+
+
 def _loaded_sessions(spark, sf, t) -> DataFrame:
     new = etl.load_sessions(cleaned(spark, sf)["sessions"], t.users, t.sessions)
     highest = t.sessions.agg(F.max("SessionID")).first()[0]
@@ -291,12 +303,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = survey_tables(spark, sf)
-    staged = cleaned(spark, sf)["sessions"]
+    staged = cut_lineage(cleaned(spark, sf)["sessions"], "staged-sessions")
     men = t.users.where("Sex = 'M'")
-    stored = t.sessions.select("UserID", "SessionDate").unionByName(
-        etl.load_sessions(staged, men, t.sessions).select("UserID", "SessionDate")
-    )
-    return etl.load_sessions(staged, t.users, stored)
+    added = etl.load_sessions(staged, men, t.sessions).withColumn("SessionID", F.lit(0))
+    stored = _colocated(spark, t.replace(sessions=t.sessions.unionByName(added)), "users", "sessions")
+    return etl.load_sessions(staged, stored.users, stored.sessions, BUCKETS)
 
 
 @query(
@@ -308,9 +319,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = survey_tables(spark, sf)
-    return etl.load_measurements(
-        cleaned(spark, sf)["measurements"], t.users, _loaded_sessions(spark, sf, t), t.measurements
-    )
+    staged = cut_lineage(cleaned(spark, sf)["measurements"], "staged-measurements")
+    values = t.measured().select("SessionID", "BiomarkerID", "Value", "TakenAt", "UserID", "SessionDate")
+    stored = _colocated(spark, t.replace(sessions=_loaded_sessions(spark, sf, t), measurements=values), "users", "sessions", "measurements")
+    return etl.load_measurements(staged, stored.users, stored.sessions, stored.measurements, BUCKETS)
 
 
 @query(
@@ -340,10 +352,6 @@ def _(spark, sf):
 STORED_UNTIL, ARRIVING_FROM = "2000-01-01", "1999-01-01"
 
 
-# Buckets of the stored tables; small, as the tables of the checks are.
-BUCKETS = 8
-
-
 def _upserted(spark, name: str, stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The whole table after ``incoming`` was brought into the buckets of ``stored`` that it touches."""
     table = buckets.create_named(spark, name, stored, BUCKETS)

@@ -111,3 +111,62 @@ def scan_tables(spark: SparkSession, folder: str) -> Tables:
         return spark.read.schema(MEASURED).parquet(f"{folder}/measurements").where("UserID IS NOT NULL")
 
     return Tables(measured=measured, **{name: partial(read, name) for name in NAMES})
+
+
+# Tables that are looked up together by user, as stored: values with the user and day of their visit.
+COLOCATED = {"users": SCHEMAS["users"], "sessions": SCHEMAS["sessions"], "measurements": MEASURED}
+CLUSTER_KEY = "UserID"
+
+
+def _colocated_name(prefix: str, name: str) -> str:
+    return f"{prefix}_{name}"
+
+
+def write_colocated(tables: Tables, folder: str, prefix: str, buckets: int) -> Tables:
+    """Write users, visits and values bucketed alike by user, as tables ``prefix_name`` of the session's catalog.
+
+    Joins between them, and windows and joins on more columns beside the user, then need no exchange. The rows of one
+    user share a bucket; their number is bounded by days and biomarkers, since these are keys.
+    """
+    given = dict(tables.items())
+    for name, schema in COLOCATED.items():
+        if name not in given:
+            continue
+        df = given[name]
+        if name == "measurements" and CLUSTER_KEY not in df.columns:
+            df = df.join(given["sessions"].select("SessionID", "UserID", "SessionDate"), "SessionID", "left")
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        # The exchange deals rows to tasks as bucketing deals them to files, so each task writes one file.
+        (
+            typed.repartition(buckets, CLUSTER_KEY)
+            .write.mode("overwrite")
+            .bucketBy(buckets, CLUSTER_KEY)
+            .sortBy(CLUSTER_KEY)
+            .option("path", f"{folder}/{name}")
+            .saveAsTable(_colocated_name(prefix, name))
+        )
+    spark = next(iter(given.values())).sparkSession
+    return scan_colocated(spark, prefix, [name for name in COLOCATED if name in given])
+
+
+def register_colocated(spark: SparkSession, folder: str, prefix: str, buckets: int) -> Tables:
+    """Make tables that another session wrote with ``write_colocated`` known to this one."""
+    for name, schema in COLOCATED.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(
+            f"CREATE TABLE {_colocated_name(prefix, name)} ({columns}) USING parquet CLUSTERED BY ({CLUSTER_KEY}) "
+            f"SORTED BY ({CLUSTER_KEY}) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'"
+        )
+    return scan_colocated(spark, prefix, list(COLOCATED))
+
+
+def scan_colocated(spark: SparkSession, prefix: str, names: list[str]) -> Tables:
+    # A join on user and day may rely on a partitioning by user alone.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return Tables(**{name: spark.table(_colocated_name(prefix, name)) for name in names})
+
+
+def bucket_count(spark: SparkSession, prefix: str) -> int:
+    """Number of buckets of tables written by ``write_colocated``, as the catalog has it."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {_colocated_name(prefix, 'users')}")
+    return int(described.where("col_name = 'Num Buckets'").first()["data_type"])
