@@ -131,9 +131,19 @@ def merged(
     return new, highest
 
 
-def publish(table: Bucketed, rows: DataFrame, highest: int) -> Bucketed:
-    """Put the touched buckets in place; the same rows may be published again."""
+def publish(table: Bucketed, rows: DataFrame, highest: int, emptied: Sequence[int] = ()) -> Bucketed:
+    """Put the touched buckets in place; the same rows may be published again.
+
+    A directory is replaced where ``rows`` has rows for it. Buckets that may have lost all their rows are listed in
+    ``emptied``; those of them without rows are removed.
+    """
     _replace(table, rows)
+    if emptied:
+        left = {r[BUCKET] for r in rows.select(BUCKET).distinct().collect()}
+        context = table.spark.sparkContext
+        for bucket in set(emptied) - left:
+            place = context._jvm.org.apache.hadoop.fs.Path(f"{table.folder}/rows/{BUCKET}={bucket}")
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
     table = replace(table, highest=highest)
     _write_layout(table)
     return table

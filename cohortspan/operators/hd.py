@@ -118,7 +118,7 @@ def _covariance_columns(names: Sequence[str]) -> list[Column]:
     return [F.covar_samp(value[i], value[j]).alias(f"p_{i}_{j}") for i, j in _pairs(len(value))]
 
 
-def _standardise(row: Row, names: tuple[str, ...], min_rows: int) -> HDModel:
+def _standardise(row: Row | dict, names: tuple[str, ...], min_rows: int) -> HDModel:
     """Means and deviations as a model that has no precision matrix yet."""
     if row["n"] < max(min_rows, 2):
         raise HDUnavailable(f"reference population too small: {row['n']} < {min_rows}")
@@ -143,6 +143,17 @@ def correlation(reference: DataFrame, names: Sequence[str] = NAMES) -> DataFrame
     return flat.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def from_moments(row: Row | dict, names: tuple[str, ...], min_rows: int) -> HDModel:
+    """The model without a regression from count, means, deviations and covariances, named as ``fit`` names them."""
+    model = _standardise(row, names, min_rows)
+    matrix = np.eye(len(names))
+    for i, j in _pairs(len(names)):
+        matrix[i, j] = matrix[j, i] = row[f"p_{i}_{j}"] / (model.stds[i] * model.stds[j])
+    if np.linalg.matrix_rank(matrix) < len(names):
+        raise HDUnavailable("the correlation matrix of the reference population is singular")
+    return replace(model, precision=tuple(tuple(float(v) for v in line) for line in np.linalg.inv(matrix)))
+
+
 def fit(
     reference: DataFrame,
     names: Sequence[str] = NAMES,
@@ -156,13 +167,7 @@ def fit(
     """
     complete = reference.dropna(subset=list(names))
     row = complete.agg(*_moment_columns(names), *_covariance_columns(names)).first()
-    model = _standardise(row, tuple(names), min_rows)
-    matrix = np.eye(len(names))
-    for i, j in _pairs(len(names)):
-        matrix[i, j] = matrix[j, i] = row[f"p_{i}_{j}"] / (model.stds[i] * model.stds[j])
-    if np.linalg.matrix_rank(matrix) < len(names):
-        raise HDUnavailable("the correlation matrix of the reference population is singular")
-    model = replace(model, precision=tuple(tuple(float(v) for v in line) for line in np.linalg.inv(matrix)))
+    model = from_moments(row, tuple(names), min_rows)
     if age_column is None or age_column not in reference.columns:
         return model
     line = age_regression(complete, model, age_column).first()

@@ -71,19 +71,41 @@ def unique_keys_of(t: Tables) -> DataFrame:
 def foreign_keys(t: Tables) -> DataFrame:
     """Rows per reference whose parent is missing.
 
-    Rows are counted per key first, so what is joined with the parent has every key once.
+    Parents and children meet in one aggregation: every table is read once and says, for each of its columns that takes
+    part, in which domain (the parent's column) the value lies and whether it is defined or used there, and by which
+    reference. Uses are counted per key before the one shuffle, so a frequent key travels as one row per task. A key
+    that is used and nowhere defined is an orphan.
     """
     tables = dict(t.items())
-    parts = []
-    for name, child, column, parent in REFERENCES:
-        used = tables[child].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        orphans = used.join(tables[parent].select(column), column, "left_anti")
-        parts.append(
-            orphans.agg(
-                F.count(F.lit(1)).alias("OrphanKeys"), F.coalesce(F.sum("n"), F.lit(0)).alias("OrphanRows")
-            ).select(F.lit(name).alias("ForeignKey"), "OrphanKeys", "OrphanRows")
+    uses: dict[str, list[Column]] = {name: [] for name in tables}
+
+    def tagged(parent: str, column: str, reference: int) -> Column:
+        return F.struct(
+            F.lit(parent).alias("Domain"), F.col(column).cast("bigint").alias("Key"), F.lit(reference).alias("Reference")
         )
-    return _union(parts)
+
+    for parent, column in sorted({(parent, column) for _, _, column, parent in REFERENCES}):
+        uses[parent].append(tagged(parent, column, -1))
+    for i, (_, child, column, parent) in enumerate(REFERENCES):
+        uses[child].append(tagged(parent, column, i))
+    rows = [
+        tables[name].select(F.explode(F.array(*tags)).alias("t")).select("t.*").where("Key IS NOT NULL")
+        for name, tags in uses.items()
+        if tags
+    ]
+    references = range(len(REFERENCES))
+    keys = reduce(DataFrame.unionByName, rows).groupBy("Domain", "Key").agg(
+        F.max(F.col("Reference") == -1).alias("Defined"), *[F.count_if(F.col("Reference") == i).alias(f"n{i}") for i in references]
+    )
+    counts = keys.where("NOT Defined").agg(
+        *[F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}") for i in references],
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"r{i}") for i in references],
+    )
+    cells = [
+        F.struct(F.lit(name).alias("ForeignKey"), F.col(f"k{i}").alias("OrphanKeys"), F.col(f"r{i}").alias("OrphanRows"))
+        for i, (name, *_) in enumerate(REFERENCES)
+    ]
+    return counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def _problems(name: str, schema: T.StructType) -> list[tuple[str, str, Column]]:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import duration_days
 from cohortspan.operators import queries as q
-from cohortspan.operators import quality, views
+from cohortspan.operators import latest, quality, views
 from cohortspan.plans.define import AS_OF, query
+from cohortspan.session import cut_lineage, scratch
 from cohortspan.sources.star import derive, survey_tables
 
 
@@ -16,6 +17,21 @@ def _(spark, sf):
     return views.latest_measurements(survey_tables(spark, sf))
 
 
+# What the stored latest table is made from; the visits after it arrive in two loads.
+_LOADED_UNTIL = ["1996-01-01", "1999-01-01", "9999-12-31"]
+
+
+@query("v_user_latest_merged", ["latest"], "SELECT * FROM latest")
+def _(spark, sf):
+    t = survey_tables(spark, sf)
+    values = cut_lineage(t.measured().select(*latest.COLUMNS), "measured")
+    day = F.to_date("TakenAt")
+    table = latest.create(spark, scratch(spark, "latest"), values.where(day < _LOADED_UNTIL[0]), 8)
+    for since, until in zip(_LOADED_UNTIL, _LOADED_UNTIL[1:]):
+        table = latest.merge(table, values.where((day >= since) & (day < until)))
+    return latest.view(table, t)
+
+
 @query(
     "v_biomarker_ranges",
     ["biomarkers", "ranges", "counted"],

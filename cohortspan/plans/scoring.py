@@ -7,10 +7,11 @@ remainders over their variances. That needs no matrix inverse and gives the same
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.numbers import model_units
-from cohortspan.operators import hd, pheno, scores
+from cohortspan.operators import comoments, hd, pheno, scores
 from cohortspan.operators.views import latest_measurements
 from cohortspan.plans.define import AS_OF, MATERIALIZED, PARTS, query, r, rounded
 from cohortspan.session import cut_lineage, scratch
@@ -165,6 +166,12 @@ def _(spark, sf):
     return rounded(hd.reference_wide(survey_tables(spark, sf), AS_OF), 6, "BMI", *hd.NAMES)
 
 
+def _stored_parts(spark, sf) -> DataFrame:
+    """Co-moments of the reference group, a stored part per birth year."""
+    t = survey_tables(spark, sf)
+    return cut_lineage(comoments.summed(hd.reference_wide(t, AS_OF), by=["Age"]), "comoments")
+
+
 @query(
     "hd_moments",
     ["hd_stats"],
@@ -174,7 +181,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(hd.moments(hd.reference_wide(survey_tables(spark, sf), AS_OF)), 6, "Mean", "Std")
+    return rounded(comoments.deviations(comoments.merged(_stored_parts(spark, sf))), 6, "Mean", "Std")
 
 
 @query(
@@ -187,7 +194,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(hd.correlation(cut_lineage(hd.reference_wide(survey_tables(spark, sf), AS_OF))), 6, "Correlation")
+    return rounded(comoments.correlation(comoments.merged(_stored_parts(spark, sf))), 6, "Correlation")
 
 
 def _entry(i: int, j: int) -> str:
