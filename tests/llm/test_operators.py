@@ -399,6 +399,13 @@ def test_common_lengths_of_all_pairs():
                 assert found[i, j] == same
 
 
+@pytest.mark.parametrize("window", [200, 280, 350])
+def test_suffix_removal_by_other_windows(spark, window):
+    rows = data.passages(12, 56)
+    found = suffix_dedup.removal_report(data.documents(spark, rows), window).collect()
+    assert as_set(found) == as_set(brute.kept_bytes(rows, window))
+
+
 @pytest.mark.parametrize("group", [1, 3])
 def test_suffix_removal_with_cores_of_many_entries(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)

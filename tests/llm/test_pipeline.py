@@ -47,7 +47,7 @@ def test_every_stage_does_its_work(spark, tmp_path):
     assert after.count() < before.count()
 
     before, after = seen["suffix_array_dedup"]
-    gone = {w[0]: w[2] for w in brute.kept_bytes(rows_of(before))}
+    gone = {w[0]: w[2] for w in brute.kept_bytes(rows_of(before), corpus_pipeline.PASSAGE_BYTES)}
     raw = dict(rows_of(before))
     for row in after.collect():
         left = len(raw[row.doc_id].encode()) - gone[row.doc_id]
