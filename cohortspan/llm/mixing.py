@@ -89,6 +89,8 @@ def mixed(
             offset("s.source", seed).alias("offset"),
         )
     )
+    # Stored, so that Spark knows its size before it plans the join: the documents then move only where it is large.
+    per_source = steps.table(per_source, "per-source")
     at = F.col("place") - F.col("first")
     crossed = F.floor(F.col("expected") * (at + 1) + F.col("offset")) - F.floor(F.col("expected") * at + F.col("offset"))
     return rows.join(per_source, F.col("source").eqNullSafe(F.col("name"))).withColumn(
