@@ -209,13 +209,16 @@ class Pieces(dict):
         if any(s in text for s in self.special):
             return self.encode([text])[0]  # special tokens may begin inside a piece
         pieces = _PIECES.findall(text)
-        missing = list({p for p in pieces if p not in self})
-        if missing:
+        found = list(map(self.get, pieces))
+        if None in found:
+            new = [k for k, ids in enumerate(found) if ids is None]
+            missing = list({pieces[k] for k in new})
             if len(self) + len(missing) > REMEMBERED:
                 self.clear()
-                missing = list(set(pieces))
             self.learn(missing)
-        return b"".join([self[p] for p in pieces])
+            for k in new:
+                found[k] = self[pieces[k]]
+        return b"".join(found)
 
 
 def loaded(source: bytes) -> Pieces:
