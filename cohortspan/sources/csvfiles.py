@@ -53,30 +53,46 @@ RANGES_HEADER = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the text of those that do not. Empty fields are NULL.
+# A date format that no text has: with it, every line is a record that the reader hands on unread, as it stands.
+_NEVER = "'no such date' yyyy"
+
 
-    Fields are read as text and converted here: the reader itself looks only at the columns a query
-    asks for, so whether it finds a row corrupt would depend on the query.
+def read_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The lines of CSV files as they stand in them (``Line``), without each file's first one if that has the names.
+
+    Empty lines are passed over, as CSV readers do.
     """
-    as_text = T.StructType([*[T.StructField(n, T.StringType()) for n in schema.fieldNames()], _CORRUPT_FIELD])
+    unread = T.StructType([T.StructField("unread", T.DateType()), _CORRUPT_FIELD])
     lines = (
-        spark.read.schema(as_text)
+        spark.read.schema(unread)
         .option("header", header)
         .option("quote", '"')
         .option("mode", "PERMISSIVE")
+        .option("dateFormat", _NEVER)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
         .csv(path)
     )
-    fits = F.col(CORRUPT).isNull()
+    # A line of one empty field is no record that fails; it has no other text.
+    return lines.select(F.coalesce(CORRUPT, F.col("unread").cast("string"), F.lit('""')).alias("Line"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and the lines of those that do not, byte for byte. Empty fields are NULL.
+
+    Lines are kept while their fields are taken out, first as text and then in their types: so what a line holds does
+    not depend on the columns a query asks for, and a rejected one comes back with its quotes.
+    """
+    names = schema.fieldNames()
+    as_text = ", ".join([*[f"`{name}` STRING" for name in names], f"`{CORRUPT}` STRING"])
+    options = {"quote": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = read_lines(spark, path, header).withColumn("f", F.from_csv("Line", as_text, options))
+    fits = F.col(f"f.{CORRUPT}").isNull()
     for field in schema.fields:
-        text = F.col(field.name)
+        text = F.col(f"f.`{field.name}`")
         fits &= text.isNull() | (F.trim(text) == "") | text.try_cast(field.dataType).isNotNull()
-    good = lines.where(fits).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    fields = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in schema.fieldNames()])
-    bad = lines.where(~fits).select(F.coalesce(F.col(CORRUPT), fields).alias("Line"))
-    return good, bad
+    good = lines.where(fits).select(*[F.col(f"f.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return good, lines.where(~fits).select("Line")
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:

@@ -390,3 +390,19 @@ def test_transport_files_with_different_columns(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(xpt, "read_layout", lambda path: xpt.Layout((xpt.Variable("A", next(layouts), 8, 0),), 0, 8, 0))
     with pytest.raises(ValueError, match="number in one file"):
         xpt.XptDataSource({"path": str(tmp_path / "x")}).schema()
+
+
+def test_rejected_lines_come_back_byte_for_byte(spark, tmp_path):
+    good = ["1,2024-01-05,1", '"2","2024-01-06","0"', "3,,", " 4 ,2024-01-07,1", '"5",2024-01-08,""']
+    bad = [
+        '"5","not,a,date","1"', '"6","20""24","1"', "7,2024-02-30,1", "8,2024-01-01", "9,2024-01-01,1,extra", "ten,2024-01-01,1",
+        '"11"," 2024,01 ",yes', 'é,"ü, ß",1',
+    ]
+    for k, lines in enumerate((good[:2] + bad[:4], bad[4:] + good[2:])):
+        (tmp_path / f"{k}.csv").write_text("\n".join(['"SEQN","SessionDate","FastingStatus"', *lines]) + "\n", encoding="utf-8")
+    rows, rejected = csvfiles.read_csv(spark, str(tmp_path), csvfiles.SESSIONS_CSV)
+    assert sorted(r["Line"] for r in rejected.collect()) == sorted(bad)
+    assert rejected.count() == len(bad) and rows.select("SEQN").count() == len(good) and rows.count() == len(good)
+    found = {r["SEQN"]: (r["SessionDate"], r["FastingStatus"]) for r in rows.collect()}
+    assert found[2] == (day("2024-01-06"), 0) and found[3] == (None, None) and found[5] == (day("2024-01-08"), None)
+    assert sorted(r["Line"] for r in csvfiles.read_lines(spark, str(tmp_path)).collect()) == sorted(good + bad)
