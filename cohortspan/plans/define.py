@@ -32,11 +32,12 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     FROM measurements taken, sessions visit WHERE visit.SessionID = taken.SessionID) ranked
   NATURAL JOIN (SELECT BiomarkerID, Name, Units FROM biomarkers) named WHERE age_rank = 1""",
     ),
+    # Ages 20 to 30, body mass index from 18.5 to below 30.
     "candidates": (
         ("users", "anthropometry"),
         """WITH young AS (SELECT UserID, SEQN, Sex, CAST(2001 - year(BirthDate) AS INT) AS Age FROM users
-    WHERE BirthDate >= DATE '1971-01-01' AND BirthDate < DATE '1982-01-01'),
-  healthy AS (SELECT UserID, BMI, HeightCM, WeightKG, ExamDate FROM anthropometry WHERE BMI * 100 BETWEEN 1850 AND 2999)
+    WHERE 2001 - year(BirthDate) BETWEEN 20 AND 30),
+  healthy AS (SELECT UserID, BMI, HeightCM, WeightKG, ExamDate FROM anthropometry WHERE BMI >= 18.5 AND BMI < 30)
   SELECT UserID, SEQN, Sex, BMI, HeightCM, WeightKG, ExamDate, Age FROM young JOIN healthy USING (UserID)""",
     ),
     "counted": (
