@@ -104,7 +104,7 @@ def new_results(scores: DataFrame, computed_at: str, existing: DataFrame) -> Dat
     """Rows to append to the stored results: scored, and not stored under the same key yet.
 
     A score that does not fit the column cannot be stored; ``calculate`` gives it the status
-    ``value_out_of_range``.
+    ``value_out_of_range``. Of several scores with one key the highest is taken.
     """
     rows = scores.select(
         "UserID",
@@ -112,8 +112,10 @@ def new_results(scores: DataFrame, computed_at: str, existing: DataFrame) -> Dat
         F.col("BioAgeYears").try_cast("decimal(5,2)").alias("BioAgeYears"),
         F.lit(computed_at).cast("timestamp").alias("ComputedAt"),
     )
-    rows = rows.where("BioAgeYears IS NOT NULL")
     keys = ["UserID", "ModelID", "ComputedAt"]
+    # Reduced in every task before the shuffle; the join then meets each key once.
+    rows = rows.where("BioAgeYears IS NOT NULL").groupBy(*keys).agg(F.max("BioAgeYears").alias("BioAgeYears"))
+    rows = rows.select("UserID", "ModelID", "BioAgeYears", "ComputedAt")
     return rows.join(existing.select(*keys), keys, "left_anti")
 
 

@@ -336,6 +336,45 @@ def _(spark, sf):
     return etl.load_anthropometry(cleaned(spark, sf)["anthropometry"], t.users, t.anthropometry)
 
 
+# Loads with something to reject: later-born users are not stored yet, visits without fasting neither, and some
+# numbers come in a unit that makes them too large for their columns.
+PARTS["early_users"] = (("users",), "SELECT * FROM users WHERE BirthDate < DATE '1975-01-01'")
+
+
+@query(
+    "load_measurements_rejected",
+    ["early_users", "load_keyed", "etl_measurements"],
+    """, scaled AS (SELECT SEQN, SessionDate, BiomarkerID, CASE WHEN BiomarkerID = 9 THEN Value * 10000000 ELSE Value END AS Value,
+    TakenAt FROM etl_measurements)
+SELECT * FROM (SELECT m.*, CASE WHEN u.UserID IS NULL THEN 'unknown_participant' WHEN v.UserID IS NULL THEN 'no_such_visit'
+    WHEN m.Value >= 100000000 THEN 'value_does_not_fit' END AS Reason FROM scaled m LEFT JOIN early_users u ON u.SEQN = m.SEQN
+  LEFT JOIN (SELECT UserID, SessionDate FROM load_keyed WHERE FastingStatus) v
+    ON v.UserID = u.UserID AND v.SessionDate = m.SessionDate) x WHERE Reason IS NOT NULL""",
+)
+def _(spark, sf):
+    t = survey_tables(spark, sf)
+    files = cleaned(spark, sf)
+    known = t.users.where("BirthDate < DATE '1975-01-01'")
+    visits = etl.load_sessions(files["sessions"], t.users, t.sessions).where("FastingStatus")
+    scaled = F.when(F.col("BiomarkerID") == 9, F.col("Value") * 10_000_000).otherwise(F.col("Value"))
+    return etl.rejected_measurements(files["measurements"].withColumn("Value", scaled), known, visits)
+
+
+@query(
+    "load_anthropometry_rejected",
+    ["early_users", "etl_anthropometry"],
+    """, scaled AS (SELECT SEQN, ExamDate, CASE WHEN WeightKG >= 60 THEN HeightCM * 10 ELSE HeightCM END AS HeightCM, WeightKG, BMI
+    FROM etl_anthropometry)
+SELECT * FROM (SELECT a.*, CASE WHEN u.UserID IS NULL THEN 'unknown_participant' WHEN a.HeightCM >= 1000
+    THEN 'measure_does_not_fit' END AS Reason FROM scaled a LEFT JOIN early_users u ON u.SEQN = a.SEQN) x
+  WHERE Reason IS NOT NULL""",
+)
+def _(spark, sf):
+    known = survey_tables(spark, sf).users.where("BirthDate < DATE '1975-01-01'")
+    scaled = F.when(F.col("WeightKG") >= 60, F.col("HeightCM") * 10).otherwise(F.col("HeightCM"))
+    return etl.rejected_anthropometry(cleaned(spark, sf)["anthropometry"].withColumn("HeightCM", scaled), known)
+
+
 @query(
     "surrogate_keys",
     ["sessions"],
@@ -563,3 +602,37 @@ def _(spark, sf):
     t = survey_tables(spark, sf)
     created = t.sessions.groupBy("UserID").agg(F.max("SessionDate").alias("CreatedAt"))
     return _keys_of(upsert.sample_subset(t, created), ["users", "sessions", "measurements"])
+
+
+@query(
+    "delete_biomarkers",
+    ["biomarkers", "counted"],
+    "SELECT b.*, coalesce(c.MeasurementCount, 0) AS MeasurementCount FROM biomarkers b LEFT JOIN counted c USING (BiomarkerID)",
+)
+def _(spark, sf):
+    """A biomarker that nothing refers to goes; those with measurements, ranges or coefficients may not."""
+    t = survey_tables(spark, sf)
+    unused = spark.createDataFrame([(77, "Unused", "LBX77", "mg/dL", "")], t.biomarkers.schema)
+    wider = t.replace(biomarkers=t.biomarkers.unionByName(unused))
+    left = upsert.delete_biomarkers(wider, unused.select("BiomarkerID"))
+    return quality.with_measurements(left.biomarkers, t)
+
+
+@query(
+    "delete_models",
+    ["models", "coefficients", "results"],
+    """SELECT m.ModelID, m.ModelName, (SELECT COUNT(*) FROM coefficients c WHERE c.ModelID = m.ModelID) AS CoefficientCount,
+  (SELECT COUNT(*) FROM results x WHERE x.ModelID = m.ModelID) AS ResultCount FROM models m""",
+)
+def _(spark, sf):
+    """A model without results goes, and its coefficients with it."""
+    t = survey_tables(spark, sf)
+    unused = t.models.limit(1).withColumn("ModelID", F.lit(77))
+    theirs = t.coefficients.withColumn("ModelID", F.lit(77)).dropDuplicates(["BiomarkerID"])
+    wider = t.replace(models=t.models.unionByName(unused), coefficients=t.coefficients.unionByName(theirs))
+    left = upsert.delete_models(wider, unused.select("ModelID"))
+    parts = {"CoefficientCount": left.coefficients, "ResultCount": left.results}
+    found = left.models.select("ModelID", "ModelName")
+    for name, df in parts.items():
+        found = found.join(df.groupBy("ModelID").agg(F.count(F.lit(1)).alias(name)), "ModelID", "left")
+    return found.fillna(0, subset=list(parts))

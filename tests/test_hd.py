@@ -147,3 +147,15 @@ def test_results_are_appended_once(spark, population, tmp_path):
     scores.append_results(scored, "2024-06-02 12:00:00", folder)
     assert spark.read.parquet(folder).count() == 58
     assert moment("2024-06-01 12:00:00") in {r[0] for r in spark.read.parquet(folder).select("ComputedAt").collect()}
+
+
+def test_scores_with_one_key_are_appended_once(spark, tmp_path):
+    from cohortspan.operators import scores
+
+    rows = spark.createDataFrame([(1, 1, 40.0), (1, 1, 41.0), (1, 2, 39.0), (2, 1, None)], "UserID INT, ModelID INT, BioAgeYears DOUBLE")
+    folder = str(tmp_path / "results")
+    spark.createDataFrame([], "UserID INT, ModelID INT, BioAgeYears DECIMAL(5,2), ComputedAt TIMESTAMP").write.parquet(folder)
+    for _ in range(2):
+        scores.append_results(rows, "2024-01-01 00:00:00", folder)
+    found = spark.read.parquet(folder).collect()
+    assert sorted((r["UserID"], r["ModelID"], float(r["BioAgeYears"])) for r in found) == [(1, 1, 41.0), (1, 2, 39.0)]
