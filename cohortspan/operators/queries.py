@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.catalog import MODELS
 from cohortspan.functions.dates import as_date, full_years, literal_days
+from cohortspan.operators import intervals
 from cohortspan.operators.views import first_per_group, latest_measurements, users_with_age
 from cohortspan.tables import Tables
 
@@ -129,33 +130,31 @@ def range_comparison(
 ) -> DataFrame:
     """Query 5: latest values against the clinical and longevity ranges for the user's sex.
 
-    ``match_age`` also asks the user's age to lie within the range's ages. ``only`` keeps one range
-    type, and rows that have such a range. The few ranges are broadcast, so the rest is
-    one join with users and one aggregation on the same key.
+    ``match_age`` also asks the user's age to lie within the range's ages; ranges are then looked up as elementary
+    intervals. ``only`` keeps one range type, and rows that have such a range. Without ages a biomarker has a few
+    ranges, which are broadcast, so the rest is one join with users and one aggregation on the same key.
     """
     people = t.users.select("UserID", F.col("Sex").alias("UserSex"), "BirthDate")
     if match_age:
         people = people.withColumn("Age", full_years(F.col("BirthDate"), as_of))
     people = people.drop("BirthDate")
-    ranges = t.ranges.withColumnRenamed("BiomarkerID", "RangeBiomarkerID")
-    fits = (F.col("BiomarkerID") == F.col("RangeBiomarkerID")) & (
-        (F.col("Sex") == "All") | (F.col("Sex") == F.col("UserSex"))
-    )
+    latest = latest_measurements(t).join(people, "UserID")
+    kinds = ("clinical", "longevity")
     if match_age:
-        fits &= F.col("Age").between(F.col("AgeMin"), F.col("AgeMax"))
-    inside = (F.col("MinVal") <= F.col("Value")) & (F.col("Value") <= F.col("MaxVal"))
-    compared = (
-        latest_measurements(t)
-        .join(people, "UserID")
-        .join(ranges, fits)
-        .groupBy("UserID", "BiomarkerID", "BiomarkerName", "Value")
-        .agg(
-            F.sum(F.when(inside, 1).otherwise(0)).alias("hits"),
-            *[
-                F.max(F.when(F.col("RangeType") == kind, F.struct("MinVal", "MaxVal"))).alias(kind)
-                for kind in ("clinical", "longevity")
-            ],
+        placed = intervals.looked_up(latest, t.ranges)
+    else:
+        ranges = t.ranges.withColumnRenamed("BiomarkerID", "RangeBiomarkerID")
+        fits = (F.col("BiomarkerID") == F.col("RangeBiomarkerID")) & (
+            (F.col("Sex") == "All") | (F.col("Sex") == F.col("UserSex"))
+        )
+        inside = (F.col("MinVal") <= F.col("Value")) & (F.col("Value") <= F.col("MaxVal"))
+        placed = latest.join(ranges, fits).select(
+            "*",
+            F.when(inside, 1).otherwise(0).alias("hits"),
+            *[F.when(F.col("RangeType") == kind, F.struct("MinVal", "MaxVal")).alias(kind) for kind in kinds],
         )
+    compared = placed.groupBy("UserID", "BiomarkerID", "BiomarkerName", "Value").agg(
+        F.sum("hits").alias("hits"), *[F.max(kind).alias(kind) for kind in kinds]
     )
     base = [
         F.col("UserID").alias("userId"),
