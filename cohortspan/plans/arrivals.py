@@ -109,6 +109,7 @@ def _(spark, sf):
         t.biomarkers,
         checkpoint=scratch(spark, "ingest-checkpoint"),
         ingested_at=INGESTED_AT,
+        partitions=8,
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{target}/measurements").drop("batch")

@@ -225,6 +225,7 @@ def ingest_stream(
     ingested_at: str = "2001-12-31 00:00:00",
     max_files: int | None = None,
     registrations: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Read nested JSON records, one per submission, until none is left.
 
@@ -232,7 +233,7 @@ def ingest_stream(
     batch that differ conflict; later ones are passed over. ``target`` receives ``sessions``, ``measurements`` and
     ``rejected``, each in one folder per batch. ``users`` and ``sessions`` are what is known when the stream first
     starts with ``checkpoint``; afterwards the state knows. ``registrations`` is a stream with the UserID of new users.
-    ``max_files`` is the number of files per batch. Catalogs are definitions and small: ``biomarkers`` is a list of ids.
+    ``max_files`` is the number of files per batch, ``partitions`` that of the state, which stays what it is at the first start. Catalogs are definitions and small: ``biomarkers`` is a list of ids.
     """
     ids = [r["BiomarkerID"] for r in biomarkers.select("BiomarkerID").distinct().collect()]
     stored_highest = sessions.agg(F.max("SessionID")).first()[0] or 0
@@ -275,8 +276,10 @@ def ingest_stream(
     reader = spark.readStream.schema(SUBMISSION_JSON)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)  # a query keeps the setting that it was started with
+    settings = {_STATE_STORE: _ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)  # a query keeps the settings that it was started with
     try:
         return (
             decisions(reader.json(source), users, sessions, ids, registrations)
@@ -286,7 +289,8 @@ def ingest_stream(
             .start()
         )
     finally:
-        if before is None:
-            spark.conf.unset(_STATE_STORE)
-        else:
-            spark.conf.set(_STATE_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
