@@ -273,18 +273,23 @@ def test_transport_files(spark, tmp_path):
     assert ((other == mine) | (other.isna() & mine.isna())).all().all()
 
 
-def test_transport_file_with_texts_short_numbers_and_padding(spark, tmp_path):
+def transport_file(variables, body):
+    """Bytes of a file with (kind, length, name) of each variable."""
     import struct
 
-    def name(kind, length, label, place):
-        entry = struct.pack(">hhhh", kind, 0, length, 1) + label.ljust(8) + b" " * 68 + struct.pack(">i", place)
-        return entry.ljust(140, b" ")
+    described, place = b"", 0
+    for kind, length, name in variables:
+        entry = struct.pack(">hhhh", kind, 0, length, 1) + name.ljust(8) + b" " * 68 + struct.pack(">i", place)
+        described, place = described + entry.ljust(140, b" "), place + length
+    head = b" " * 80 * 7 + (xpt.NAMESTR_MARK + b"!!!!!!!" + f"{len(variables):010d}".encode()).ljust(80)
+    described, body = (x.ljust(-(-len(x) // 80) * 80) for x in (described, body))
+    return head + described + xpt.OBS_MARK.ljust(80) + body
+
 
-    descriptions = name(1, 4, b"SEQN", 0) + name(2, 3, b"CODE", 4)
-    head = b" " * 80 * 7 + (xpt.NAMESTR_MARK + b"!!!!!!!" + b"0000000002").ljust(80)
+def test_transport_file_with_texts_short_numbers_and_padding(spark, tmp_path):
     body = bytes([0x41, 0x10, 0, 0]) + b"ab " + bytes([0x2E, 0, 0, 0]) + b"   "
     file = tmp_path / "mixed.xpt"
-    file.write_bytes(head + descriptions.ljust(320) + xpt.OBS_MARK.ljust(80) + body.ljust(80))
+    file.write_bytes(transport_file([(1, 4, b"SEQN"), (2, 3, b"CODE")], body))
     rows = xpt.read_xpt(spark, str(file)).collect()
     assert [tuple(r) for r in rows] == [(1.0, "ab"), (None, "")]
 
@@ -296,9 +301,10 @@ def test_workers_need_no_installed_package():
 
 
 def test_transport_file_of_another_kind(tmp_path):
-    (tmp_path / "x.xpt").write_bytes(b"no such thing" * 100)
+    import io
+
     with pytest.raises(ValueError, match="not a version 5"):
-        xpt.read_layout(str(tmp_path / "x.xpt"))
+        xpt.read_layout("x.xpt", io.BytesIO(b"no such thing" * 100), 1300)
 
 
 def test_rows_with_a_null_key_stay_apart(spark):
@@ -379,17 +385,51 @@ def test_two_age_bands_of_one_range(spark):
     assert sorted((r["AgeMin"], r["MeasurementCount"], r["InsideCount"]) for r in usage) == [(18, 1, 1), (41, 1, 0)]
 
 
-def test_transport_files_with_different_columns(spark, tmp_path, monkeypatch):
-    samples.write_xpt(spark.createDataFrame([(1.0, 2.0)], "SEQN DOUBLE, A DOUBLE"), str(tmp_path / "x" / "a"))
-    samples.write_xpt(spark.createDataFrame([(2.0, 3.0, 4.0)], "SEQN DOUBLE, A DOUBLE, B DOUBLE"), str(tmp_path / "x" / "b"))
-    rows = xpt.read_xpt(spark, str(tmp_path / "x")).orderBy("SEQN").collect()
+def test_transport_files_with_different_columns(spark, tmp_path):
+    folder = tmp_path / "x"
+    samples.write_xpt(spark.createDataFrame([(1.0, 2.0)], "SEQN DOUBLE, A DOUBLE"), str(folder / "a"))
+    samples.write_xpt(spark.createDataFrame([(2.0, 3.0, 4.0)], "SEQN DOUBLE, A DOUBLE, B DOUBLE"), str(folder / "b"))
+    rows = xpt.read_xpt(spark, str(folder)).orderBy("SEQN").collect()
     assert [tuple(r) for r in rows] == [(1.0, 2.0, None), (2.0, 3.0, 4.0)]
-    assert xpt.read_xpt(spark, str(tmp_path / "x"), ["B"]).where("B = 4").count() == 1
-
-    layouts = iter([True, False])
-    monkeypatch.setattr(xpt, "read_layout", lambda path: xpt.Layout((xpt.Variable("A", next(layouts), 8, 0),), 0, 8, 0))
-    with pytest.raises(ValueError, match="number in one file"):
-        xpt.XptDataSource({"path": str(tmp_path / "x")}).schema()
+    assert xpt.read_xpt(spark, str(folder), ["B"]).where("B = 4").count() == 1
+    # The same from files that a task cannot open itself.
+    whole = xpt.read_xpt(spark, str(folder), in_parts=False).orderBy("SEQN")
+    assert whole.collect() == rows and whole.columns == ["SEQN", "A", "B"]
+
+    (folder / "c").mkdir()
+    (folder / "c" / "text.XPT").write_bytes(transport_file([(2, 8, b"A")], b"x".ljust(8)))
+    with pytest.raises(ValueError, match="text.XPT: A is a number in one file"):
+        xpt.read_xpt(spark, str(folder))
+
+
+def test_transport_files_without_rows_and_without_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no .xpt file"):
+        xpt.read_xpt(spark, str(tmp_path / "none"))
+    file = tmp_path / "some.file"  # one file may have any name
+    file.write_bytes(transport_file([(1, 8, b"SEQN")], b""))
+    empty = xpt.read_xpt(spark, str(file))
+    assert empty.columns == ["SEQN"] and empty.count() == 0
+
+
+def test_many_transport_files_are_planned_by_tasks(spark, tmp_path, monkeypatch):
+    one = transport_file([(1, 8, b"SEQN")], bytes([0x41, 0x10, 0, 0, 0, 0, 0, 0]) * 3)
+    for n in range(400):
+        (tmp_path / f"{n:03d}.xpt").write_bytes(one)
+    # Whatever the driver opens itself fails; tasks get their own copy of the code, as it is then.
+    layouts = xpt.read_layouts(spark, str(tmp_path))
+    monkeypatch.setattr(xpt, "resolve", None)
+    assert layouts.count() == 400 and layouts.agg(F.sum("rows")).first()[0] == 1200
+    assert xpt.columns_of(layouts) == {"SEQN": True}
+    monkeypatch.undo()
+    rows = xpt.read_xpt(spark, str(tmp_path), rows_per_partition=2)
+    assert rows.agg(F.count("SEQN"), F.sum("SEQN")).first() == (1200, 1200.0)
+
+
+def test_addresses_of_transport_files():
+    assert xpt.resolve("file:///a/b.xpt")[1] == xpt.resolve("file:/a/b.xpt")[1] == xpt.resolve("/a/b.xpt")[1] == "/a/b.xpt"
+    assert [xpt.scheme(p) for p in ("/a:b/c", "s3a://bucket/a", "file:/a", "a/b")] == ["", "s3a", "file", ""]
+    assert xpt.scheme("oss://bucket/a") not in xpt.IN_PARTS
 
 
 def test_rejected_lines_come_back_byte_for_byte(spark, tmp_path):
