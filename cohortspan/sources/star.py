@@ -34,8 +34,9 @@ STATEMENTS = {
   MIN(CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1 ELSE 0 END)=1 AS FastingStatus
   FROM {orders} GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
     # Every order belongs to the visit of its customer and day, whichever of them named the visit.
-    "order_visit": """SELECT CAST(o.o_orderkey+1 AS INT) AS OrderID, s.SessionID, s.SessionDate
-  FROM {orders} o JOIN {sessions} s ON s.UserID = o.o_custkey+1 AND s.SessionDate = CAST(o.o_orderdate AS DATE)""",
+    "order_visit": """SELECT CAST(o_orderkey+1 AS INT) AS OrderID, CAST(o_custkey+1 AS INT) AS UserID,
+  CAST(MIN(o_orderkey) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE))+1 AS INT) AS SessionID,
+  CAST(o_orderdate AS DATE) AS SessionDate FROM {orders}""",
     "order_values": """SELECT OrderID, BiomarkerID, CAST(MIN(CASE BiomarkerID WHEN 1 THEN 30000+25*h
     WHEN 2 THEN 300000+1500*h WHEN 3 THEN 4000+12*h WHEN 4 THEN 600000+700*h WHEN 5 THEN 1000+60*h
     WHEN 6 THEN 30000+100*h WHEN 7 THEN 150000+350*h WHEN 8 THEN 780000+250*h ELSE 110000+50*h END)
@@ -45,6 +46,10 @@ STATEMENTS = {
   GROUP BY OrderID, BiomarkerID""",
     "measurements": """SELECT s.SessionID, v.BiomarkerID, CAST(MIN(v.Value) AS DECIMAL(12,4)) AS Value,
   CAST(MIN(s.SessionDate) AS TIMESTAMP) AS TakenAt
+  FROM {order_values} v JOIN {order_visit} s ON s.OrderID = v.OrderID GROUP BY s.SessionID, v.BiomarkerID""",
+    # The same with the user and day of the visit, as stored tables keep them.
+    "measured": """SELECT s.SessionID, v.BiomarkerID, CAST(MIN(v.Value) AS DECIMAL(12,4)) AS Value,
+  CAST(MIN(s.SessionDate) AS TIMESTAMP) AS TakenAt, MIN(s.UserID) AS UserID, MIN(s.SessionDate) AS SessionDate
   FROM {order_values} v JOIN {order_visit} s ON s.OrderID = v.OrderID GROUP BY s.SessionID, v.BiomarkerID""",
     "anthropometry": """SELECT UserID, MAX(SessionDate) AS ExamDate, CAST(150+UserID%45 AS DECIMAL(5,2)) AS HeightCM,
   CAST(45+UserID%60 AS DECIMAL(5,2)) AS WeightKG, CASE WHEN UserID%50=0 THEN NULL
@@ -136,7 +141,7 @@ def survey_tables(spark: SparkSession, sf_dir: str, range_set: str = "seed") ->
                 made[name] = spark.sql(STATEMENTS[name], **{need: make(need) for need in _needs(name)})
         return made[name]
 
-    return Tables(**{name: partial(make, name) for name in NAMES})
+    return Tables(measured=partial(make, "measured"), **{name: partial(make, name) for name in NAMES})
 
 
 def sql_prefix(*names: str) -> str:
