@@ -10,10 +10,13 @@ in the order of their upper bounds and stops at the first bound below the kth be
 gives at most k rows per query, and the best k of those are the result. Every vector is searched; there is
 no sample and no cap.
 
+Vectors with a component of a million and more are wide: they are stored in 64 bits, in blocks and with cells of
+their own, so that a few of them do not spoil the cells of the others, and are searched in the same way.
+
 Edge cases: null vectors, vectors with a null or non-finite component and vectors without components take no
-part, nor do components of a million and more; vectors of different lengths are not compared. Ties go to the
-smaller vec_id (null last). A repeated row is a candidate of its own, also for a query with its id, and as a
-query it has its own ranks. Fewer than k candidates are all returned. Other columns are not looked at.
+part; vectors of different lengths are not compared. A component beyond 62 bits and a score beyond 64 bits are
+errors. Ties go to the smaller vec_id (null last). A repeated row is a candidate of its own, also for a query with
+its id, and as a query it has its own ranks. Fewer than k candidates are all returned. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,48 +38,61 @@ CELLS = 32
 CANDIDATES, QUERIES = 4096, 512
 # Exact vectors read at a time.
 READ = 64
-LARGEST = 1 << 26
+# Scaled components from here on make a vector wide; none may reach the second bound.
+LARGEST, WIDEST = 1 << 26, 1 << 62
+PACKED = {False: "<i4", True: "<i8"}
+# Sums of products are exact in doubles below this.
+EXACT = 1 << 53
 
 
 def integers(vectors: DataFrame, query: Column, scale: int = SCALE) -> DataFrame:
-    """``row, vec_id, dim, query, packed``: a number for the row and the integer components as packed int32."""
+    """``row, vec_id, dim, wide, query, packed``: a number for the row and the integer components, packed as ``PACKED`` says."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, dims = [], []
+            out, dims, wide = [], [], []
             for values in batch.column("embedding"):
                 array = None
                 if values.is_valid and len(values.values) and not values.values.null_count:
                     array = np.floor(scale * values.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                    if not (np.abs(array) < LARGEST).all():  # also false for NaN
+                    if not np.isfinite(values.values.to_numpy(zero_copy_only=False)).all():
                         array = None
-                out.append(None if array is None else array.astype("<i4").tobytes())
+                largest = 0 if array is None else np.abs(array).max()
+                if largest >= WIDEST:
+                    raise OverflowError(f"a component of {largest / scale:g} does not fit into 64 bits")
+                wide.append(bool(largest >= LARGEST))
+                out.append(None if array is None else array.astype(PACKED[wide[-1]]).tobytes())
                 dims.append(0 if array is None else len(array))
             yield pa.record_batch(
                 [
                     batch.column("vec_id").cast(pa.int64()),
                     batch.column("query"),
                     pa.array(dims, pa.int32()),
+                    pa.array(wide, pa.bool_()),
                     pa.array(out, pa.binary()),
                 ],
-                names=["vec_id", "query", "dim", "packed"],
+                names=["vec_id", "query", "dim", "wide", "packed"],
             )
 
     rows = vectors.select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query"))
-    found = rows.mapInArrow(tidy(packed), "vec_id bigint, query boolean, dim int, packed binary")
+    found = rows.mapInArrow(tidy(packed), "vec_id bigint, query boolean, dim int, wide boolean, packed binary")
     return found.where("packed IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
 
 
-def blocks(table: DataFrame, name: str, size: int, low: int, width: int) -> DataFrame:
-    """One row per block: dimension, number, row numbers, ids (with a mark for null), approximations, exact values."""
+def blocks(table: DataFrame, name: str, size: int, cells: dict[bool, tuple[int, int]]) -> DataFrame:
+    """One row per block: dimension, wide or not, number, row numbers, ids (with a mark for null), approximations, exact
+    values. ``cells`` has the lower end and the width of the cells for both kinds of vectors."""
 
     def gathered(group: pa.Table) -> pa.Table:
         ids = group["vec_id"]
         exact = b"".join(group["packed"].to_pylist())
-        codes = ((np.frombuffer(exact, "<i4").astype(np.int64) - low) // width).astype(np.uint8)
+        wide = group["wide"][0].as_py()
+        low, width = cells[wide]
+        codes = ((np.frombuffer(exact, PACKED[wide]).astype(np.int64) - low) // width).astype(np.uint8)
         return pa.table(
             {
                 "dim": group["dim"].slice(0, 1),
+                "wide": group["wide"].slice(0, 1),
                 name: group[name].slice(0, 1),
                 "rows": pa.array([group["row"].to_numpy().astype("<i8").tobytes()]),
                 "ids": pa.array([ids.fill_null(0).to_numpy().astype("<i8").tobytes()]),
@@ -87,20 +103,35 @@ def blocks(table: DataFrame, name: str, size: int, low: int, width: int) -> Data
         )
 
     count = F.ceil(F.count("*") / size).cast("int").alias("blocks")
-    counted = table.groupBy("dim").agg(count)
-    dealt = table.join(counted, "dim").withColumn(name, F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    return (
-        dealt.select("dim", name, "row", "vec_id", "packed")
-        .groupBy("dim", name)
-        .applyInArrow(gathered, f"dim int, {name} int, rows binary, ids binary, known binary, codes binary, exact binary")
-    )
+    counted = table.groupBy("dim", "wide").agg(count)
+    dealt = table.join(counted, ["dim", "wide"]).withColumn(name, F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    columns = f"dim int, wide boolean, {name} int, rows binary, ids binary, known binary, codes binary, exact binary"
+    dealt = dealt.select("dim", "wide", name, "row", "vec_id", "packed")
+    return dealt.groupBy("dim", "wide", name).applyInArrow(gathered, columns)
 
 
 def bounds(codes: np.ndarray, edges: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest inner product that the cells allow, for all pairs."""
     low, high = edges[codes], edges[codes + 1] - 1
     positive, negative = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    return positive @ low.T + negative @ high.T, positive @ high.T + negative @ low.T
+    lower, upper = positive @ low.T + negative @ high.T, positive @ high.T + negative @ low.T
+    dim = codes.shape[1]
+    if np.abs(queries).max(initial=0) * np.abs(edges).max() * dim >= EXACT:  # make room for rounding
+        slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T * ((dim + 8) * 2.0**-51)
+        return lower - slack, upper + slack
+    return lower, upper
+
+
+def fits(exact: np.ndarray, queries: np.ndarray, others: np.ndarray) -> None:
+    """Raise if the score of a pair that counts (``others``) may leave 64 bits. Below that, integer products that wrap
+    on the way end at the right sum."""
+    dim = exact.shape[1]
+    if int(np.abs(exact).max(initial=0)) * int(np.abs(queries).max(initial=0)) * dim < 1 << 63:
+        return
+    a, b = queries.astype(np.float64), exact.astype(np.float64).T
+    most = np.abs(a @ b) + np.abs(a) @ np.abs(b) * ((dim + 8) * 2.0**-51)
+    if (most[others] >= 2.0**63).any():
+        raise OverflowError("the score of two vectors does not fit into 64 bits")
 
 
 def best(query: np.ndarray, exact: np.ndarray, upper: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,39 +155,47 @@ def search(vectors: DataFrame, query: Column, k: int = K, scale: int = SCALE) ->
     table = steps.table(integers(vectors, query, scale), "vectors")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = None, None
+        found: dict[bool, tuple[int, int]] = {}
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("packed").to_pylist()), "<i4")
-            if len(values):
-                low = int(values.min()) if low is None else min(low, int(values.min()))
-                high = int(values.max()) if high is None else max(high, int(values.max()))
-        yield pa.record_batch([pa.array([low], pa.int64()), pa.array([high], pa.int64())], names=["low", "high"])
-
-    span = table.select("packed").mapInArrow(tidy(sketched), "low bigint, high bigint").agg(F.min("low"), F.max("high")).first()
-    low, high = span[0] or 0, span[1] or 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    edges = low + width * np.arange(CELLS + 1, dtype=np.float64)
-
-    candidates, _ = steps.store(blocks(table, "c", CANDIDATES, low, width), "candidates")
-    asked, _ = steps.store(blocks(table.where("query"), "q", QUERIES, low, width), "queries")
-    count = candidates.groupBy("dim").agg(F.max("c").alias("most"))
-    theirs = asked.join(count, "dim").withColumn("c", F.explode(F.sequence(F.lit(0), "most")))
+            for wide, packed in zip(batch.column("wide").to_pylist(), batch.column("packed").to_pylist()):
+                values = np.frombuffer(packed, PACKED[wide])
+                low, high = found.get(wide, (values[0], values[0]))
+                found[wide] = min(low, values.min()), max(high, values.max())
+        yield pa.record_batch(
+            [
+                pa.array(list(found), pa.bool_()),
+                pa.array([int(low) for low, _ in found.values()], pa.int64()),
+                pa.array([int(high) for _, high in found.values()], pa.int64()),
+            ],
+            names=["wide", "low", "high"],
+        )
+
+    spans = table.select("wide", "packed").mapInArrow(tidy(sketched), "wide boolean, low bigint, high bigint")
+    spans = spans.groupBy("wide").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    cells = {r.wide: (r.low, max(1, -(-(r.high - r.low + 1) // CELLS))) for r in spans.collect()}  # two rows at most
+    edges = {wide: low + width * np.arange(CELLS + 1, dtype=np.float64) for wide, (low, width) in cells.items()}
+
+    candidates, _ = steps.store(blocks(table, "c", CANDIDATES, cells), "candidates")
+    asked, _ = steps.store(blocks(table.where("query"), "q", QUERIES, cells), "queries")
+    count = candidates.groupBy("dim", "wide").agg(F.max("c").alias("most"))
+    theirs = asked.withColumnRenamed("wide", "q_wide").join(count, "dim").withColumn("c", F.explode(F.sequence(F.lit(0), "most")))
     pairs = theirs.select(
-        "dim", "c", *(F.col(x).alias(f"q_{x}") for x in ("rows", "ids", "known", "exact"))
-    ).join(candidates, ["dim", "c"])
+        "dim", "wide", "c", "q_wide", *(F.col(x).alias(f"q_{x}") for x in ("rows", "ids", "known", "exact"))
+    ).join(candidates, ["dim", "wide", "c"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 one = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
-                exact = np.frombuffer(one["exact"], "<i4").reshape(-1, one["dim"]).astype(np.int64)
-                queries = np.frombuffer(one["q_exact"], "<i4").reshape(-1, one["dim"]).astype(np.int64)
+                exact = np.frombuffer(one["exact"], PACKED[one["wide"]]).reshape(-1, one["dim"]).astype(np.int64)
+                queries = np.frombuffer(one["q_exact"], PACKED[one["q_wide"]]).reshape(-1, one["dim"]).astype(np.int64)
                 codes = np.frombuffer(one["codes"], np.uint8).reshape(exact.shape)
-                lower, upper = bounds(codes, edges, queries.astype(np.float64))
+                lower, upper = bounds(codes, edges[one["wide"]], queries.astype(np.float64))
                 rows, ids = np.frombuffer(one["rows"], "<i8"), np.frombuffer(one["ids"], "<i8")
                 known = np.frombuffer(one["known"], np.uint8)
                 ordered = np.where(known == 1, ids, np.iinfo(np.int64).max)
                 q_rows, q_ids = np.frombuffer(one["q_rows"], "<i8"), np.frombuffer(one["q_ids"], "<i8")
+                fits(exact, queries, q_rows[:, None] != rows[None, :])
                 out = []
                 for n, query_row in enumerate(q_rows):
                     other = rows != query_row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import sys
 import zlib
@@ -362,6 +363,47 @@ def test_top_k_with_awkward_vectors(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def exact_top(rows, k):
+    """Query, rank, id and score by Python's integers, for rows with distinct ids."""
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    found = []
+    for i, v in vectors:
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in vectors if j != i and len(w) == len(v))
+            found += [(i, n, j, -s) for n, (s, j) in enumerate(scored[:k], start=1)]
+    return found
+
+
+def test_top_k_with_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        size = (0.5, 3e6, 2e7)[i % 3]  # two of three vectors are wide
+        rows.append((i, [rng.uniform(-size, size) for _ in range(3)]))
+    rows += [(120, [2_000_000.0, 1.0, 0.0]), (140, [2_000_000.0, 1.0, 0.0])]
+    apart = [*rows[-2:], (141, [0.0, 0.0, 2.0**55]), (3, [1.0, 0.5, 2.0])]
+    for given in (rows, apart):
+        df = spark.createDataFrame(given, "vec_id bigint, embedding array<double>")
+        assert as_set(topk.search(df, F.col("vec_id") % 20 == 0, 7).collect()) == as_set(exact_top(given, 7))
+
+
+def test_top_k_beyond_64_bits_is_an_error(spark):
+    for rows in ([(20, [2.0**40]), (1, [2.0**40])], [(20, [1e300]), (1, [0.5])]):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit into 64 bits"):
+            topk.search(df, F.col("vec_id") % 20 == 0).collect()
+
+
+def test_top_k_with_columns_of_clashing_names(spark):
+    rows = [(20 * k, [float(k), 1.0]) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    clash = df.select("*", *(F.lit(f"own {c}").alias(c) for c in [*data.CLASHING, "query", "dim", "wide", "c", "q", "packed", "blocks"]))
+    asked = F.col("vec_id") % 20 == 0
+    assert as_set(topk.search(clash, asked, 3).collect()) == as_set(topk.search(df, asked, 3).collect())
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
