@@ -141,12 +141,14 @@ def delete_models(t: Tables, ids: DataFrame) -> Tables:
     return t.replace(models=kept, coefficients=t.coefficients.join(ids.select("ModelID"), "ModelID", "left_anti"))
 
 
-def sample_subset(t: Tables, created: DataFrame, size: int = 10) -> Tables:
-    """The newest ``size`` users by ``created`` (UserID, CreatedAt) with their visits and values.
+def sample_subset(t: Tables, created: DataFrame | None = None, size: int = 10) -> Tables:
+    """The newest ``size`` users with their visits and values, by the time they were stored or by ``created`` (UserID,
+    CreatedAt).
 
-    Equal times are settled by the higher user id.
+    Equal times are settled by the higher user id; users without a time come last.
     """
-    newest = created.orderBy(F.col("CreatedAt").desc(), F.col("UserID").desc()).limit(size).select("UserID")
+    known = t.users if created is None else created
+    newest = known.orderBy(F.col("CreatedAt").desc(), F.col("UserID").desc()).limit(size).select("UserID")
     sessions = t.sessions.join(newest, "UserID", "left_semi")
     return t.replace(
         users=t.users.join(newest, "UserID", "left_semi"),

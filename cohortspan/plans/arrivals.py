@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspan.operators.ingest import Ingested, ingest
+from cohortspan.operators.records import as_record, replies
 from cohortspan.plans.define import MATERIALIZED, PARTS, query
 from cohortspan.session import scratch
-from cohortspan.sources.star import derive, survey_tables
+from cohortspan.sources.star import STORED_AT, derive, survey_tables
 from cohortspan.streaming.arrivals import ingest_stream
 
 # Visits before this day are stored already; all orders arrive as submissions.
@@ -84,6 +85,25 @@ def _(spark, sf):
     return _ingested(spark, sf).rejected
 
 
+@query(
+    "q04_ingest_replies",
+    ["accepted", "submitted_value", "known_sessions", "measurements"],
+    f"""SELECT SubmissionID, SessionID AS sessionId, COUNT(n) AS Stored,
+  coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n), '') AS measurementIds
+FROM accepted LEFT JOIN (SELECT m.SubmissionID, row_number() OVER (ORDER BY m.SessionID, m.BiomarkerID)
+  + (SELECT COUNT(*) FROM measurements k SEMI JOIN known_sessions USING (SessionID)) AS n
+  FROM ({_MEASURED}) m) v USING (SubmissionID) GROUP BY SubmissionID, SessionID""",
+)
+def _(spark, sf):
+    """What submitters get back: the visit, and the ids of its values behind those stored."""
+    t = survey_tables(spark, sf)
+    known = t.measured().where(F.col("SessionDate") < KNOWN_UNTIL)
+    stored = as_record(known, "measurements", STORED_AT["measurements"])
+    found = replies(_ingested(spark, sf), stored, INGESTED_AT)
+    ids = F.col("measurementIds")
+    return found.select("SubmissionID", "sessionId", F.size(ids).cast("long").alias("Stored"), F.array_join(ids, ",").alias("measurementIds"))
+
+
 @query("q04_ingest_stream", ["accepted", "submitted_value"], _MEASURED)
 def _(spark, sf):
     t = survey_tables(spark, sf)

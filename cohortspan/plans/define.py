@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.sources.star import STATEMENTS, sql_prefix
-from cohortspan.sources.star import BASE
+from cohortspan.schemas import CREATED, NATURAL_KEYS, RECORD_IDS, SCHEMAS
+from cohortspan.sources.star import BASE, FOUNDED, STATEMENTS, STORED_AT, sql_prefix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,20 @@ MATERIALIZED: set[str] = set()
 
 # Shared pieces of the checking SQL: name -> (what it needs, statement).
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
+    # Rows with the time they were stored and, where the natural key is not one, an id.
+    **{
+        f"{name}_records": (
+            (name,),
+            "SELECT "
+            + (
+                f"row_number() OVER (ORDER BY {', '.join(f'{c} NULLS FIRST' for c in NATURAL_KEYS[name])}) AS {RECORD_IDS[name]}, "
+                if name in RECORD_IDS
+                else ""
+            )
+            + f"*, {STORED_AT.get(name, FOUNDED)} AS {CREATED} FROM {name}",
+        )
+        for name in SCHEMAS
+    },
     "aged": (("users",), f"SELECT *, CAST(date_sub('year', BirthDate, DATE '{AS_OF}') AS INT) AS Age FROM users"),
     "latest": (
         ("measurements", "sessions", "biomarkers"),

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan import catalog, tables
-from cohortspan.operators import buckets, etl, quality, upsert
+from cohortspan.operators import buckets, etl, quality, records, upsert
 from cohortspan.plans.api import _USAGE
 from cohortspan.plans.define import PARTS, query
+from cohortspan.schemas import RECORD_IDS
 from cohortspan.session import cut_lineage, scratch
 from cohortspan.sources import csvfiles, xpt
 from cohortspan.sources.samples import write_xpt
-from cohortspan.sources.star import RAW, derive, survey_tables
+from cohortspan.sources.star import FOUNDED, RAW, STORED_AT, derive, survey_tables
 
 # ---- scans, files, catalogs -------------------------------------------------------------------
 
@@ -32,24 +33,36 @@ _SUMMED = {
 }
 
 
+# What names a row of each table: its id, or the first part of its key.
+_NAMED = {"users": "UserID", "sessions": "SessionID", "biomarkers": "BiomarkerID", "models": "ModelID", "coefficients": "ModelID", **RECORD_IDS}
+
+
 @query(
     "scan_tables",
-    list(_SUMMED),
+    [f"{name}_records" for name in _SUMMED],
     " UNION ALL ".join(
-        f"SELECT '{name}' AS TableName, COUNT(*) AS RowCount, CAST(SUM({c}) AS DECIMAL(38,6)) AS Total FROM {name}"
+        f"""SELECT '{name}' AS TableName, COUNT(*) AS RowCount, CAST(SUM({c}) AS DECIMAL(38,6)) AS Total,
+  CAST(SUM(CAST({_NAMED[name]} AS DECIMAL(18,0)) * CAST({c} AS DECIMAL(18,6))) AS DECIMAL(38,6)) AS NamedTotal,
+  MIN(CreatedAt) AS Oldest, MAX(CreatedAt) AS Newest FROM {name}_records"""
         for name, c in _SUMMED.items()
     ),
 )
 def _(spark, sf):
+    """The full data model, written and read back. ``NamedTotal`` changes if an id comes to another row."""
     folder = scratch(spark, "tables")
-    tables.write_tables(survey_tables(spark, sf), folder)
+    tables.write_tables(records.as_records(survey_tables(spark, sf), STORED_AT, FOUNDED), folder)
     parts = [
         df.agg(
             F.lit(name).alias("TableName"),
             F.count(F.lit(1)).alias("RowCount"),
             F.sum(_SUMMED[name]).cast("decimal(38,6)").alias("Total"),
+            F.sum(F.col(_NAMED[name]).cast("decimal(18,0)") * F.col(_SUMMED[name]).cast("decimal(18,6)"))
+            .cast("decimal(38,6)")
+            .alias("NamedTotal"),
+            F.min("CreatedAt").alias("Oldest"),
+            F.max("CreatedAt").alias("Newest"),
         )
-        for name, df in tables.scan_tables(spark, folder).items()
+        for name, df in tables.scan_tables(spark, folder, records=True).items()
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -582,13 +595,12 @@ def _(spark, sf):
     return _keys_of(upsert.purge_users(t, t.users.where("BirthDate < DATE '1950-01-01'")), list(_KEPT))
 
 
-_NEWEST = """UserID IN (SELECT UserID FROM (SELECT UserID, MAX(SessionDate) AS CreatedAt FROM sessions GROUP BY UserID)
-  ORDER BY CreatedAt DESC, UserID DESC LIMIT 10)"""
+_NEWEST = "UserID IN (SELECT UserID FROM users_records ORDER BY CreatedAt DESC, UserID DESC LIMIT 10)"
 
 
 @query(
     "sample_subset",
-    ["users", "sessions", "measurements"],
+    ["users", "users_records", "sessions", "measurements"],
     _keys_sql(
         ["users", "sessions", "measurements"],
         {
@@ -600,8 +612,8 @@ _NEWEST = """UserID IN (SELECT UserID FROM (SELECT UserID, MAX(SessionDate) AS C
 )
 def _(spark, sf):
     t = survey_tables(spark, sf)
-    created = t.sessions.groupBy("UserID").agg(F.max("SessionDate").alias("CreatedAt"))
-    return _keys_of(upsert.sample_subset(t, created), ["users", "sessions", "measurements"])
+    t = t.replace(users=records.as_record(t.users, "users", STORED_AT["users"]))
+    return _keys_of(upsert.sample_subset(t), ["users", "sessions", "measurements"])
 
 
 @query(

@@ -95,6 +95,22 @@ SCHEMAS = {
     "results": RESULT,
 }
 
+# Rows of these tables have an id beside their natural key; the others are named by a column of theirs or by their key.
+RECORD_IDS = {"measurements": "MeasurementID", "anthropometry": "AnthroID", "ranges": "RangeID", "results": "ResultID"}
+# When a row was stored.
+CREATED = "CreatedAt"
+# The full data model: the columns above with the id of the row before them and its time behind them.
+RECORDS = {
+    name: T.StructType(
+        [
+            *([T.StructField(RECORD_IDS[name], T.LongType(), True)] if name in RECORD_IDS else []),
+            *schema.fields,
+            T.StructField(CREATED, _TS, True),
+        ]
+    )
+    for name, schema in SCHEMAS.items()
+}
+
 # Tables that hold definitions, not observations.
 CATALOGS = ("biomarkers", "ranges", "models", "coefficients")
 

@@ -101,6 +101,16 @@ STATEMENTS = {
   FROM {orders}""",
 }
 
+# When the rows were stored, as expressions over them; catalogs and whatever is not named here at ``FOUNDED``.
+STORED_AT = {
+    "users": "CAST(make_date(CAST(1992+UserID%7 AS INT), CAST(1+UserID%12 AS INT), CAST(1+UserID%28 AS INT)) AS TIMESTAMP)",
+    "sessions": "CAST(SessionDate AS TIMESTAMP)",
+    "measurements": "TakenAt",
+    "anthropometry": "CAST(ExamDate AS TIMESTAMP)",
+    "results": "ComputedAt",
+}
+FOUNDED = "CAST(DATE '1992-01-01' AS TIMESTAMP)"
+
 RAW = ("raw_demo", "raw_bmx", "raw_fastqx", "raw_biopro", "raw_glu", "raw_hscrp", "raw_cbc")
 
 

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.schemas import MEASURED, SCHEMAS
+from cohortspan.schemas import MEASURED, RECORDS, SCHEMAS
 
 NAMES = tuple(SCHEMAS)
 
@@ -46,6 +46,9 @@ class Tables:
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in NAMES if name in self._sources]
 
+    def names(self) -> list[str]:
+        return [name for name in NAMES if name in self._sources]
+
     def measured(self) -> DataFrame:
         """Measurements of known visits with their UserID and SessionDate.
 
@@ -82,7 +85,7 @@ def write_tables(tables: Tables, folder: str) -> None:
 
     Facts are range-partitioned and sorted by user: the statistics in the files then let a question about
     few users skip most of them. Measurements get the user and day of their visit for it; those without a
-    visit keep their place with neither.
+    visit keep their place with neither. Ids of rows and the time they were stored are kept where a table has them.
     """
     given = dict(tables.items())
     for name, df in given.items():
@@ -92,20 +95,24 @@ def write_tables(tables: Tables, folder: str) -> None:
             visits = given["sessions"].select("SessionID", "UserID", "SessionDate") if "sessions" in given else None
             none = {"UserID": F.lit(None), "SessionDate": F.lit(None)}
             df = df.withColumns(none) if visits is None else df.join(visits, "SessionID", "left")
+        own = {f.name for f in fields}
+        fields = [*fields, *(f for f in RECORDS[name].fields if f.name not in own and f.name in df.columns)]
         typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         if name in LAYOUT:
             typed = typed.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
         typed.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def scan_tables(spark: SparkSession, folder: str) -> Tables:
+def scan_tables(spark: SparkSession, folder: str, records: bool = False) -> Tables:
     """Read the base tables with their declared schemas; no inference job runs.
 
-    Stored catalogs carry no hint: Spark decides by their size in bytes how to join them.
+    Stored catalogs carry no hint: Spark decides by their size in bytes how to join them. ``records`` adds ids of rows
+    and the times they were stored, NULL where they were not written.
     """
+    schemas = RECORDS if records else SCHEMAS
 
     def read(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+        return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}")
 
     def measured() -> DataFrame:
         return spark.read.schema(MEASURED).parquet(f"{folder}/measurements").where("UserID IS NOT NULL")
