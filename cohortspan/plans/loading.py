@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan import catalog, tables
-from cohortspan.operators import buckets, etl, quality, records, upsert
+from cohortspan.operators import buckets, etl, quality, records, survey, upsert
 from cohortspan.plans.api import _USAGE
 from cohortspan.plans.define import PARTS, query
 from cohortspan.schemas import RECORD_IDS
@@ -388,6 +389,64 @@ def _(spark, sf):
     return etl.rejected_anthropometry(cleaned(spark, sf)["anthropometry"].withColumn("HeightCM", scaled), known)
 
 
+# A whole cycle at once, from transport files. Stored is what belongs to the users born early.
+PARTS["cycle_users"] = (
+    ("early_users", "etl_users"),
+    """SELECT UserID, SEQN, FALSE AS IsNew FROM early_users UNION ALL SELECT CAST((SELECT MAX(UserID) FROM early_users)
+  + row_number() OVER (ORDER BY SEQN) AS INT), SEQN, TRUE FROM etl_users WHERE SEQN NOT IN (SELECT SEQN FROM early_users)""",
+)
+PARTS["cycle_sessions"] = (
+    ("cycle_users", "etl_sessions", "early_users", "sessions"),
+    """SELECT (SELECT MAX(SessionID) FROM sessions SEMI JOIN early_users USING (UserID))
+  + row_number() OVER (ORDER BY u.UserID, e.SessionDate) AS SessionID, u.UserID, e.SEQN, e.SessionDate
+  FROM etl_sessions e JOIN cycle_users u ON u.SEQN = e.SEQN""",
+)
+
+
+@query(
+    "load_survey",
+    ["cycle_users", "cycle_sessions", "etl_measurements", "etl_anthropometry"],
+    """, placed AS (SELECT m.*, s.SessionID FROM etl_measurements m LEFT JOIN cycle_sessions s
+  ON s.SEQN = m.SEQN AND s.SessionDate = m.SessionDate)
+SELECT 'users' AS TableName, CAST(UserID AS BIGINT) AS KeyA, CAST(SEQN AS BIGINT) AS KeyB, CAST(NULL AS DECIMAL(12,4)) AS Value
+  FROM cycle_users WHERE IsNew
+UNION ALL SELECT 'sessions', SessionID, UserID, NULL FROM cycle_sessions
+UNION ALL SELECT 'measurements', SessionID, BiomarkerID, CAST(Value AS DECIMAL(12,4)) FROM placed WHERE SessionID IS NOT NULL
+UNION ALL SELECT 'anthropometry', u.UserID, a.SEQN, CAST(a.BMI AS DECIMAL(12,4)) FROM etl_anthropometry a
+  JOIN cycle_users u ON u.SEQN = a.SEQN
+UNION ALL SELECT 'rejected_measurements', SEQN, BiomarkerID, CAST(Value AS DECIMAL(12,4)) FROM placed WHERE SessionID IS NULL
+UNION ALL SELECT 'rejected_anthropometry', SEQN, NULL, CAST(BMI AS DECIMAL(12,4)) FROM etl_anthropometry
+  WHERE SEQN NOT IN (SELECT SEQN FROM cycle_users)""",
+)
+def _(spark, sf):
+    """Rows that the tables gain, by their keys, and those that could not be placed."""
+    t = survey_tables(spark, sf)
+    early = t.users.where("BirthDate < DATE '1975-01-01'")
+    theirs = t.sessions.join(early.select("UserID"), "UserID", "left_semi").select(*t.sessions.columns)
+    values = t.measurements.join(theirs.select("SessionID"), "SessionID", "left_semi")
+    body = t.anthropometry.join(early.select("UserID"), "UserID", "left_semi").select(*t.anthropometry.columns)
+    stored = t.replace(users=early, sessions=theirs, measurements=values, anthropometry=body)
+
+    paths = {name: scratch(spark, name) for name in survey.FILES}
+    for name, path in paths.items():
+        write_xpt(derive(spark, sf, name), path)
+    done = survey.load_survey(survey.read_survey(spark, paths), stored)
+    users = stored.users.unionByName(done.added.users).select("UserID", "SEQN")
+    parts = {
+        "users": (done.added.users, "UserID", "SEQN", F.lit(None)),
+        "sessions": (done.added.sessions, "SessionID", "UserID", F.lit(None)),
+        "measurements": (done.added.measurements, "SessionID", "BiomarkerID", F.col("Value")),
+        "anthropometry": (done.added.anthropometry.join(users, "UserID"), "UserID", "SEQN", F.col("BMI")),
+        "rejected_measurements": (done.rejected_measurements, "SEQN", "BiomarkerID", F.col("Value")),
+        "rejected_anthropometry": (done.rejected_anthropometry.withColumn("None", F.lit(None)), "SEQN", "None", F.col("BMI")),
+    }
+    found = [
+        df.select(F.lit(name).alias("TableName"), F.col(a).cast("long").alias("KeyA"), F.col(b).cast("long").alias("KeyB"), v.cast("decimal(12,4)").alias("Value"))
+        for name, (df, a, b, v) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "surrogate_keys",
     ["sessions"],
