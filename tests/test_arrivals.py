@@ -3,9 +3,10 @@ import os
 
 import pytest
 from conftest import day, make_tables, moment
+from pyspark.sql import Row
 
 from cohortspan.operators.ingest import flatten, ingest
-from cohortspan.streaming.arrivals import ingest_stream
+from cohortspan.streaming.arrivals import FirstDelivery, VisitsOfUser, ingest_stream
 
 HEADER = "SubmissionID BIGINT, UserID INT, SessionDateText STRING, FastingStatus BOOLEAN"
 VALUE = "SubmissionID BIGINT, BiomarkerID INT, Value STRING"
@@ -272,3 +273,45 @@ def test_batches_read_no_stored_table(spark, tables, tmp_path):
     stream.run("b.json", [(50, 2, "2024-12-25", True), (51, 1, "2024-01-01", True), (52, 1, "2024-12-25", True)], [])
     assert [(r[0], r[1]) for r in stream.rows("sessions")] == [(1, 41), (50, 42)]
     assert {r[0]: r[4] for r in stream.rows("rejected")} == {2: "duplicate_session", 3: "duplicate_session", 51: "duplicate_session", 52: "duplicate_session"}
+
+
+class Counted:
+    """A state value that counts the calls on it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_the_state_is_called_twice_for_a_block_whatever_it_brings():
+    first, visits = FirstDelivery(), VisitsOfUser()
+    decided, visited = Counted(), Counted()
+    first.init(decided), visits.init(visited)
+    bodies = [Row(Place=k % 500, Body=f"{k % 500}" if k % 5 else f"{k}") for k in range(1000)]
+    out = list(first.handleInputRows((0, -1), iter(bodies), None))
+    assert len(out) == 500 and sum(r["Conflict"] for r in out) == 100 and decided.calls == 2
+    assert list(first.handleInputRows((0, -1), iter(bodies), None)) == [] and decided.calls == 3
+    visits.handleInitialState((0, -1), Row(Users=[1, 2], Visits=[7 << 4 | 1]), None)
+    sent = [Row(Place=k % 4, Kind="submission", SubmissionID=k, Day=k // 4, Own=None, Body=str(k)) for k in range(400)]
+    reasons = [r["Reason"] for r in visits.handleInputRows((0, -1), iter(sent), None)]
+    assert reasons.count("unknown_user") == 200 and reasons.count(None) == 199 and reasons[4 * 7 + 1] == "duplicate_session"
+    assert visited.calls == 3 and len(visited.value[1]) == 200
+
+
+def test_ids_of_any_size_have_a_block(spark, tables, tmp_path):
+    ids = [-(2**63), -1, 0, 1023, 1024, 2**53, 2**53 + 1, 2**63 - 1]
+    headers = [(n, 1 + k % 2, f"2024-03-{k + 1:02d}", True) for k, n in enumerate(ids)]
+    stream = Stream(spark, tables, tmp_path).run("a.json", headers, [])
+    assert sorted(r[0] for r in stream.rows("sessions")) == ids
+    stream.run("b.json", headers + [(2**53 + 2, 1, "2024-04-01", True)], [])
+    assert sorted(r[0] for r in stream.rows("sessions")) == sorted([*ids, 2**53 + 2]) and stream.rows("rejected") == []
