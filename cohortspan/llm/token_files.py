@@ -32,7 +32,7 @@ import hashlib
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -55,7 +55,13 @@ REMEMBERED = 1_200_000
 
 # A text comes apart into these pieces wherever the byte-level pattern starts anew.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+# Letters of a word end before ASCII punctuation, so a word is learnt once, whatever sign follows it.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PIECES = re.compile(
+    f" ?[{_LETTERS}]++(?=[!-/:-@\\[-`{{-~{_WHITE}]|\\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+)
+# Characters of text whose new pieces are encoded together.
+TOGETHER = 1 << 20
 
 
 def bit_length(values: np.ndarray) -> np.ndarray:
@@ -205,20 +211,29 @@ class Pieces(dict):
         rest = [p for p in pieces if p not in self]
         self.update(zip(rest, self.encode(rest)))
 
-    def text(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.encode([text])[0]  # special tokens may begin inside a piece
-        pieces = _PIECES.findall(text)
-        found = list(map(self.get, pieces))
-        if None in found:
-            new = [k for k, ids in enumerate(found) if ids is None]
-            missing = list({pieces[k] for k in new})
-            if len(self) + len(missing) > REMEMBERED:
-                self.clear()
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text. A call of the library costs as much as dozens of pieces, so many texts share it."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= TOGETHER:
+                yield from self.together(some)
+                some, size = [], 0
+        yield from self.together(some)
+
+    def together(self, texts: list[str]) -> Iterator[bytes]:
+        # Special tokens may begin inside a piece.
+        cut = [None if any(s in text for s in self.special) else _PIECES.findall(text) for text in texts]
+        distinct = set().union(*(pieces for pieces in cut if pieces))
+        missing = [p for p in distinct if p not in self]
+        if len(self) + len(missing) > REMEMBERED:
+            self.clear()
+            missing = list(distinct)
+        if missing:
             self.learn(missing)
-            for k in new:
-                found[k] = self[pieces[k]]
-        return b"".join(found)
+        for text, pieces in zip(texts, cut):
+            yield self.encode([text])[0] if pieces is None else b"".join(map(self.__getitem__, pieces))
 
 
 def loaded(source: bytes) -> Pieces:
@@ -261,8 +276,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> D
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
-                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
-                    ids.append((pieces.text(text) if text else b"") + end)
+                encoded = pieces.texts(some.column("text").to_pylist())
+                for doc_id, packed in zip(some.column("doc_id").to_pylist(), encoded):
+                    ids.append(packed + end)
                     doc_ids.append(doc_id)
                     waiting += len(ids[-1]) // 4
                     if waiting >= FILE_IDS:

@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,3 +455,14 @@ def test_suffix_removal_with_cores_of_many_entries(spark, monkeypatch, group):
     rows = data.passages(11, 56)
     found = suffix_dedup.removal_report(data.documents(spark, rows)).collect()
     assert as_set(found) == as_set(brute.kept_bytes(rows))
+
+
+def test_new_pieces_of_many_texts_share_a_call(monkeypatch):
+    """A sign after a word is no other word, and the library is not called for each text."""
+    pieces = token_files.Pieces(Path(Q.tokenizer_path(Q.BYTE_BPE)).read_bytes())
+    texts = [f"word{'abc'[k % 3]}, it's {k}½ don't[x]\\Ñé_ \n  end.{chr(200 + k)}" for k in range(300)] + ["", None, "a<|endoftext|>,b"]
+    expected = pieces.encode([t or "" for t in texts])
+    calls, encode = [], pieces.encode
+    monkeypatch.setattr(pieces, "encode", lambda some: calls.append(len(some)) or encode(some))
+    assert list(pieces.texts(texts)) == expected and len(calls) <= 3
+    assert " it" in pieces and " end" in pieces and "worda" in pieces and "worda," not in pieces
