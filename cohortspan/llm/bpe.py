@@ -195,6 +195,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return _mapped(docs, path, both, ["doc_id", "text"], ids=T.BinaryType(), text=T.StringType())
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 50) -> Iterator[pa.RecordBatch]:
     """A batch in small parts, so that results do not pile up beside it."""
     return map(functools.partial(batch.slice, length=rows), range(0, batch.num_rows, rows))

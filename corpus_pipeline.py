@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
-from cohortspan.llm.queries import WORD_BPE, settle, tokenizer_path
+from cohortspan.llm.queries import TOKEN_ROWS, WORD_BPE, settle, tokenizer_path
 from cohortspan.session import scratch
 
 
@@ -48,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers) and the text they decode to; none for a null text."""
-    settle(spark)
+    settle(spark, TOKEN_ROWS)
     decoded = bpe.round_trip(docs, tokenizer_path(WORD_BPE))
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "text")
 

@@ -466,3 +466,9 @@ def test_new_pieces_of_many_texts_share_a_call(monkeypatch):
     monkeypatch.setattr(pieces, "encode", lambda some: calls.append(len(some)) or encode(some))
     assert list(pieces.texts(texts)) == expected and len(calls) <= 3
     assert " it" in pieces and " end" in pieces and "worda" in pieces and "worda," not in pieces
+
+
+def test_token_workers_send_back_small_parts():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["some words"] * 1000)], names=["doc_id", "text"])
+    parts = list(bpe.encoded(iter([batch]), bpe.loaded(Path(Q.tokenizer_path(Q.WORD_BPE)).read_bytes())))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) <= 100
