@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import Steps, tidy, worker_cache
+from cohortspan.llm.common import Steps, assembled, distinct_spans, text_bytes, tidy, worker_cache
 
 BLOCK = 1024
 LANES = 32
@@ -62,6 +62,34 @@ _PIECES = re.compile(
 )
 # Characters of text whose new pieces are encoded together.
 TOGETHER = 1 << 20
+# Pieces that go to the library as one text: less than a call for each, and its work on long texts takes longer.
+LINES = 20
+# White space of more than one byte; texts with some are cut by the pattern.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BYTES = [bytes([b]) for b in range(256)]
+_IS_WHITE = np.array([b in b"\t\n\x0b\x0c\r " for b in _BYTES])
+_IS_LETTER = np.array([b.isalpha() for b in _BYTES])
+_IS_SIGN = np.array([0x21 <= b[0] <= 0x7E and not b.isalnum() for b in _BYTES])
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of UTF-8 texts without white space of more than one byte; all pieces together are the texts.
+
+    A piece begins with each text, where white space follows something else, where a sign follows a letter, and with the
+    last white character before something else, which alone belongs to what follows if it is a space.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    white, letter, sign = _IS_WHITE[data], _IS_LETTER[data], _IS_SIGN[data]
+    # Accented letters of Latin-1: two bytes, the first 0xC3, but for the two signs among them.
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    last = white[:-1] & ~white[1:] & ~begins[1:-1]
+    cut = begins[:-1]
+    cut[1:] |= (~white[:-1] & white[1:]) | (letter[:-1] & sign[1:]) | (last & (data[:-1] != 0x20))
+    cut[:-1] |= last
+    return np.flatnonzero(cut)
 
 
 def bit_length(values: np.ndarray) -> np.ndarray:
@@ -197,12 +225,14 @@ class Pieces(dict):
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, all that are not white space in one text: a line each.
+        """Encode new pieces, those that are not white space some to a text, a line each.
 
         The pattern starts anew after a line break, and no such piece has one, so its id parts the pieces again.
         """
         words = [p for p in pieces if p[-1] not in self.white]
-        lines = np.frombuffer(self.encode(["\n".join(words)])[0], "<u4")
+        texts = ["\n".join(words[k : k + LINES]) for k in range(0, len(words), LINES)]
+        line = np.array([-1 if self.line is None else self.line], np.int64).astype("<u4").tobytes()
+        lines = np.frombuffer(line.join(self.encode(texts)), "<u4")
         cuts = [-1, *np.flatnonzero(lines == self.line).tolist(), len(lines)]
         if self.line is None or len(cuts) != len(words) + 1:
             words, cuts = [], []
@@ -224,16 +254,26 @@ class Pieces(dict):
 
     def together(self, texts: list[str]) -> Iterator[bytes]:
         # Special tokens may begin inside a piece.
-        cut = [None if any(s in text for s in self.special) else _PIECES.findall(text) for text in texts]
-        distinct = set().union(*(pieces for pieces in cut if pieces))
-        missing = [p for p in distinct if p not in self]
+        special = {k for k, text in enumerate(texts) if any(s in text for s in self.special)}
+        wide = {k: _PIECES.findall(text) for k, text in enumerate(texts) if k not in special and _WIDE.search(text)}
+        plain = ["" if k in special or k in wide else text for k, text in enumerate(texts)]
+        data, offsets = text_bytes(pa.array(plain, pa.large_string()))
+        starts = piece_starts(data, offsets)
+        distinct, numbers = distinct_spans(data, starts, np.append(starts[1:], len(data)))
+        others = set().union(*wide.values()).difference(distinct)
+        missing = [p for some in (distinct, others) for p in some if p not in self]
         if len(self) + len(missing) > REMEMBERED:
             self.clear()
-            missing = list(distinct)
+            missing = [*distinct, *others]
         if missing:
             self.learn(missing)
-        for text, pieces in zip(texts, cut):
-            yield self.encode([text])[0] if pieces is None else b"".join(map(self.__getitem__, pieces))
+        found = assembled(list(map(self.__getitem__, distinct)), numbers, np.searchsorted(starts, offsets))
+        for k, (text, ids) in enumerate(zip(texts, found)):
+            if k in special:
+                ids = self.encode([text])[0]
+            elif k in wide:
+                ids = b"".join(map(self.__getitem__, wide[k]))
+            yield ids
 
 
 def loaded(source: bytes) -> Pieces:

@@ -472,3 +472,33 @@ def test_token_workers_send_back_small_parts():
     batch = pa.record_batch([pa.array(range(1000)), pa.array(["some words"] * 1000)], names=["doc_id", "text"])
     parts = list(bpe.encoded(iter([batch]), bpe.loaded(Path(Q.tokenizer_path(Q.WORD_BPE)).read_bytes())))
     assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) <= 100
+
+
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    """Only words of many letters go through the queue, and all get the ids they get there."""
+    memory = bpe.Remembered(bpe.Vocabulary(Path(Q.tokenizer_path(Q.WORD_BPE)).read_bytes()))
+    texts = [f"Word{'abc'[k % 3]}, it's {k}½ don't[x] ΑΣ\x1cÑé_\xa0thein{'the' * (k % 20)}\n" for k in range(300)]
+    texts += ["", None, "́a á", "b" * 300, "a<|endoftext|>,b　c"]
+    by_queue = bpe.Remembered(memory.vocabulary)
+    expected = [bpe.encode_text(t, by_queue) if t else b"" for t in texts]
+    queue, one = [], memory.vocabulary.word
+    monkeypatch.setattr(memory.vocabulary, "word", lambda word: queue.append(word) or one(word))
+    assert memory.texts(texts) == expected
+    assert {w for w in queue if len(w) < 60} <= set("abc,") | {"b"}
+    memory.clear()
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    assert [x for k in range(0, len(texts), 10) for x in memory.texts(texts[k : k + 10])] == expected
+
+
+def test_pieces_are_cut_without_an_object_for_each(monkeypatch):
+    """The pattern cuts only texts with white space of more than one byte; others come apart at the same places or fewer."""
+    pieces = token_files.Pieces(Path(Q.tokenizer_path(Q.BYTE_BPE)).read_bytes())
+    texts = [" \n\n a  b,c\t\r\n é, ü;×,÷,\x1c\n x \n", "\n", " ", "", "end \n", "\n next", "a" + " " * 5, "don't 'tis \n\nno"] * 3
+    expected = pieces.encode(texts)
+    monkeypatch.setattr(token_files, "_PIECES", None)
+    assert list(pieces.texts(texts)) == expected and "é" not in pieces and " é" in pieces
+    monkeypatch.undo()
+    wide = ["a \xa0b\n 　 c", "\x85x \x85 y"]
+    assert list(pieces.texts(wide)) == pieces.encode(wide)
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    assert [x for t in texts for x in pieces.texts([t])] == expected
