@@ -5,7 +5,8 @@ list of symbols; a priority queue holds the merges of neighbouring symbols by ra
 merge joins two symbols, new neighbours enter the queue, and entries whose symbols have changed since
 are skipped when they come up. Decoding joins the vocabulary's strings of the ids.
 
-Words repeat, so every worker remembers the pieces it has encoded, up to a fixed number. There is no
+Words repeat, so every worker remembers the pieces it has encoded, up to a fixed number. The new words of a batch
+are merged together, a step of each at a time, on arrays; words of many letters go through the queue. There is no
 shuffle: each document is encoded and decoded where it is read, whole.
 
 The vocabulary file is read once by the driver and sent to the workers; its size does not depend on the data.
@@ -32,13 +33,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import tidy, worker_cache
+from cohortspan.llm.common import assembled, distinct_spans, ranges, text_bytes, tidy, worker_cache, words
 
 # Pieces a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+
+# Most bytes of words that are merged together, and most words at a time.
+WIDTHS = (8, 16, 32, 64)
+TOGETHER = 8_192
+# Rank of a pair that does not merge.
+NEVER = np.int32(2**31 - 1)
 
 # Characters that str.split() takes for white space although the vocabulary's pattern does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
+# White space of more than one byte.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -70,6 +79,81 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
         self.letters = byte_letters()
+        # The merges as sorted numbers; no id is as large as base - 1, so a missing neighbour (-1) makes no number of a merge.
+        self.base = max(self.ids.values(), default=0) + 2
+        pairs = np.array([left * self.base + right for left, right in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        self.ranks = np.array([rank for rank, _ in self.merges.values()], np.int32)[order]
+        self.joined = np.full(len(model["merges"]), -1, np.int32)
+        for rank, joined in self.merges.values():
+            self.joined[rank] = joined
+        self.inner = np.array([self.ids.get(x, -1) for x in self.letters], np.int32)
+        self.final = np.array([self.ids.get(x + self.suffix, -1) for x in self.letters], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(left.shape, NEVER)
+        wanted = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.ranks[at], NEVER)
+
+    def merged(self, symbol: np.ndarray) -> np.ndarray:
+        """Rows of symbols, filled up with -1, after all merges; -1 also where a symbol went into the one before it.
+
+        Every step does the best merge of each row, the first of equal ones. The last column stays -1: it is the
+        neighbour of symbols without one.
+        """
+        n = symbol.shape[1] - 1
+        after = np.tile(np.arange(1, n + 2), (len(symbol), 1))
+        before = after - 2
+        rank = np.full(symbol.shape, NEVER)
+        rank[:, :-1] = self.rank(symbol[:, :-1], symbol[:, 1:])
+        rows = np.arange(len(symbol))
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            best = rank[rows, i]
+            found = best < NEVER
+            rows, i, best = rows[found], i[found], best[found]
+            joined = self.joined[best]
+            h, j = before[rows, i], after[rows, i]
+            k = after[rows, j]
+            symbol[rows, i], symbol[rows, j] = joined, -1
+            after[rows, i], before[rows, k] = k, i
+            rank[rows, j] = NEVER
+            rank[rows, i] = self.rank(joined, symbol[rows, k])
+            rank[rows, h] = self.rank(symbol[rows, h], joined)
+        return symbol
+
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of many words."""
+        data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+        length = np.diff(offsets)
+        symbols = self.inner[data]
+        some = length > 0
+        symbols[offsets[1:][some] - 1] = self.final[data[offsets[1:][some] - 1]]
+        known = np.concatenate([[0], np.cumsum(symbols >= 0)])
+        usual = (known[offsets[1:]] - known[offsets[:-1]] == length) & some
+        out = [b""] * len(texts)
+        least = 0
+        for width in WIDTHS:
+            chosen = np.flatnonzero(usual & (length > least) & (length <= width))
+            least = width
+            for start in range(0, len(chosen), TOGETHER):
+                part = chosen[start : start + TOGETHER]
+                table = np.full((len(part), width + 1), -1, np.int32)
+                table[np.repeat(np.arange(len(part)), length[part]), ranges(np.zeros(len(part), np.int64), length[part])] = symbols[
+                    ranges(offsets[part], length[part])
+                ]
+                table = self.merged(table)
+                kept = table >= 0
+                raw = table[kept].astype("<u4").tobytes()
+                ends = 4 * np.cumsum(kept.sum(axis=1))
+                for k, a, b in zip(part.tolist(), [0, *ends.tolist()], ends.tolist()):
+                    out[k] = raw[a:b]
+        for k in np.flatnonzero(some & (~usual | (length > least))).tolist():
+            out[k] = pack(self.word(texts[k]))
+        return out
 
     def word(self, text: str) -> list[int]:
         """Ids of one word."""
@@ -112,6 +196,16 @@ class Vocabulary:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return pack([i for word in self.pattern.findall(text) for i in self.word(word)])
 
+    def new_pieces(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of many texts without white space."""
+        lines = unicodedata.normalize("NFC", "\n".join(texts)).replace("Σ", "σ").lower().split("\n")
+        cut = [x if x.isascii() and x.isalpha() else tuple(self.pattern.findall(x)) for x in lines]
+        distinct = {x for x in cut if type(x) is str}
+        distinct.update(*(x for x in cut if type(x) is tuple))
+        listed = list(distinct)
+        ids = dict(zip(listed, self.words(listed)))
+        return [ids[x] if type(x) is str else b"".join([ids[w] for w in x]) for x in cut]
+
     def pieces(self, text: str) -> list[str]:
         return _SPACES.split(text) if _CONTROL.search(text) else text.split()
 
@@ -132,6 +226,27 @@ class Remembered(dict):
         packed = self[piece] = self.vocabulary.piece(piece)
         return packed
 
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; new pieces of all of them are encoded together."""
+        vocabulary = self.vocabulary
+        # Special tokens may stand inside a piece.
+        special = {k for k, text in enumerate(texts) if text and any(s in text for s in vocabulary.special)}
+        plain = ["" if k in special or not text else _WIDE.sub(" ", text) for k, text in enumerate(texts)]
+        data, offsets = text_bytes(pa.array(plain, pa.large_string()))
+        starts, ends, first = words(data, offsets)
+        distinct, numbers = distinct_spans(data, starts, ends)
+        packed = list(map(self.get, distinct))
+        if None in packed:
+            if len(self) + packed.count(None) > REMEMBERED:
+                self.clear()
+                packed = [None] * len(distinct)
+            missing = [k for k, ids in enumerate(packed) if ids is None]
+            pieces = [distinct[k] for k in missing]
+            for k, piece, ids in zip(missing, pieces, vocabulary.new_pieces(pieces)):
+                packed[k] = self[piece] = ids
+        found = assembled(packed, numbers, first)
+        return [encode_text(text, self) if k in special else ids for k, (text, ids) in enumerate(zip(texts, found))]
+
 
 def loaded(source: bytes) -> Remembered:
     kept = worker_cache("bpe")
@@ -159,16 +274,15 @@ def _fields(df: DataFrame, **kinds: T.DataType) -> T.StructType:
 
 def encoded(batches: Iterator[pa.RecordBatch], memory: Remembered) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
-            ids = [encode_text(t, memory) if t else b"" for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        ids = pa.array(memory.texts(batch.column("text").to_pylist()), pa.binary())
+        yield from slices(pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"]))
 
 
 def decoded(batches: Iterator[pa.RecordBatch], memory: Remembered) -> Iterator[pa.RecordBatch]:
     strings = memory.vocabulary.strings
     for batch in batches:
         for part in slices(batch):
-            texts = [" ".join([strings[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column("ids").to_pylist()]
+            texts = [" ".join(map(strings.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
             yield pa.record_batch(
                 [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"]
             )
