@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import assembled, distinct_spans, ranges, text_bytes, tidy, worker_cache, words
+from cohortspan.llm.common import assembled, distinct_spans, give_back, ranges, text_bytes, tidy, worker_cache, words
 
 # Pieces a worker remembers before it starts anew.
 REMEMBERED = 100_000
@@ -254,6 +254,7 @@ def loaded(source: bytes) -> Remembered:
     if key not in kept:
         worker_cache("powers").clear()  # what the hashing operators keep is not needed beside a vocabulary
         kept[key] = Remembered(Vocabulary(source))
+        give_back()  # what reading the file took
     return kept[key]
 
 

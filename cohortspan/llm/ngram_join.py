@@ -238,8 +238,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of repeated rows (same id and text) one stays; documents without an id stay.
     """
-    classes = Steps(docs.sparkSession, "ngrams").table(near_duplicates(docs), "classes")
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
+    steps = Steps(docs.sparkSession, "ngrams")
+    classes = steps.table(near_duplicates(docs), "classes")
+    # Stored, so that Spark plans by the size of what goes, not of all classes: texts move only where that is large.
+    gone = steps.table(classes.where("class_id <> doc_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti")
     again = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():

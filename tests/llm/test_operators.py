@@ -502,3 +502,18 @@ def test_pieces_are_cut_without_an_object_for_each(monkeypatch):
     assert list(pieces.texts(wide)) == pieces.encode(wide)
     monkeypatch.setattr(token_files, "REMEMBERED", 3)
     assert [x for t in texts for x in pieces.texts([t])] == expected
+
+
+def test_near_duplicates_move_no_texts_where_few_documents_go(spark):
+    """Planned by the ids that go, not by the table of all classes, which is larger than may be broadcast."""
+    rows = [(k, f"w{k % 1999} " * 3 + "a b c d e f g h", "en", "s", 1) for k in range(2003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+        one = ngram_join.one_of_each(docs)
+        plan = one._jdf.queryExecution().sparkPlan().toString()
+        assert one.count() == 1999
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
