@@ -18,9 +18,11 @@ give the same ids; other columns are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -29,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,11 +39,13 @@ from pyspark.sql import types as T
 from cohortspan.llm.common import assembled, distinct_spans, give_back, ranges, text_bytes, tidy, worker_cache, words
 
 # Pieces a worker remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 
 # Most bytes of words that are merged together, and most words at a time.
 WIDTHS = (8, 16, 32, 64)
-TOGETHER = 8_192
+TOGETHER = 1_024
+# Bytes of texts that are cut into pieces at a time; one longer text is cut alone.
+CUT_BYTES = 1 << 17
 # Rank of a pair that does not merge.
 NEVER = np.int32(2**31 - 1)
 
@@ -70,26 +75,28 @@ class Vocabulary:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
         self.suffix = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = model["vocab"]
+        ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+        self.strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.merges = {}
+        # The merges as sorted numbers; no id is as large as base - 1, so a missing neighbour (-1) makes no number of a merge.
+        # Arrays, because every worker holds them: as a dictionary of tuples they take ten times the memory.
+        self.base = max(ids.values(), default=0) + 2
+        merges = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
-        self.letters = byte_letters()
-        # The merges as sorted numbers; no id is as large as base - 1, so a missing neighbour (-1) makes no number of a merge.
-        self.base = max(self.ids.values(), default=0) + 2
-        pairs = np.array([left * self.base + right for left, right in self.merges], np.int64)
+            merges[ids[left] * self.base + ids[right]] = rank, ids[left + right]
+        pairs = np.fromiter(merges, np.int64, len(merges))
         order = np.argsort(pairs)
         self.pairs = pairs[order]
-        self.ranks = np.array([rank for rank, _ in self.merges.values()], np.int32)[order]
+        self.one_by_one = memoryview(self.pairs)
+        self.ranks = np.array([rank for rank, _ in merges.values()], np.int32)[order]
         self.joined = np.full(len(model["merges"]), -1, np.int32)
-        for rank, joined in self.merges.values():
+        for rank, joined in merges.values():
             self.joined[rank] = joined
-        self.inner = np.array([self.ids.get(x, -1) for x in self.letters], np.int32)
-        self.final = np.array([self.ids.get(x + self.suffix, -1) for x in self.letters], np.int32)
+        letters = byte_letters()
+        self.inner = np.array([ids.get(x, -1) for x in letters], np.int32)
+        self.final = np.array([ids.get(x + self.suffix, -1) for x in letters], np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.pairs):
@@ -98,6 +105,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         return np.where(self.pairs[at] == wanted, self.ranks[at], NEVER)
 
+    def merge(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and result of one pair."""
+        wanted = left * self.base + right
+        at = bisect.bisect_left(self.one_by_one, wanted)
+        if at == len(self.one_by_one) or self.one_by_one[at] != wanted:
+            return None
+        rank = int(self.ranks[at])
+        return rank, int(self.joined[rank])
+
     def merged(self, symbol: np.ndarray) -> np.ndarray:
         """Rows of symbols, filled up with -1, after all merges; -1 also where a symbol went into the one before it.
 
@@ -157,19 +173,21 @@ class Vocabulary:
 
     def word(self, text: str) -> list[int]:
         """Ids of one word."""
-        letters = [self.letters[b] for b in text.encode("utf-8")]
-        if not letters:
+        letters = np.frombuffer(text.encode("utf-8"), np.uint8)
+        if not len(letters):
             return []
-        letters[-1] += self.suffix
-        symbol = [self.ids[x] for x in letters if x in self.ids]
-        n = len(symbol)
+        symbols = self.inner[letters]
+        symbols[-1] = self.final[letters[-1]]
+        symbols = symbols[symbols >= 0]
+        n = len(symbols)
+        symbol = symbols.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
+        merge = self.merge
+        ranks = self.rank(symbols[:-1], symbols[1:])
         queue = []
-        for i in range(n - 1):
-            found = merges.get((symbol[i], symbol[i + 1]))
-            if found:
-                queue.append((found[0], i, symbol[i], symbol[i + 1], found[1]))
+        for i in np.flatnonzero(ranks < NEVER).tolist():
+            rank = int(ranks[i])
+            queue.append((rank, i, symbol[i], symbol[i + 1], int(self.joined[rank])))
         heapq.heapify(queue)
         while queue:
             _, i, left, right, joined = heapq.heappop(queue)
@@ -180,12 +198,12 @@ class Vocabulary:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                found = merges.get((joined, symbol[k]))
+                found = merge(joined, symbol[k])
                 if found:
                     heapq.heappush(queue, (found[0], i, joined, symbol[k], found[1]))
             h = before[i]
             if h >= 0:
-                found = merges.get((symbol[h], joined))
+                found = merge(symbol[h], joined)
                 if found:
                     heapq.heappush(queue, (found[0], h, symbol[h], joined, found[1]))
         return [x for x in symbol if x >= 0]
@@ -274,7 +292,7 @@ def _fields(df: DataFrame, **kinds: T.DataType) -> T.StructType:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], memory: Remembered) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(map(parted, batches)):
         ids = pa.array(memory.texts(batch.column("text").to_pylist()), pa.binary())
         yield from slices(pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"]))
 
@@ -313,3 +331,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, rows: int = 50) -> Iterator[pa.RecordBatch]:
     """A batch in small parts, so that results do not pile up beside it."""
     return map(functools.partial(batch.slice, length=rows), range(0, batch.num_rows, rows))
+
+
+def parted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``CUT_BYTES`` of text: cutting takes several numbers for every byte."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, done + CUT_BYTES, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])

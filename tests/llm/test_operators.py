@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import math
 import random
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -517,3 +519,33 @@ def test_near_duplicates_move_no_texts_where_few_documents_go(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_token_workers_stay_small():
+    """A vocabulary is arrays and strings, and a batch of long texts is not cut all at once."""
+    source = Path(Q.tokenizer_path(Q.WORD_BPE)).read_bytes()
+    rng = random.Random(5)
+    texts = [" ".join(f"word{rng.randint(0, 300)}, it's" for _ in range(2500)) for _ in range(100)] + [None, "", "end"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    expected = bpe.Remembered(bpe.Vocabulary(source)).texts(texts)
+    gc.collect()
+    tracemalloc.start()
+    memory = bpe.Remembered(bpe.Vocabulary(source))
+    gc.collect()
+    assert tracemalloc.get_traced_memory()[0] < 12e6
+    tracemalloc.reset_peak()
+    found = [ids for part in bpe.encoded(iter([batch]), memory) for ids in part.column("ids").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == expected and peak < 40e6
+
+
+def test_batches_are_parted_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CUT_BYTES", 10)
+    texts = ["", "abc", None, "é" * 3, "a" * 40, "", None, "b", "c" * 10, "d"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for whole in (batch, batch.slice(3)):
+        parts = list(bpe.parted(whole))
+        assert [x for p in parts for x in p.column("doc_id").to_pylist()] == whole.column("doc_id").to_pylist()
+        assert all(p.num_rows and (sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 10 or p.num_rows == 1) for p in parts)
+    assert list(bpe.parted(batch.slice(0, 0))) == []
